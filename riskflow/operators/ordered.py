@@ -124,16 +124,19 @@ def _find_cuts(df: DataFrame, hot: Hot, by: str) -> list[tuple]:
     return cuts
 
 
-def _carry(segmented: DataFrame, hot: Hot, sums: dict[str, Column]) -> DataFrame:
-    """Totals of all earlier segments, one row per segment of a hot key."""
-    totals = _only(segmented, hot).groupBy(*hot.keys, "_seg").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    before = Window.partitionBy(*hot.keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*hot.keys, "_seg", *[F.sum(n).over(before).alias(f"_carry_{n}") for n in sums])
+def _carry(segmented: DataFrame, hot: Hot, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Totals of all earlier segments, one row per key and segment of the hot keys."""
+    totals = _only(segmented, hot).groupBy(*keys, "_seg").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*keys, "_seg", *[F.sum(n).over(before).alias(f"_carry_{n}") for n in sums])
 
 
 def running(df: DataFrame, keys: Sequence[str], by: str, sums: dict[str, Column], hot: Hot | None = None,
             tie: Sequence[str] = ()) -> DataFrame:
-    """Running sums per key in order of ``by``. Equal values of ``by`` count together unless ``tie`` breaks them."""
+    """Running sums per key in order of ``by``. Equal values of ``by`` count together unless ``tie`` breaks them.
+
+    ``hot`` may list hot prefixes of the key: hot payers also serve payer-payee pairs.
+    """
     keys = list(keys)
     hot = find_hot(df, keys) if hot is None else hot
     parts = segment(df, hot, by)
@@ -142,7 +145,9 @@ def running(df: DataFrame, keys: Sequence[str], by: str, sums: dict[str, Column]
     if not hot:
         return parts.select("*", *[F.sum(c).over(frame).alias(n) for n, c in sums.items()]).drop("_seg")
     local = parts.select("*", *[F.sum(c).over(frame).alias(f"_local_{n}") for n, c in sums.items()])
-    joined = local.join(F.broadcast(_carry(parts, hot, sums)), keys + ["_seg"], "left")
+    carry = _carry(parts, hot, keys, sums)
+    # one row per segment when the key itself is hot; finer keys may have many, so Spark picks the join by size
+    joined = local.join(F.broadcast(carry) if keys == hot.keys else carry, keys + ["_seg"], "left")
     out = [F.when(F.col(f"_carry_{n}").isNull(), F.col(f"_local_{n}"))
            .otherwise(F.coalesce(F.col(f"_local_{n}"), F.lit(0)) + F.col(f"_carry_{n}")).alias(n) for n in sums]
     return joined.select(*df.columns, *out)
@@ -212,19 +217,19 @@ def shifted(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs: dic
     return shed(framed.select("*", *[F.lag(c, o).over(win).alias(n) for n, (c, o) in exprs.items()]))
 
 
-def trailing(df: DataFrame, keys: Sequence[str], at: str, measures: dict[str, tuple[Column, Column]],
+def trailing(df: DataFrame, keys: Sequence[str], at: str, measures: dict[str, tuple[Column, Column | None]],
              hot: Hot | None = None, inclusive: bool = True) -> DataFrame:
     """Trailing-frame sums. ``measures = {name: (value, last)}``.
 
     A row with order value ``t`` adds ``value`` to every query point in ``[t, last]`` (``(t, last]`` when not
     inclusive), so ``last = t + width`` gives a trailing sum, ``last = least(next - 1, t + width)`` over the same item a
-    trailing distinct count.
+    trailing distinct count, and ``last = None`` an all-time total.
     """
     keys = list(keys)
     hot = find_hot(df, keys) if hot is None else hot
     start = F.col(at) if inclusive else F.col(at) + 1
     by_last: dict[str, list[str]] = {}
-    ends = {n: e._jc.toString() if hasattr(e, "_jc") else str(e) for n, (_, e) in measures.items()}
+    ends = {n: str(e) for n, (_, e) in measures.items() if e is not None}
     for n, text in ends.items():
         by_last.setdefault(text, []).append(n)
     payload = F.struct(*df.columns)
@@ -249,6 +254,33 @@ def trailing(df: DataFrame, keys: Sequence[str], at: str, measures: dict[str, tu
         "_row.*", *[F.coalesce(F.col(n), F.lit(0).cast(types[n])).alias(n) for n in measures])
 
 
+def trailing_peak(df: DataFrame, keys: Sequence[str], item: str, at: str, width: int, name: str,
+                  hot: Hot | None = None) -> DataFrame:
+    """Per row, the largest number of rows of one ``item`` of the key with ``t - width <= at < t``.
+
+    An item whose live count is n holds levels 1..n. The peak is the number of levels held by at least one item, so it
+    is a running sum of the moments at which a level of the key becomes held or free.
+    """
+    keys = list(keys)
+    hot = find_hot(df, keys) if hot is None else hot
+    steps = df.select(*keys, item, F.explode(F.array(
+        F.struct((F.col(at) + 1).alias("_at"), F.lit(1).cast("long").alias("_d")),
+        F.struct((F.col(at) + width + 1).alias("_at"), F.lit(-1).cast("long").alias("_d")))).alias("_e")).groupBy(
+        *keys, item, F.col("_e._at").alias("_at")).agg(F.sum("_e._d").alias("_d"))
+    live = running(steps, [*keys, item], "_at", {"_n": F.col("_d")}, hot)
+    was = F.col("_n") - F.col("_d")
+    levels = live.filter(F.col("_d") != 0).select(
+        *keys, "_at", F.signum("_d").cast("long").alias("_d"),
+        F.explode(F.sequence(F.least(was, F.col("_n")) + 1, F.greatest(was, F.col("_n")))).alias("_level")).groupBy(
+        *keys, "_level", "_at").agg(F.sum("_d").alias("_d"))
+    held = running(levels, [*keys, "_level"], "_at", {"_n": F.col("_d")}, hot)
+    flips = held.select(*keys, "_at", ((F.col("_n") > 0).cast("long") - (F.col("_n") - F.col("_d") > 0).cast("long")).alias("_d"))
+    flips = flips.filter(F.col("_d") != 0).select(*keys, "_at", "_d", F.lit(None).cast(df.schema).alias("_row"))
+    asks = df.select(*keys, F.col(at).alias("_at"), F.lit(0).cast("long").alias("_d"), F.struct(*df.columns).alias("_row"))
+    out = running(asks.unionByName(flips), keys, "_at", {"_peak": F.col("_d")}, hot)
+    return out.filter(F.col("_row").isNotNull()).select("_row.*", F.col("_peak").alias(name))
+
+
 def _wide(t: T.DataType) -> T.DataType:
     if isinstance(t, T.DecimalType):
         return T.DecimalType(28, t.scale)
@@ -280,19 +312,20 @@ def ranked_totals(df: DataFrame, by: str, sums: dict[str, Column], per_task: int
 def quantiles(df: DataFrame, column: str, ps: Sequence[float]) -> list[float]:
     """Exact interpolated quantiles of a column, without holding its values in one task."""
     ranks = ranked_totals(df.filter(F.col(column).isNotNull()), column, {"_n": F.lit(1).cast("long")})
-    total = df.filter(F.col(column).isNotNull()).count()
-    if total == 0:
+    total = F.max("_n_cum").alias("total")
+    marks = [F.floor(p * (F.col("total") - 1)).cast("long") for p in map(F.lit, ps)]
+    ranks = ranks.crossJoin(F.broadcast(ranks.agg(total)))
+    spots = F.array_distinct(F.flatten(F.array(*[F.array(m, m + 1) for m in marks])))
+    hit = F.filter(spots, lambda i: (i < F.col("_n_cum")) & (i >= F.col("_n_cum") - F.col("_n")))
+    rows = ranks.select(F.col(column).cast("double").alias("v"), hit.alias("at"), "total").filter(F.size("at") > 0).collect()
+    if not rows:
         return [float("nan")] * len(ps)
-    spots = sorted({i for p in ps for i in (math.floor(p * (total - 1)), math.ceil(p * (total - 1)))})
-    hit = F.filter(F.array(*[F.lit(i).cast("long") for i in spots]),
-                   lambda i: (i < F.col("_n_cum")) & (i >= F.col("_n_cum") - F.col("_n")))
-    found = {}
-    for r in ranks.select(F.col(column).cast("double").alias("v"), hit.alias("at")).filter(F.size("at") > 0).collect():
-        found.update({i: r["v"] for i in r["at"]})
+    found = {i: r["v"] for r in rows for i in r["at"]}
     out = []
     for p in ps:
-        x = p * (total - 1)
-        a, b = found[math.floor(x)], found[math.ceil(x)]
+        x = p * (rows[0]["total"] - 1)
+        a = found[math.floor(x)]
+        b = found[math.ceil(x)]
         out.append(a + (b - a) * (x - math.floor(x)))
     return out
 

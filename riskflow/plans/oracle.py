@@ -263,3 +263,169 @@ add("ml_features", VELOCITY, EVT, BURST, GEO, NET, BEHAVE, SEQ, RUNS, FLAGS, ENT
   {b("hv + extreme + disp + CASE WHEN cat = 'HIGH_RISK' THEN 1 ELSE 0 END + smurf + layer + CASE WHEN seqpat <> 'NORMAL' THEN 1 ELSE 0 END", 'composite_risk_score')}
   FROM beh LEFT JOIN ge ON ge.src = beh.payer_id AND ge.dst = beh.payee_id LEFT JOIN sfp ON sfp.transaction_id = beh.transaction_id
   LEFT JOIN woe ON woe.payer_id = beh.payer_id""")
+
+# ---- data preparation
+DIRTY = """dirty AS (SELECT transaction_id, payer_id, payee_id, us, CASE WHEN transaction_id % 50 = 7 THEN -amount ELSE amount END AS amount,
+  CASE WHEN transaction_id % 40 = 3 THEN geo_lat + 100 ELSE geo_lat END AS geo_lat, CASE WHEN transaction_id % 30 = 1 THEN NULL ELSE channel END AS channel FROM tx)"""
+add("recent_scan", "SELECT transaction_id FROM tx WHERE us >= (SELECT max(us) FROM tx) - 604800000000")
+add("validate_tx", DIRTY, """SELECT transaction_id, concat_ws(',', CASE WHEN channel IS NULL THEN 'channel_missing' END,
+  CASE WHEN amount <= 0 THEN 'amount_not_positive' END, CASE WHEN geo_lat NOT BETWEEN -90 AND 90 THEN 'geo_lat_out_of_range' END) AS failed FROM dirty""")
+add("dq_profile", DIRTY, " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {r(f'1 - count({c}) / count(*)', 'null_rate')}, {b(f'count(DISTINCT {c})', 'distinct_values')},
+  CAST(min({c}) AS VARCHAR) AS minimum, CAST(max({c}) AS VARCHAR) AS maximum, {b(flag(f'1 - count({c}) / count(*) < 0.05'), 'acceptable')} FROM dirty"""
+    for c in ("transaction_id", "payer_id", "channel", "us")))
+add("scd2", "chg AS (SELECT payer_id, channel, us, transaction_id, lag(channel) OVER (PARTITION BY payer_id ORDER BY us, transaction_id) AS old FROM tx)",
+    f"""SELECT payer_id, channel, us AS valid_from, lead(us) OVER w AS valid_to, {b(flag('lead(us) OVER w IS NULL'), 'is_current')} FROM chg
+  WHERE old IS NULL OR old <> channel WINDOW w AS (PARTITION BY payer_id ORDER BY us, transaction_id)""")
+add("screen", "listed AS (SELECT payee_id AS id, min(channel) AS kind FROM tx WHERE amount > 300 GROUP BY 1)",
+    f"""SELECT transaction_id, a.kind AS payer_list, z.kind AS payee_list, {b(flag('a.kind IS NOT NULL OR z.kind IS NOT NULL'), 'watchlist_hit')}
+  FROM tx LEFT JOIN listed a ON a.id = payer_id LEFT JOIN listed z ON z.id = payee_id""")
+add("dedup_requests", f"""SELECT transaction_id, md5(concat_ws('|', payer_id, payee_id, channel)) AS request_hash,
+  {b(flag('us - lag(us) OVER (PARTITION BY payer_id, payee_id, channel ORDER BY us, transaction_id) <= 259200000000'), 'reused')} FROM tx""")
+ORACLE["resolve_entities"] = """WITH RECURSIVE ids AS (SELECT c_custkey AS id, concat('t', c_nationkey, regexp_replace(CAST(CAST(floor(c_acctbal / 20) AS BIGINT) AS VARCHAR), '[^A-Z0-9]', '', 'g')) AS k FROM customer
+    UNION SELECT c_custkey, concat('d', regexp_replace(upper(c_mktsegment), '[^A-Z0-9]', '', 'g'), regexp_replace(CAST(CAST(floor(c_acctbal / 5) AS BIGINT) AS VARCHAR), '[^A-Z0-9]', '', 'g')) FROM customer),
+  links AS (SELECT DISTINCT x.id AS a, y.id AS b FROM ids x JOIN ids y USING (k)),
+  reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT a AS c_custkey, min(CAST(b AS VARCHAR)) AS entity_id FROM reach GROUP BY 1"""
+
+# ---- point in time
+D1 = "PARTITION BY payer_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING"
+PIT24 = f"""pit AS (SELECT *, count(*) OVER ({D1}) AS n, coalesce(CAST(sum(amount) OVER ({D1}) AS DOUBLE), 0) AS total,
+  count(DISTINCT payee_id) OVER ({D1}) AS np, coalesce(stddev_samp(amt) OVER ({D1}), 0) AS sd FROM tx),
+  pit24 AS (SELECT *, coalesce(total / nullif(n, 0), 0) AS mean FROM pit)"""
+P24 = f"""{b('n', 'tx_count_24h')}, {r('total', 'total_amount_24h')}, {b('np', 'unique_payees_24h')}"""
+add("pit_24h", PIT24, f"""SELECT transaction_id, {P24}, {r('sd', 'amount_std_24h')}, {r('mean', 'amount_mean_24h')},
+  {r('amt / greatest(mean, 1)', 'amount_vs_mean_ratio')} FROM pit24""")
+add("pit_24h_large", PIT24, f"SELECT transaction_id, {P24}, {r('mean', 'amount_mean_24h')} FROM pit24", base=TXL)
+
+
+def pit_tail(cap):
+    return f"""th0 AS (SELECT *, list(amt ORDER BY us) OVER (PARTITION BY payer_id ORDER BY us RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING) AS h0 FROM tx),
+  th1 AS (SELECT *, CASE WHEN len(h0) > {cap} THEN h0[len(h0) - {cap} + 1:] ELSE h0 END AS h FROM th0),
+  th2 AS (SELECT *, coalesce(len(h), 0) >= 10 AS ok, list_aggregate(h, 'quantile_cont', 0.95) AS p95, list_avg(h) AS m, list_aggregate(h, 'stddev_pop') AS sd FROM th1),
+  th3 AS (SELECT *, list_filter(h, lambda x: x > p95) AS ex FROM th2),
+  tail AS (SELECT transaction_id, CASE WHEN ok THEN p95 ELSE amt END AS p95t, CASE WHEN ok AND amt > p95 THEN 1 ELSE 0 END AS above,
+    CASE WHEN ok AND amt > p95 AND len(ex) > 0 THEN (amt - list_avg(ex)) / (list_aggregate(ex, 'stddev_pop') + 1e-8) ELSE 0 END AS exz,
+    CASE WHEN ok THEN least(sd * sd / (m + 1e-8), 10) ELSE 1 END AS disp,
+    CASE WHEN ok THEN (len(list_filter(h, lambda x: x < amt)) + len(list_filter(h, lambda x: x <= amt))
+      + CASE WHEN list_contains(h, amt) THEN 1 ELSE 0 END) / (2.0 * len(h)) ELSE 0.5 END AS pct,
+    CASE WHEN ok THEN (amt - m) / (sd + 1e-8) ELSE 0 END AS z FROM th3)"""
+
+
+TSEL = f"""{r('p95t', 'evt_p95_threshold', 5)}, {b('above', 'amount_above_evt')}, {r('exz', 'evt_excess_zscore', 2)},
+  {r('disp', 'amount_dispersion', 5)}, {r('pct', 'amount_percentile', 5)}, {r('z', 'amount_zscore', 5)}"""
+add("pit_tail", pit_tail(1000), f"SELECT transaction_id, {TSEL} FROM tail")
+add("pit_tail_short", pit_tail(20), f"SELECT transaction_id, {TSEL} FROM tail")
+
+
+def behaviour(size):
+    return f"""bh0 AS (SELECT *, CAST(round(amount) AS BIGINT) AS whole, lag(us) OVER {BYP} AS pus, lag(amt) OVER {BYP} AS pamt FROM tx),
+  bh1 AS (SELECT transaction_id, payer_id, us, amt, list({{'us': us, 'pus': pus, 'ch': channel, 'rnd': CASE WHEN whole % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN whole % 5 = 0 THEN 1 ELSE 0 END,
+    'rapid': (us - pus) // 60000000 < 600, 'sim': abs(amt - pamt) < 20 AND amt > 30}} ORDER BY us)
+    OVER (PARTITION BY payer_id ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING) AS h0 FROM bh0),
+  bh2 AS (SELECT *, coalesce(CASE WHEN len(h0) > {size} THEN h0[len(h0) - {size} + 1:] ELSE h0 END, []) AS h FROM bh1),
+  bh AS (SELECT *, len(h) AS n, greatest(len(h), 1) AS per FROM bh2)"""
+
+
+BSEL = f"""{b('bh.n', 'recent_tx_count')}, {r('coalesce(list_sum(list_transform(h, lambda x: x.rnd)), 0) / per', 'round_amount_ratio', 5)},
+  {r('len(list_filter(h, lambda x: x.pus >= bh.us - 604800000000 AND x.rapid)) / per', 'rapid_sequence_ratio', 5)},
+  {r('len(list_filter(h, lambda x: x.pus >= bh.us - 604800000000 AND x.sim)) / per', 'similar_amount_ratio', 5)},
+  {b('greatest(list_unique(list_transform(h, lambda x: x.ch)), 1)', 'channel_diversity')},
+  {b(flag('CAST(bh.amt * 100 AS BIGINT) % 1000 = 0'), 'amount_is_round_10')}, {b(flag('CAST(bh.amt * 100 AS BIGINT) % 500 = 0'), 'amount_is_round_5')}"""
+add("pit_behaviour", behaviour(20), f"SELECT transaction_id, {BSEL.replace(', 5)', ', 6)')} FROM bh".replace(", 5) + 0.0", ", 6) + 0.0"))
+M1 = "RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING"
+PNET = f"""nw AS (SELECT transaction_id, count(DISTINCT payee_id) OVER (PARTITION BY payer_id ORDER BY us {M1}) AS od,
+    count(DISTINCT payer_id) OVER (PARTITION BY payee_id ORDER BY us {M1}) AS idg,
+    list(payee_id) OVER (PARTITION BY payer_id ORDER BY us {M1}) AS seen,
+    count(*) OVER (PARTITION BY payer_id, payee_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM tx),
+  pnet AS (SELECT *, coalesce(list_max(map_values(list_histogram(seen))), 0) AS peak FROM nw)"""
+NSEL = f"""{b('od', 'payer_out_degree')}, {b('idg', 'payee_in_degree')}, {b('peak', 'max_tx_to_counterparty')},
+  {b(flag('prev > 0'), 'is_repeated_counterparty')}, {b('prev', 'previous_tx_count')}"""
+add("pit_network", PNET, f"SELECT transaction_id, {NSEL}, {r('ln(1 + od * idg)', 'network_centrality_proxy')} FROM pnet")
+add("online_features", PIT24, pit_tail(1000), behaviour(50), PNET, f"""SELECT pit24.transaction_id, {r('pit24.amt', 'amount', 5)}, {r('ln(1 + pit24.amt)', 'amount_log', 5)},
+  {b('hour(ts)', 'hour_of_day')}, {b('isodow(ts) - 1', 'day_of_week')}, {b(flag('isodow(ts) >= 6'), 'is_weekend')},
+  {b(flag('hour(ts) >= 22 OR hour(ts) <= 6'), 'is_night')}, {b(flag("channel = 'click'"), 'channel_click')},
+  {b(flag("channel = 'view'"), 'channel_view')}, {b(flag("channel = 'purchase'"), 'channel_purchase')}, {b('1', 'has_geo')},
+  {b('pit24.n', 'tx_count_24h')}, {r('total', 'total_amount_24h', 5)}, {b('np', 'unique_payees_24h')}, {r('sd', 'amount_std_24h', 5)},
+  {r('mean', 'amount_mean_24h', 5)}, {r('pit24.amt / greatest(mean, 1)', 'amount_vs_mean_ratio', 5)}, {TSEL}, {BSEL}, {NSEL},
+  {r('ln(1 + od * idg)', 'network_centrality_proxy', 5)}
+  FROM pit24 JOIN tail USING (transaction_id) JOIN bh USING (transaction_id) JOIN pnet USING (transaction_id)""")
+add("asof_interval", f"""SELECT l.transaction_id, {b('count(*)', 'errors_24h')}, {b('max(e.us)', 'last_error')} FROM tx l JOIN tx e
+  ON e.payer_id = l.payer_id AND e.channel = 'error' AND e.us >= l.us - 86400000000 AND e.us < l.us GROUP BY 1""")
+
+# ---- graph
+NODES = "nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), nn AS (SELECT count(*) AS n FROM nodes)"
+
+
+def unrolled_pagerank(k, alpha=0.85, jump="(SELECT 1.0 / n FROM nn)"):
+    """k rounds as chained CTEs; ``jump`` is the teleport share of node ``id``."""
+    parts = ["outw AS (SELECT src, sum(w) AS sw FROM edges GROUP BY 1)",
+             "lnk AS MATERIALIZED (SELECT e.src, e.dst, w / sw AS share FROM edges e JOIN outw USING (src))",
+             f"jmp AS MATERIALIZED (SELECT id, {jump} AS j FROM nodes)",
+             "x0 AS MATERIALIZED (SELECT id, (SELECT 1.0 / n FROM nn) AS x FROM nodes)"]
+    for i in range(k):
+        parts.append(f"""x{i + 1} AS MATERIALIZED (SELECT jmp.id, {alpha} * (coalesce(got, 0) + j * (SELECT coalesce(sum(x), 0) FROM x{i} WHERE id NOT IN (SELECT src FROM outw))) + {1 - alpha} * j AS x
+  FROM jmp LEFT JOIN (SELECT dst, sum(x * share) AS got FROM lnk JOIN x{i} ON src = x{i}.id GROUP BY 1) g ON g.dst = jmp.id)""")
+    return parts
+
+
+add("pagerank", EDGES, NODES, *unrolled_pagerank(5), f"SELECT id, {r('x', 'pagerank', 9)} FROM x5")
+SEEDS = "CASE WHEN id IN (SELECT payer_id FROM tx WHERE is_sar = 1) THEN 1.0 ELSE 0 END / (SELECT count(*) FROM nodes WHERE id IN (SELECT payer_id FROM tx WHERE is_sar = 1))"
+add("propagate_risk", EDGES, NODES, *unrolled_pagerank(5, jump=SEEDS), f"SELECT id, {r('x', 'risk', 9)} FROM x5")
+BOTH = "bw AS MATERIALIZED (SELECT a AS src, b AS dst, w FROM ued UNION ALL SELECT b, a, w FROM ued)"
+
+
+def unrolled_eigen(k):
+    parts = ["v0 AS MATERIALIZED (SELECT id, (SELECT 1.0 / n FROM nn) AS x FROM nodes)"]
+    for i in range(k):
+        parts.append(f"y{i} AS MATERIALIZED (SELECT v.id, v.x + sum(w * o.x) AS x FROM v{i} v JOIN bw ON bw.dst = v.id JOIN v{i} o ON o.id = bw.src GROUP BY v.id, v.x)")
+        parts.append(f"v{i + 1} AS MATERIALIZED (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM y{i}) AS x FROM y{i})")
+    return parts
+
+
+add("eigenvector", EDGES, NODES, UEDGES, BOTH, *unrolled_eigen(5), f"SELECT id, {r('x', 'eigenvector', 8)} FROM v5")
+COMP = """reach(id, c) AS (SELECT id, id FROM nodes UNION SELECT bw.dst, reach.c FROM reach JOIN bw ON bw.src = reach.id WHERE reach.c < bw.dst),
+  comp AS (SELECT id, min(c) AS component FROM reach GROUP BY 1)"""
+add("components", EDGES, NODES, UEDGES, BOTH, COMP, "SELECT id, component FROM comp")
+ORACLE["order_components"] = """WITH RECURSIVE l AS (SELECT DISTINCT concat('p', l_partkey) AS a, concat('o', l_orderkey) AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1),
+  bw AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach(id, c) AS (SELECT a, a FROM bw UNION SELECT bw.b, reach.c FROM reach JOIN bw ON bw.a = reach.id)
+SELECT id, min(c) AS component FROM reach GROUP BY 1"""
+
+
+def unrolled_labels(k):
+    parts = ["l0 AS MATERIALIZED (SELECT id, id AS label FROM nodes)"]
+    for i in range(k):
+        parts.append(f"""c{i} AS (SELECT bw.dst AS id, label, count(*) AS n FROM bw JOIN l{i} ON l{i}.id = bw.src GROUP BY 1, 2),
+  l{i + 1} AS MATERIALIZED (SELECT id, arg_min(label, struct_pack(a := -n, b := label)) AS label FROM c{i} GROUP BY 1)""")
+    return parts
+
+
+LABELS = [EDGES, NODES, UEDGES, BOTH, *unrolled_labels(5)]
+add("label_propagation", *LABELS, "SELECT 'label_propagation' AS method, id AS node, label AS community_id FROM l5")
+add("community_report", *LABELS, META, f"""SELECT 'label_propagation' AS method, label AS community_id, {b('count(*)', 'size')},
+  array_to_string(list_slice(list_sort(list(meta.id)), 1, 10), ',') AS members, {r('sum(flow)', 'total_flow', 4)},
+  {r('sum(flow) / count(*)', 'avg_flow_per_member', 4)}, {b('sum(txs)', 'total_transactions')},
+  {r('sum(txs) / count(*)', 'avg_transactions_per_member', 4)}, {r('avg(dc)', 'avg_degree', 4)} FROM l5 JOIN meta USING (id) GROUP BY label""")
+RISK = """rk0 AS (SELECT *, least(2 * coalesce(dc, 0) + 100 * pr, 1) AS cr, CASE WHEN flow > 0 THEN greatest(least(log10(flow) / 6, 1), 0) ELSE 0 END AS vr,
+    CASE WHEN txs > 0 THEN least(txs / 30 / 50, 1) ELSE 0 END AS sr, CASE WHEN outd / greatest(ind, 1) > 10 OR outd / greatest(ind, 1) < 0.1 THEN 0.8 ELSE 0.1 END AS st FROM metap),
+  rk AS (SELECT *, least(0.25 * cr + 0.25 * vr + 0.2 * imb + 0.2 * sr + 0.1 * st, 1) AS total_risk FROM rk0)"""
+add("entity_risk", EDGES, NODES, META, *unrolled_pagerank(5), "metap AS (SELECT meta.*, x AS pr FROM meta JOIN x5 USING (id))", RISK,
+    f"SELECT id, {r('cr', 'centrality_risk')}, {r('vr', 'volume_risk')}, {r('imb', 'imbalance_risk')}, {r('sr', 'velocity_risk')}, {r('st', 'structural_risk')}, {r('total_risk', 'composite_risk')} FROM rk")
+add("network_summary", EDGES, NODES, UEDGES, BOTH, COMP, META, "metap AS (SELECT *, 0 AS pr FROM meta)", RISK,
+    "cs AS (SELECT component, count(*) AS size FROM comp GROUP BY 1)",
+    f"""SELECT {b('(SELECT n FROM nn)', 'nodes')}, {b('(SELECT count(*) FROM cs)', 'components')}, {b('(SELECT max(size) FROM cs)', 'largest_component')},
+  {b('(SELECT count(*) FROM edges)', 'edges')}, {r('avg(total_risk)', 'mean_risk')}, {r('stddev_pop(total_risk)', 'std_risk')},
+  {b('count(*) FILTER (total_risk > 0.7)', 'high_risk_entities')}, {b('count(*) FILTER (total_risk < 0.3)', 'low_risk_entities')},
+  {r('(SELECT count(*) FROM edges) / (SELECT n * (n - 1) FROM nn)', 'density')}, {r('(SELECT max(size) FROM cs) / (SELECT n FROM nn)', 'connectivity_ratio')} FROM rk""")
+add("entity_patterns", *LABELS, META, "ud AS (SELECT src AS id, count(*) AS nb FROM bw GROUP BY 1)", "lsz AS (SELECT label, count(*) AS size FROM l5 GROUP BY 1)",
+    "pb AS (SELECT meta.*, nb, size FROM meta JOIN ud USING (id) JOIN l5 USING (id) JOIN lsz USING (label))",
+    f"""SELECT id, 'hub' AS pattern, CASE WHEN nb < 300 THEN 'medium' ELSE 'high' END AS severity, {r('least(nb / 600, 1)', 'score')} FROM pb WHERE nb > 60
+  UNION ALL SELECT id, 'high_velocity', 'medium', {r('least(txs / 750, 1)', 'score')} FROM pb WHERE txs > 150
+  UNION ALL SELECT id, 'flow_imbalance', 'medium', {r('imb', 'score')} FROM pb WHERE imb > 0.5
+  UNION ALL SELECT id, 'isolated_community', 'low', {r('1 / size', 'score')} FROM pb WHERE size < 5""")
+add("entity_neighbours", EDGES, "SELECT src AS id, 'out' AS direction, dst AS neighbour FROM edges UNION ALL SELECT dst, 'in', src FROM edges")
+add("khop", EDGES, META, "f0 AS (SELECT id, outa / (outn + 1e-6) AS f, outd AS g FROM meta)",
+    "f1 AS (SELECT dst AS id, avg(f) AS f, avg(g) AS g FROM edges JOIN f0 ON src = id GROUP BY 1)",
+    "f2 AS (SELECT dst AS id, avg(f) AS f, avg(g) AS g FROM edges JOIN f1 ON src = id GROUP BY 1)",
+    f"""SELECT f0.id, {r('f0.f', 'avg_out_amount')}, {r('f0.g', 'out_degree')}, {r('f1.f', 'avg_out_amount_hop1')}, {r('f1.g', 'out_degree_hop1')},
+  {r('f2.f', 'avg_out_amount_hop2')}, {r('f2.g', 'out_degree_hop2')} FROM f0 LEFT JOIN f1 USING (id) LEFT JOIN f2 USING (id)""")

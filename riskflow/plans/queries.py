@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions import scalars as sc
+from riskflow.operators import community as cm
 from riskflow.operators import edges as eg
 from riskflow.operators import encoding as en
+from riskflow.operators import graph as gr
+from riskflow.operators import pointintime as pt
 from riskflow.operators import profiles as pf
 from riskflow.operators import windows as wn
 from riskflow.plans import features as ft
 from riskflow.plans.common import tidy
+from riskflow.sources import quality as ql
 from riskflow.sources import transactions as sx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +253,237 @@ def ml_features(spark, d):
     t = tx(spark, d)
     out = ft.ml_features(t, sx.labels_from(t), band=BAND, bases=BASES, high_amount=HIGH)
     return tidy(out, fano_interval=3, pagerank_proxy=3, max_geo_distance=4)
+
+
+# ---- data preparation
+
+def dirty(spark, d):
+    """Transactions with some fields broken by rule, to validate and profile."""
+    t = tx(spark, d)
+    i = F.col("transaction_id")
+    return t.withColumns({
+        "amount": F.when(i % 50 == 7, -F.col("amount")).otherwise(F.col("amount")),
+        "geo_lat": F.when(i % 40 == 3, F.col("geo_lat") + 100).otherwise(F.col("geo_lat")),
+        "channel": F.when(i % 30 == 1, F.lit(None)).otherwise(F.col("channel")),
+    })
+
+
+@query
+def recent_scan(spark, d):
+    return tidy(sx.recent(tx(spark, d), 7).select("transaction_id"))
+
+
+@query
+def validate_tx(spark, d):
+    checked = ql.failed_rules(dirty(spark, d))
+    return tidy(checked.select("transaction_id", F.concat_ws(",", "failed").alias("failed")))
+
+
+@query
+def dq_profile(spark, d):
+    out = ql.dq_profile(dirty(spark, d).select("transaction_id", "payer_id", "channel", "us"))
+    return tidy(out)
+
+
+@query
+def scd2(spark, d):
+    out = ql.scd2(tx(spark, d), "payer_id", ["channel"], "us", "transaction_id")
+    return tidy(out)
+
+
+@query
+def screen(spark, d):
+    t = tx(spark, d)
+    # every payee ever paid over 300 is listed
+    listed = t.filter(F.col("amount") > 300).select(F.col("payee_id").alias("entity_id"), F.col("channel").alias("list_type"))
+    return tidy(ql.screen(t, listed).select("transaction_id", "payer_list", "payee_list", "watchlist_hit"))
+
+
+@query
+def dedup_requests(spark, d):
+    out = ql.dedup_requests(tx(spark, d), ["payer_id", "payee_id", "channel"], "us", 72 * 3_600_000_000, "transaction_id")
+    return tidy(out.select("transaction_id", "request_hash", "reused"))
+
+
+@query
+def resolve_entities(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(
+        "c_custkey", F.concat_ws("-", "c_nationkey", F.floor(F.col("c_acctbal") / 20)).alias("tax_id"),
+        F.concat_ws(".", "c_mktsegment", F.floor(F.col("c_acctbal") / 5)).alias("device"))
+    return tidy(ql.resolve_entities(c, "c_custkey", ["tax_id", "device"]).select("c_custkey", "entity_id"))
+
+
+# ---- point in time
+
+@query
+def pit_24h(spark, d):
+    out = pt.pit_24h(tx(spark, d))
+    return tidy(out.select("transaction_id", "tx_count_24h", "total_amount_24h", "unique_payees_24h", "amount_std_24h",
+                           "amount_mean_24h", "amount_vs_mean_ratio"))
+
+
+@query
+def pit_24h_large(spark, d):
+    out = pt.pit_24h(tx_large(spark, d))
+    return tidy(out.select("transaction_id", "tx_count_24h", "total_amount_24h", "unique_payees_24h", "amount_mean_24h"))
+
+
+TAIL = ["evt_p95_threshold", "amount_above_evt", "evt_excess_zscore", "amount_dispersion", "amount_percentile", "amount_zscore"]
+HABITS = ["recent_tx_count", "round_amount_ratio", "rapid_sequence_ratio", "similar_amount_ratio", "channel_diversity"]
+LINKS = ["payer_out_degree", "payee_in_degree", "max_tx_to_counterparty", "is_repeated_counterparty", "previous_tx_count",
+         "network_centrality_proxy"]
+
+
+@query
+def pit_tail(spark, d):
+    return tidy(pt.pit_tail(tx(spark, d)).select("transaction_id", *TAIL), 5, evt_excess_zscore=2)
+
+
+@query
+def pit_tail_short(spark, d):
+    """History capped at 20 rows: the cap bites."""
+    return tidy(pt.pit_tail(tx(spark, d), max_hist=20).select("transaction_id", *TAIL), 5, evt_excess_zscore=2)
+
+
+@query
+def pit_behaviour(spark, d):
+    out = pt.pit_behaviour(tx(spark, d), 20, bases=(10, 5), rapid=600, near=20, above=30)
+    return tidy(out.select("transaction_id", *HABITS, "amount_is_round_10", "amount_is_round_5"))
+
+
+@query
+def pit_network(spark, d):
+    return tidy(pt.pit_network(tx(spark, d)).select("transaction_id", *LINKS))
+
+
+@query
+def online_features(spark, d):
+    out = pt.online_features(tx(spark, d), ("click", "view", "purchase"), (10, 5), 20, 30, 600)
+    return tidy(out.select("transaction_id", *pt.online_names(("click", "view", "purchase"), (10, 5))), 5, evt_excess_zscore=2)
+
+
+@query
+def asof_interval(spark, d):
+    t = tx(spark, d)
+    left = t.select("transaction_id", "payer_id", "us")
+    errors = t.filter(F.col("channel") == "error").select("payer_id", F.col("us").alias("err_us"))
+    met = pt.asof_interval(left, errors, "payer_id", 86_400_000_000, "us", "err_us")
+    return tidy(met.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("errors_24h"), F.max("err_us").alias("last_error")))
+
+
+# ---- graph
+
+def edges_of(spark, d):
+    return eg.build_edges(tx(spark, d))
+
+
+def label_communities(spark, d, rounds=5):
+    labels = cm.label_propagation(eg.undirected(edges_of(spark, d)), rounds)
+    return cm.as_communities(labels, "label_propagation", "id", "label")
+
+
+@query
+def pagerank(spark, d):
+    return tidy(gr.pagerank(edges_of(spark, d), iters=5, tol=None), 9)
+
+
+@query
+def pagerank_converged(spark, d):
+    return tidy(gr.pagerank(edges_of(spark, d)), 6)
+
+
+@query
+def eigenvector(spark, d):
+    return tidy(gr.eigenvector(eg.undirected(edges_of(spark, d)), iters=5, tol=None), 8)
+
+
+@query
+def components(spark, d):
+    return tidy(gr.components(edges_of(spark, d)))
+
+
+@query
+def order_components(spark, d):
+    """Parts and suppliers linked by order lines of high quantity: many components."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").filter((F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.1))
+    links = lines.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("dst"))
+    return tidy(gr.components(links))
+
+
+@query
+def label_propagation(spark, d):
+    return tidy(label_communities(spark, d))
+
+
+@query
+def louvain(spark, d):
+    return tidy(cm.louvain(eg.undirected(edges_of(spark, d))))
+
+
+@query
+def betweenness(spark, d):
+    return tidy(gr.betweenness(eg.undirected(edges_of(spark, d)), k=20, distance="hop"))
+
+
+@query
+def betweenness_weighted(spark, d):
+    return tidy(gr.betweenness(eg.undirected(edges_of(spark, d)), k=10, distance="weight"))
+
+
+@query
+def closeness(spark, d):
+    return tidy(gr.closeness(eg.undirected(edges_of(spark, d))), 7)
+
+
+@query
+def community_report(spark, d):
+    out = gr.community_report(label_communities(spark, d), eg.node_metadata(edges_of(spark, d)), eg.degree_centrality(edges_of(spark, d)).select("id", "degree"))
+    return tidy(out.withColumn("members", F.concat_ws(",", F.transform("members", lambda m: m.cast("string")))), 4)
+
+
+@query
+def network_summary(spark, d):
+    e = edges_of(spark, d)
+    return tidy(gr.network_summary(e, gr.components(e), gr.entity_risk(eg.node_metadata(e))))
+
+
+@query
+def entity_risk(spark, d):
+    e = edges_of(spark, d)
+    out = gr.entity_risk(eg.node_metadata(e), gr.pagerank(e, iters=5, tol=None))
+    return tidy(out.select("id", "centrality_risk", "volume_risk", "imbalance_risk", "velocity_risk", "structural_risk", "composite_risk"))
+
+
+@query
+def entity_patterns(spark, d):
+    e = edges_of(spark, d)
+    u = eg.undirected(e)
+    out = gr.entity_patterns(eg.node_metadata(e), u, None, label_communities(spark, d), hub=60, busy=150, imbalance=0.5)
+    return tidy(out)
+
+
+@query
+def entity_profiles(spark, d):
+    e = edges_of(spark, d)
+    cent = gr.pagerank(e, iters=5, tol=None)
+    out = gr.entity_profiles(e, eg.undirected(e), cent, label_communities(spark, d))
+    return out.withColumn("patterns", F.to_json("patterns")).withColumn("communities", F.to_json("communities"))
+
+
+@query
+def entity_neighbours(spark, d):
+    return tidy(gr.entity_neighbours(edges_of(spark, d)))
+
+
+@query
+def khop(spark, d):
+    e = edges_of(spark, d)
+    feats = eg.node_metadata(e).select("id", "avg_out_amount", "out_degree")
+    return tidy(gr.khop_features(e, feats.withColumn("out_degree", F.col("out_degree").cast("double")), 2))
+
+
+@query
+def propagate_risk(spark, d):
+    t = tx(spark, d)
+    seeds = sx.labels_from(t).filter("is_sar = 1").select(F.col("payer_id").alias("id"), F.lit(1.0).alias("weight"))
+    return tidy(gr.propagate_risk(edges_of(spark, d), seeds, iters=5), 9)
