@@ -429,3 +429,153 @@ add("khop", EDGES, META, "f0 AS (SELECT id, outa / (outn + 1e-6) AS f, outd AS g
     "f2 AS (SELECT dst AS id, avg(f) AS f, avg(g) AS g FROM edges JOIN f1 ON src = id GROUP BY 1)",
     f"""SELECT f0.id, {r('f0.f', 'avg_out_amount')}, {r('f0.g', 'out_degree')}, {r('f1.f', 'avg_out_amount_hop1')}, {r('f1.g', 'out_degree_hop1')},
   {r('f2.f', 'avg_out_amount_hop2')}, {r('f2.g', 'out_degree_hop2')} FROM f0 LEFT JOIN f1 USING (id) LEFT JOIN f2 USING (id)""")
+
+# ---- validation and drift
+SC = """sc AS (SELECT *, amt / (amt + 50.0) AS p1, (payee_id + 1) / 102.0 AS p2, CASE WHEN channel = 'error' THEN 1 ELSE 0 END AS y,
+  CASE WHEN channel = 'click' THEN 1 ELSE 0 END AS t, transaction_id % 2 AS z, CAST((payee_id + 10) / 120.0 AS DOUBLE) AS e,
+  CAST(payee_id AS DOUBLE) AS k, CAST(hour(ts) AS DOUBLE) AS h, day(ts) AS dom FROM tx)"""
+
+
+def shares(days=False):
+    """Bin shares of two features in both halves of the month; per day of the second half when asked."""
+    parts = []
+    for f in ("amt", "k"):
+        parts.append(f"""SELECT '{f}' AS feature, len(list_filter(list_distinct(e_{f}), lambda q: q < {f})) AS bin, dom, dom > 15 AS cur FROM sc, ed""")
+    cuts = ", ".join(f"[{', '.join(f'quantile_cont({f}, {i / 10})' for i in range(1, 10))}] AS e_{f}" for f in ("amt", "k"))
+    head = f"ed AS (SELECT {cuts} FROM sc WHERE dom <= 15), bl AS ({' UNION ALL '.join(parts)})"
+    if days:
+        return head + """, re AS (SELECT feature, bin, count(*) AS e FROM bl WHERE NOT cur GROUP BY 1, 2),
+  dy AS (SELECT DISTINCT dom AS day FROM bl WHERE cur), ac AS (SELECT dom AS day, feature, bin, count(*) AS a FROM bl WHERE cur GROUP BY 1, 2, 3),
+  gd AS (SELECT day, feature, bin, e, coalesce(a, 0) AS a FROM dy CROSS JOIN re LEFT JOIN ac USING (day, feature, bin)),
+  sh AS (SELECT day, feature, e / sum(e) OVER w AS pe, a / sum(a) OVER w AS pa, abs(sum(e) OVER o / sum(e) OVER w - sum(a) OVER o / sum(a) OVER w) AS gap FROM gd
+    WINDOW w AS (PARTITION BY day, feature), o AS (PARTITION BY day, feature ORDER BY bin ROWS UNBOUNDED PRECEDING))"""
+    return head + """, bc AS (SELECT feature, bin, count(*) FILTER (NOT cur) AS e, count(*) FILTER (cur) AS a FROM bl GROUP BY 1, 2),
+  sh AS (SELECT feature, e / sum(e) OVER (PARTITION BY feature) AS pe, a / sum(a) OVER (PARTITION BY feature) AS pa FROM bc)"""
+
+
+PSI = "sum((greatest(pa, 1e-8) - greatest(pe, 1e-8)) * ln(greatest(pa, 1e-8) / greatest(pe, 1e-8)))"
+JSD = "sum(0.5 * greatest(pe, 1e-10) * ln(greatest(pe, 1e-10) / greatest((pe + pa) / 2, 1e-10)) + 0.5 * greatest(pa, 1e-10) * ln(greatest(pa, 1e-10) / greatest((pe + pa) / 2, 1e-10)))"
+add("psi", SC, shares(), f"SELECT feature, {r(PSI, 'psi')}, CASE WHEN {PSI} < 0.1 THEN 'STABLE' WHEN {PSI} < 0.25 THEN 'MINOR' ELSE 'MAJOR' END AS verdict FROM sh GROUP BY 1")
+add("js_divergence", SC, shares(), f"SELECT feature, {r(JSD, 'jsd')}, CASE WHEN {JSD} < 0.1 THEN 'SIMILAR' ELSE 'DIFFERENT' END AS verdict FROM sh GROUP BY 1")
+JSD8 = JSD.replace("1e-10", "1e-8").replace("greatest((pe + pa) / 2, 1e-8)", "((greatest(pe, 1e-8) + greatest(pa, 1e-8)) / 2)")
+add("drift_report", SC, shares(True), f"""SELECT day, feature, {r(PSI, 'psi')}, {r(JSD8, 'jsd')}, {r('max(gap)', 'ks_binned')},
+  CASE WHEN {PSI} < 0.1 THEN 'OK' WHEN {PSI} < 0.25 THEN 'WARN' ELSE 'CRITICAL' END AS alert FROM sh GROUP BY 1, 2""")
+add("ks_2samp", SC, "g AS (SELECT amt, count(*) FILTER (dom <= 15) AS a, count(*) FILTER (dom > 15) AS z FROM sc GROUP BY 1)",
+    "c AS (SELECT sum(a) OVER (ORDER BY amt) / sum(a) OVER () - sum(z) OVER (ORDER BY amt) / sum(z) OVER () AS gap FROM g)",
+    f"""SELECT 'ks_2samp' AS test, {r('(SELECT max(abs(gap)) FROM c)', 'statistic')},
+  {r('(avg(amt) FILTER (dom <= 15) - avg(amt) FILTER (dom > 15)) / sqrt((var_pop(amt) FILTER (dom <= 15) + var_pop(amt) FILTER (dom > 15)) / 2)', 'effect_size')} FROM sc""")
+add("arch_lm", SC, f"q AS (SELECT payer_id, p1 * p1 AS a, lag(p1 * p1) OVER {BYP} AS l FROM sc)",
+    f"SELECT payer_id, {b('count(*)', 'n')}, {r('regr_r2(a, l)', 'r2')}, {r('count(*) * regr_r2(a, l)', 'lm')} FROM q WHERE l IS NOT NULL GROUP BY 1")
+add("burst_test", "g AS (SELECT payer_id, s, s - lag(s) OVER (PARTITION BY payer_id ORDER BY s, transaction_id) AS g FROM tx)",
+    "q AS (SELECT payer_id, count(g) AS n, avg(g) AS m, var_pop(g) AS v, count(*) AS c, max(s) - min(s) AS span FROM g GROUP BY 1)",
+    f"""SELECT payer_id, {b('n')}, {r('m', 'mean_interval', 4)}, {r('v', 'var_interval', 2)}, {r('v / m', 'fano', 4)}, {r('(n - 1) * v / m', 'chi2', 2)},
+  {r('m / (span / (2 * c))', 'clark_evans', 4)}, CASE WHEN v / m > 1.5 THEN 'BURSTY' WHEN v / m < 0.67 THEN 'REGULAR' ELSE 'POISSON' END AS verdict FROM q""")
+GPD = """th AS (SELECT channel, quantile_cont(amt, 0.95) AS u FROM sc GROUP BY 1),
+  ex AS (SELECT channel, u, amt - u AS y, row_number() OVER (PARTITION BY channel ORDER BY amt) AS j, count(*) OVER (PARTITION BY channel) AS n FROM sc JOIN th USING (channel) WHERE amt > u),
+  mo AS (SELECT channel, max(u) AS u, max(n) AS n, avg(y) AS a0, sum((n - j) / (n - 1) * y) / max(n) AS a1 FROM ex GROUP BY 1),
+  gp AS (SELECT *, 2 - a0 / (a0 - 2 * a1) AS xi, 2 * a0 * a1 / (a0 - 2 * a1) AS sigma FROM mo WHERE n >= 10)"""
+TAILP = "CASE WHEN 1 + xi * y / sigma <= 0 THEN 0 ELSE power(greatest(1 + xi * y / sigma, 1e-300), -1 / xi) END"
+add("gpd_moments", SC, GPD, f"tie AS (SELECT channel, y, max(j) AS hi, min(j) - 1 AS lo FROM ex GROUP BY 1, 2)",
+    f"ks AS (SELECT channel, max(greatest(abs(hi / gp.n - (1 - {TAILP})), abs((1 - {TAILP}) - lo / gp.n))) AS ks FROM tie JOIN gp USING (channel) GROUP BY 1)",
+    f"SELECT channel, {b('n')}, {r('u', 'threshold')}, {r('xi')}, {r('sigma')}, {r('ks')} FROM gp JOIN ks USING (channel)")
+add("gpd_score", SC, GPD, f"q AS (SELECT transaction_id, amt - u AS y, xi, sigma FROM sc LEFT JOIN gp USING (channel))",
+    f"SELECT transaction_id, {r(f'CASE WHEN y > 0 THEN {TAILP} ELSE 1 END', 'tail_probability')} FROM q")
+add("gpd_var", SC, GPD, f"""SELECT channel, {r('u + sigma / xi * (power(total / n * (1 - 0.99), -xi) - 1)', 'tail_var', 5)}
+  FROM gp JOIN (SELECT channel, count(*) AS total FROM sc GROUP BY 1) USING (channel)""")
+add("mean_excess", SC, "q AS (SELECT q, quantile_cont(amt, q) AS u FROM sc, (SELECT unnest([0.5]) AS q) GROUP BY q)" if False else
+    "q AS (" + " UNION ALL ".join(f"SELECT {v} AS q, quantile_cont(amt, {v}) AS u FROM sc" for v in (0.5, 0.75, 0.9, 0.95, 0.99)) + ")",
+    f"SELECT {r('q')}, {r('u', 'threshold')}, {b('count(*)', 'n')}, {r('avg(amt - u)', 'mean_excess')} FROM sc JOIN q ON amt > u GROUP BY q, u")
+add("mcnemar", SC, "q AS (SELECT (p1 >= 0.5) = (y = 1) AS a, (p2 >= 0.5) = (y = 1) AS z FROM sc)",
+    "c AS (SELECT count(*) FILTER (a AND z) AS n11, count(*) FILTER (a AND NOT z) AS n10, count(*) FILTER (NOT a AND z) AS n01, count(*) FILTER (NOT a AND NOT z) AS n00 FROM q)",
+    f"SELECT 'mcnemar' AS test, {r('CASE WHEN n10 + n01 < 10 THEN least(n10, n01) ELSE power(abs(n10 - n01) - 1, 2) / (n10 + n01) END', 'statistic')}, {r('n11')}, {r('n10')}, {r('n01')}, {r('n00')} FROM c")
+add("importance_stability", SC, "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, dom % 5 AS fold, avg({c}) AS v FROM sc GROUP BY 2" for c in ("p1", "p2", "e", "h")) + ")",
+    "rk AS (SELECT feature, v, rank() OVER (PARTITION BY fold ORDER BY v DESC) + (count(*) OVER (PARTITION BY fold, v) - 1) / 2 AS rk FROM l)",
+    "f AS (SELECT feature, sum(rk) AS rs, count(*) AS n, stddev_pop(v) / avg(v) AS cv FROM rk GROUP BY 1)",
+    "w AS (SELECT 12 * sum(power(rs - n * 2.5, 2)) / (max(n) * max(n) * (64 - 4)) AS w, max(n) AS n, avg(cv) AS cv FROM f)",
+    f"SELECT 'importance_stability' AS test, {r('w', 'statistic')}, {r('cv', 'mean_cv')}, {r('n * 3 * w', 'friedman')} FROM w")
+add("hosmer_lemeshow", SC, f"ed AS (SELECT [{', '.join(f'quantile_cont(p1, {i / 10})' for i in range(1, 10))}] AS ed FROM sc)",
+    "g AS (SELECT len(list_filter(ed, lambda q: q <= p1)) AS bin, sum(y) AS o, sum(p1) AS e, count(*) AS n FROM sc, ed GROUP BY 1)",
+    f"SELECT 'hosmer_lemeshow' AS test, {r('sum(power(o - e, 2) / (e * (1 - e / n)))', 'statistic', 4)}, {r('count(*)', 'bins', 4)} FROM g")
+
+
+def auc_sql(p):
+    return f"(SELECT (sum(CASE WHEN y = 1 THEN mid ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) FROM (SELECT y, rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2 AS mid FROM sc))"
+
+
+add("auc", SC, f"SELECT 'auc' AS test, {r(auc_sql('p1'), 'statistic')}, {r('sum(y)', 'n1')}, {r('count(*) - sum(y)', 'n0')} FROM sc")
+add("auc_compare", SC, f"v AS (SELECT {auc_sql('p1')} AS a1, {auc_sql('p2')} AS a2, sum(y) AS n1, count(*) - sum(y) AS n0 FROM sc)",
+    f"SELECT 'auc_compare' AS test, {r('(a1 - a2) / sqrt(a1 * (1 - a1) / n1 + a2 * (1 - a2) / n0)', 'statistic')}, {r('a1', 'auc1')}, {r('a2', 'auc2')} FROM v")
+add("runs_test", SC, "q AS (SELECT us, transaction_id, (y - p2) / sqrt(p2 * (1 - p2)) AS res FROM sc)",
+    "u AS (SELECT us, transaction_id, res > (SELECT median(res) FROM q) AS up FROM q)", "l AS (SELECT up, lag(up) OVER (ORDER BY us, transaction_id) AS was FROM u)",
+    "c AS (SELECT count(*) FILTER (up <> was) + 1 AS runs, count(*) FILTER (up) AS n1, count(*) FILTER (NOT up) AS n2 FROM l)",
+    f"SELECT 'runs_test' AS test, {r('(runs - (2.0 * n1 * n2 / (n1 + n2) + 1)) / sqrt(2.0 * n1 * n2 * (2.0 * n1 * n2 - n1 - n2) / (power(n1 + n2, 2) * (n1 + n2 - 1)))', 'statistic')}, {r('runs')}, {r('n1')}, {r('n2')} FROM c")
+add("vif", SC, f"v AS (SELECT 1 / (1 - power(corr(amt, h), 2)) AS v FROM sc)",
+    f"SELECT f AS feature, {r('v', 'vif')}, CASE WHEN v < 5 THEN 'LOW' WHEN v < 10 THEN 'MODERATE' ELSE 'HIGH' END AS verdict FROM v, (SELECT unnest(['amt', 'h']) AS f)")
+add("breusch_pagan", SC, f"SELECT 'breusch_pagan' AS test, {r('count(*) * regr_r2(power(y - p1, 2), p1)', 'statistic')}, {r('count(*)', 'n')} FROM sc")
+PR = """ds AS (SELECT p2, count(*) AS n, sum(y) AS pos FROM sc GROUP BY 1),
+  cu AS (SELECT p2, n, pos, sum(n) OVER (ORDER BY p2 DESC) AS fl, sum(pos) OVER (ORDER BY p2 DESC) AS tp, sum(n) OVER () AS tot, sum(pos) OVER () AS tpos FROM ds)"""
+add("pr_curve", SC, PR, f"SELECT {r('p2', 'threshold')}, {r('tp / fl', 'precision')}, {r('tp / tpos', 'recall')} FROM cu")
+add("evaluate", SC, PR, f"""SELECT {r('sum(pos / tpos * tp / fl)', 'average_precision')}, {r('max(tp) FILTER (p2 >= 0.6) / max(fl) FILTER (p2 >= 0.6)', 'precision')},
+  {r('max(tp) FILTER (p2 >= 0.6) / max(tpos)', 'recall')}, {r('max(fl) FILTER (p2 >= 0.6) / max(tot)', 'workload')}, {r('max(tp) FILTER (fl <= 0.2 * tot) / max(tpos)', 'recall_at_workload')} FROM cu""")
+add("optimal_threshold", SC, "qs AS (" + " UNION ALL ".join(f"SELECT {i} AS pct, quantile_cont(p1, {i / 100}) AS u FROM sc" for i in range(100)) + ")",
+    "cst AS (SELECT pct, u, sum(CASE WHEN p1 >= u THEN 1 ELSE 0 END) AS fl, sum(CASE WHEN p1 >= u THEN y ELSE 0 END) AS tp, sum(y) AS tpos, count(*) AS n FROM sc, qs GROUP BY 1, 2)",
+    "c2 AS (SELECT *, 10.0 * (tpos - tp) + (fl - tp) + 0.1 * fl AS cost FROM cst WHERE fl / n <= 0.2)",
+    f"SELECT {r('u', 'threshold')}, {r('cost')}, {r('fl / n', 'workload')} FROM c2 ORDER BY round(c2.cost, 9), pct LIMIT 1")
+add("roc_threshold", SC, PR, f"""SELECT {r('p2', 'threshold')}, {r('tp / tpos', 'tpr')}, {r('(fl - tp) / (tot - tpos)', 'fpr')}, {r('tp / tpos - 0.1 * (fl - tp) / (tot - tpos)', 'gain')}
+  FROM cu ORDER BY round(tp / tpos - 0.1 * (fl - tp) / (tot - tpos), 9) DESC, p2 DESC LIMIT 1""")
+LV = f"lv AS (SELECT *, {LEVEL.replace('score', 'p1')} AS risk_level FROM sc)"
+add("batch_summary", SC, LV, f"""SELECT {b('count(*)', 'successful_predictions')}, {b('0', 'failed_predictions')}, {', '.join(b(f"count(*) FILTER (risk_level = '{x}')", x.lower() + '_count') for x in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW'))},
+  {b("count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL'))", 'high_risk_count')}, {r("100.0 * count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL')) / count(*)", 'high_risk_percentage')}, {r('avg(p1)', 'average_risk_score')} FROM lv""")
+add("risk_rollup", SC, LV, f"SELECT channel, risk_level, dom AS day, {b('grouping(channel, risk_level, dom)', 'level')}, {b('count(*)', 'n')}, {r('avg(p1)', 'mean_score')} FROM lv GROUP BY ROLLUP (channel, risk_level, dom)")
+add("fairness", SC, "g AS (SELECT payer_id % 4 AS grp, count(*) AS n, avg(CASE WHEN p1 >= 0.6 THEN 1.0 ELSE 0 END) AS fr, avg(CASE WHEN p1 >= 0.6 THEN 1.0 ELSE 0 END) FILTER (y = 1) AS tpr, avg(CASE WHEN p1 >= 0.6 THEN 1.0 ELSE 0 END) FILTER (y = 0) AS fpr FROM sc GROUP BY 1)",
+    f"SELECT grp, {b('n')}, {r('fr', 'flag_rate')}, {r('tpr')}, {r('fpr')}, {r('max(fr) OVER () - min(fr) OVER ()', 'parity_gap')}, {r('greatest(max(tpr) OVER () - min(tpr) OVER (), max(fpr) OVER () - min(fpr) OVER ())', 'odds_gap')} FROM g")
+add("mutual_info", "j AS (SELECT channel, hour(ts) AS hr, count(*) AS c FROM tx GROUP BY 1, 2), n AS (SELECT sum(c) AS n FROM j)",
+    "ea AS (SELECT -sum(c / n * log2(c / n)) AS h FROM (SELECT channel, sum(c) AS c FROM j GROUP BY 1), n), eb AS (SELECT -sum(c / n * log2(c / n)) AS h FROM (SELECT hr, sum(c) AS c FROM j GROUP BY 1), n), ej AS (SELECT -sum(c / n * log2(c / n)) AS h FROM j, n)",
+    f"SELECT {r('ea.h', 'entropy_a')}, {r('eb.h', 'entropy_b')}, {r('ej.h', 'entropy_joint')}, {r('ea.h + eb.h - ej.h', 'mutual_info')} FROM ea, eb, ej")
+add("kl_divergence", SC, "c AS (SELECT channel, count(*) FILTER (dom <= 15) AS a, count(*) FILTER (dom > 15) AS z FROM sc GROUP BY 1), s AS (SELECT a / sum(a) OVER () AS p, greatest(z / sum(z) OVER (), 1e-10) AS q FROM c)",
+    f"SELECT {r('sum(CASE WHEN p > 0 THEN p * log2(p / q) ELSE 0 END)', 'kl')} FROM s")
+add("top_reasons", SC, "l AS (SELECT transaction_id, 'c1' AS f, p1 - 0.5 AS v FROM sc UNION ALL SELECT transaction_id, 'c2', p2 - 0.5 FROM sc UNION ALL SELECT transaction_id, 'c3', e - 0.4 FROM sc)",
+    "k AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY abs(v) DESC, f) AS rn FROM l)",
+    f"SELECT transaction_id, string_agg(f, ',' ORDER BY rn) AS features, {r('max(v) FILTER (rn = 1)', 'largest')} FROM k WHERE rn <= 2 GROUP BY 1")
+add("transitions", f"q AS (SELECT channel AS state, lead(channel) OVER {BYP} AS next_state FROM tx), c AS (SELECT state, next_state, count(*) AS n FROM q WHERE next_state IS NOT NULL GROUP BY 1, 2)",
+    f"SELECT state, next_state, {b('n')}, {r('n / sum(n) OVER (PARTITION BY state)', 'probability')} FROM c")
+
+# ---- causal
+Z95 = 1.959963984540054
+
+
+def effect(src):
+    return f"SELECT {r('ate')}, {r('se')}, {r(f'ate - {Z95} * se', 'ci_low')}, {r(f'ate + {Z95} * se', 'ci_high')} FROM {src}"
+
+
+add("ate_ipw", SC, "q AS (SELECT t, t * amt / e AS a, (1 - t) * amt / (1 - e) AS c FROM sc)",
+    "v AS (SELECT avg(a) - avg(c) AS ate, sqrt(var_pop(a) / sum(t) + var_pop(c) / sum(1 - t)) AS se FROM q)", effect("v"))
+add("ate_dr_given", SC, "m AS (SELECT *, 60 + k * 0.01 AS mu0, 61 + h * 0.1 AS mu1 FROM sc)",
+    "q AS (SELECT mu1 - mu0 + t * (amt - mu1) / e - (1 - t) * (amt - mu0) / (1 - e) AS s FROM m)", "v AS (SELECT avg(s) AS ate, stddev_pop(s) / sqrt(count(*)) AS se FROM q)", effect("v"))
+add("balance", SC, " UNION ALL ".join(f"""SELECT '{c}' AS covariate, {r(f'avg({c}) FILTER (t = 1)', 'treated_mean')}, {r(f'avg({c}) FILTER (t = 0)', 'control_mean')},
+  {r(f'abs(avg({c}) FILTER (t = 1) - avg({c}) FILTER (t = 0)) / sqrt((var_samp({c}) FILTER (t = 1) + var_samp({c}) FILTER (t = 0)) / 2)', 'smd')},
+  {b(flag(f'abs(avg({c}) FILTER (t = 1) - avg({c}) FILTER (t = 0)) / sqrt((var_samp({c}) FILTER (t = 1) + var_samp({c}) FILTER (t = 0)) / 2) > 0.1'), 'unbalanced')} FROM sc""" for c in ("k", "h", "amt")))
+add("overlap", SC, "g AS (SELECT p1, sum(t) AS a, sum(1 - t) AS z FROM sc GROUP BY 1), c AS (SELECT sum(a) OVER (ORDER BY p1) / sum(a) OVER () - sum(z) OVER (ORDER BY p1) / sum(z) OVER () AS gap FROM g)",
+    f"SELECT {r('greatest(min(p1) FILTER (t = 1), min(p1) FILTER (t = 0))', 'overlap_low')}, {r('least(max(p1) FILTER (t = 1), max(p1) FILTER (t = 0))', 'overlap_high')}, {r('(SELECT max(abs(gap)) FROM c)', 'ks')} FROM sc")
+add("rosenbaum", SC, "o AS (SELECT t, amt, row_number() OVER (PARTITION BY t ORDER BY e, transaction_id) AS k FROM sc)",
+    "d AS (SELECT round(a.amt - c.amt, 9) AS d FROM o a JOIN o c ON a.k = c.k AND a.t = 1 AND c.t = 0 WHERE round(a.amt - c.amt, 9) <> 0)",
+    "m AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS rk FROM d)",
+    "w AS (SELECT sum(rk) FILTER (d > 0) AS w, sum(rk) AS s1, sum(rk * rk) AS s2, count(*) AS n FROM m), gm AS (SELECT unnest([1.0, 1.25, 1.5, 2.0, 3.0]) AS g)",
+    f"SELECT {r('g', 'gamma')}, {b('n', 'pairs')}, {r('w', 'w_plus')}, {r('(w - g / (1 + g) * s1) / sqrt(g / (1 + g) / (1 + g) * s2)', 'z_upper')}, {r('(w - 1 / (1 + g) * s1) / sqrt(g / (1 + g) / (1 + g) * s2)', 'z_lower')} FROM w, gm")
+add("iv_2sls", SC, f"SELECT {r('covar_pop(amt, z) / covar_pop(h, z)', 'iv_estimate', 5)}, {r('covar_pop(amt, z) / var_pop(z)', 'reduced_form', 5)}, {r('regr_r2(h, z) / ((1 - regr_r2(h, z)) / (count(*) - 2))', 'partial_f', 5)} FROM sc")
+MED = "cv AS (SELECT covar_pop(t, k) AS tk, covar_pop(t, amt) AS ta, covar_pop(k, amt) AS ka, var_pop(t) AS tt, var_pop(k) AS kk FROM sc), cf AS (SELECT tk / tt AS a, ta / tt AS c, (ka * tt - tk * ta) / (tt * kk - tk * tk) AS bb, (ta * kk - tk * ka) / (tt * kk - tk * tk) AS cp FROM cv)"
+add("mediation", SC, MED, f"SELECT {r('a', 'a', 5)}, {r('bb', 'b', 5)}, {r('c', 'total', 5)}, {r('cp', 'direct', 5)}, {r('a * bb', 'indirect', 5)}, {r('a * bb / c', 'proportion', 5)} FROM cf")
+add("causal_diagnostics", SC, f"ed AS (SELECT [{', '.join(f'quantile_cont(p2, {i / 5})' for i in range(1, 5))}] AS ed FROM sc)", "g AS (SELECT *, len(list_filter(ed, lambda q: q < p2)) AS stratum FROM sc, ed)",
+    f"SELECT stratum, {b('sum(t)', 'treated')}, {b('sum(1 - t)', 'control')}, {r('avg(amt) FILTER (t = 1)', 'treated_mean')}, {r('avg(amt) FILTER (t = 0)', 'control_mean')}, {r('avg(amt) FILTER (t = 1) - avg(amt) FILTER (t = 0)', 'effect')}, {r('avg(p2)', 'mean_score')} FROM g GROUP BY 1")
+add("score_histogram", SC, f"SELECT t AS arm, {b('least(floor(e * 30), 29)', 'bin')}, {b('count(*)', 'n')} FROM sc GROUP BY 1, 2")
+
+# ---- resampling
+add("bayes_linreg", SC, "g AS (SELECT count(*) / 2500.0 + 0.01 AS a, sum(h) / 2500.0 AS bb, sum(h * h) / 2500.0 + 0.01 AS d, sum(amt) / 2500.0 AS y0, sum(h * amt) / 2500.0 AS y1 FROM sc)",
+    f"SELECT 'intercept' AS term, {r('(d * y0 - bb * y1) / (a * d - bb * bb)', 'mean', 5)}, {r('sqrt(d / (a * d - bb * bb))', 'sd', 5)} FROM g UNION ALL SELECT 'h', {r('(a * y1 - bb * y0) / (a * d - bb * bb)', 'mean', 5)}, {r('sqrt(a / (a * d - bb * bb))', 'sd', 5)} FROM g")
+add("stress", SC, "sn AS (SELECT unnest(['base', 'surge', 'night']) AS scenario, unnest([1.0, 2.0, 1.5]) AS ma, unnest([1.0, 1.0, 0.5]) AS mh), q AS (SELECT scenario, amt * ma / (amt * ma + 50.0 + h * mh) AS s FROM sc, sn)",
+    f"SELECT scenario, {r('avg(s)', 'mean_score')}, {r('stddev_pop(s)', 'std_score')}, {r('max(s)', 'max_score')}, {r('avg(CASE WHEN s > 0.7 THEN 1.0 ELSE 0 END)', 'high_share')} FROM q GROUP BY 1")
+NV = {0.95: (1.6448536269514722, 0.10313564037537139), 0.99: (2.3263478740408408, 0.026652142203457764)}
+add("var_es", "q AS (SELECT channel, amt - 60 AS ret FROM tx)",
+    "c AS (" + " UNION ALL ".join(f"SELECT channel, {lv} AS level, quantile_cont(ret, {1 - lv:.2f}) AS q, -(avg(ret) - {z} * stddev_samp(ret)) AS nv, -(avg(ret) - stddev_samp(ret) * {dn} / {1 - lv:.2f}) AS ne FROM q GROUP BY 1" for lv, (z, dn) in NV.items()) + ")",
+    f"SELECT channel, {r('level', 'level', 5)}, {r('-max(q)', 'var', 5)}, {r('-avg(ret)', 'es', 5)}, {r('max(nv)', 'normal_var', 5)}, {r('max(ne)', 'normal_es', 5)} FROM q JOIN c USING (channel) WHERE ret <= q GROUP BY channel, level")
+add("ensemble_uncertainty", SC, f"SELECT transaction_id, {r('(p1 + p2 + e) / 3', 'ensemble_mean')}, {r('sqrt((power(p1 - (p1 + p2 + e) / 3, 2) + power(p2 - (p1 + p2 + e) / 3, 2) + power(e - (p1 + p2 + e) / 3, 2)) / 9)', 'ensemble_std')} FROM sc")

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions import scalars as sc
+from riskflow.operators import causal as ca
 from riskflow.operators import community as cm
+from riskflow.operators import drift as dr
 from riskflow.operators import edges as eg
 from riskflow.operators import encoding as en
 from riskflow.operators import graph as gr
 from riskflow.operators import pointintime as pt
 from riskflow.operators import profiles as pf
+from riskflow.operators import resample as rs
 from riskflow.operators import windows as wn
 from riskflow.plans import features as ft
 from riskflow.plans.common import tidy
@@ -487,3 +490,301 @@ def propagate_risk(spark, d):
     t = tx(spark, d)
     seeds = sx.labels_from(t).filter("is_sar = 1").select(F.col("payer_id").alias("id"), F.lit(1.0).alias("weight"))
     return tidy(gr.propagate_risk(edges_of(spark, d), seeds, iters=5), 9)
+
+
+# ---- validation and drift
+
+def scored(spark, d):
+    """Transactions with two scores, an outcome, a treatment, an instrument and a fixed propensity."""
+    t = tx(spark, d)
+    amt = F.col("amount").cast("double")
+    return t.withColumns({
+        "amt": amt, "k": F.col("payee_id").cast("double"), "p1": amt / (amt + 50.0), "p2": (F.col("payee_id") + 1) / 102.0,
+        "y": (F.col("channel") == "error").cast("long"), "t": (F.col("channel") == "click").cast("long"),
+        "z": (F.col("transaction_id") % 2), "e": (F.col("payee_id") + 10) / 120.0,
+        "h": F.hour("ts").cast("double"), "day": F.dayofmonth("ts").cast("long")})
+
+
+def halves(spark, d):
+    s = scored(spark, d)
+    return s.filter(F.col("day") <= 15), s.filter(F.col("day") > 15)
+
+
+def facts(df, *names, digits=6):
+    """The statistic and chosen info entries of a test result."""
+    return tidy(df.select("test", "statistic", *[F.element_at("info", n).alias(n) for n in names]), digits)
+
+
+@query
+def psi(spark, d):
+    return tidy(dr.psi(*halves(spark, d), ["amt", "k"]))
+
+
+@query
+def js_divergence(spark, d):
+    return tidy(dr.js_divergence(*halves(spark, d), ["amt", "k"]))
+
+
+@query
+def psi_interval(spark, d):
+    return tidy(dr.psi_interval(*halves(spark, d), "amt").drop("info"))
+
+
+@query
+def ks_2samp(spark, d):
+    out = dr.ks_2samp(*halves(spark, d), "amt")
+    return tidy(out.select("test", "statistic", "effect_size"))
+
+
+@query
+def drift_report(spark, d):
+    return tidy(dr.drift_report(*halves(spark, d), ["amt", "k"]))
+
+
+@query
+def arch_lm(spark, d):
+    s = scored(spark, d)
+    return tidy(dr.arch_lm(s, "payer_id", ["us", "transaction_id"], "p1").drop("p_value"))
+
+
+@query
+def burst_test(spark, d):
+    return tidy(dr.burst_test(tx(spark, d)).drop("p_value"), 4, chi2=2, var_interval=2)
+
+
+@query
+def gpd_moments(spark, d):
+    return tidy(dr.gpd_fit(scored(spark, d), ["channel"], "amt"))
+
+
+@query
+def gpd_score(spark, d):
+    s = scored(spark, d)
+    return tidy(dr.gpd_score(s, dr.gpd_fit(s, ["channel"], "amt"), ["channel"], "amt").select("transaction_id", "tail_probability"))
+
+
+@query
+def gpd_var(spark, d):
+    s = scored(spark, d)
+    out = dr.gpd_var(dr.gpd_fit(s, ["channel"], "amt"), s.groupBy("channel").agg(F.count("*").alias("total")), ["channel"])
+    return tidy(out.select("channel", "tail_var"), 5)
+
+
+@query
+def mean_excess(spark, d):
+    return tidy(dr.mean_excess(scored(spark, d), "amt", [0.5, 0.75, 0.9, 0.95, 0.99]))
+
+
+@query
+def mcnemar(spark, d):
+    return facts(dr.mcnemar(scored(spark, d), "y", "p1", "p2"), "n11", "n10", "n01", "n00")
+
+
+@query
+def importance_stability(spark, d):
+    s = scored(spark, d)
+    long = en.to_long(s.withColumn("fold", F.col("day") % 5), {c: F.col(c) for c in ("p1", "p2", "e", "h")}, ["fold"], value="v")
+    return facts(dr.importance_stability(long.groupBy("feature", "fold").agg(F.avg("v").alias("importance"))), "mean_cv", "friedman")
+
+
+@query
+def hosmer_lemeshow(spark, d):
+    return facts(dr.hosmer_lemeshow(scored(spark, d), "y", "p1"), "bins", digits=4)
+
+
+@query
+def auc(spark, d):
+    return facts(dr.auc(scored(spark, d), "y", "p1"), "n1", "n0")
+
+
+@query
+def auc_compare(spark, d):
+    return facts(dr.auc_compare(scored(spark, d), "y", "p1", "p2"), "auc1", "auc2")
+
+
+@query
+def runs_test(spark, d):
+    return facts(dr.runs_test(scored(spark, d), ["us", "transaction_id"], "y", "p2"), "runs", "n1", "n2")
+
+
+@query
+def vif(spark, d):
+    return tidy(dr.vif(scored(spark, d), ["amt", "h"]))
+
+
+@query
+def breusch_pagan(spark, d):
+    return facts(dr.breusch_pagan(scored(spark, d), "y", "p1"), "n")
+
+
+@query
+def pr_curve(spark, d):
+    return tidy(en.pr_curve(scored(spark, d), "y", "p2"))
+
+
+@query
+def evaluate(spark, d):
+    return tidy(en.evaluate(scored(spark, d), "y", "p2", 0.6))
+
+
+@query
+def optimal_threshold(spark, d):
+    return tidy(en.optimal_threshold(scored(spark, d), "y", "p1"))
+
+
+@query
+def roc_threshold(spark, d):
+    return tidy(en.roc_threshold(scored(spark, d), "y", "p2"))
+
+
+@query
+def validation_suite(spark, d):
+    out = dr.validate_model(scored(spark, d), ["us", "transaction_id"], "y", "p2", ["amt", "h", "k"])
+    return tidy(out.drop("info", "run_at"))
+
+
+@query
+def batch_summary(spark, d):
+    s = scored(spark, d).withColumn("risk_score", F.col("p1")).withColumn("risk_level", sc.risk_level("risk_score"))
+    return tidy(pf.batch_summary(s))
+
+
+@query
+def risk_rollup(spark, d):
+    s = scored(spark, d).withColumn("risk_level", sc.risk_level("p1"))
+    return tidy(pf.risk_rollup(s, score="p1"))
+
+
+@query
+def fairness(spark, d):
+    s = scored(spark, d).withColumn("grp", F.col("payer_id") % 4).withColumn("flagged", (F.col("p1") >= 0.6).cast("long"))
+    return tidy(pf.fairness(s, "grp", "y", "flagged"))
+
+
+@query
+def mutual_info(spark, d):
+    s = tx(spark, d).withColumn("hour", F.hour("ts"))
+    return tidy(pf.information(s, "channel", "hour"))
+
+
+@query
+def kl_divergence(spark, d):
+    a, b = halves(spark, d)
+    return tidy(pf.kl_divergence(a, b, "channel"))
+
+
+@query
+def top_reasons(spark, d):
+    s = scored(spark, d).withColumns({"c1": F.col("p1") - 0.5, "c2": F.col("p2") - 0.5, "c3": F.col("e") - 0.4})
+    out = pf.top_reasons(s, ["c1", "c2", "c3"], 2)
+    names = F.concat_ws(",", F.transform("reason_codes", lambda r: r.feature))
+    return tidy(out.select("transaction_id", names.alias("features"), F.col("reason_codes")[0]["contribution"].alias("largest")))
+
+
+@query
+def transitions(spark, d):
+    return tidy(pf.transitions(tx(spark, d)))
+
+
+# ---- causal
+
+@query
+def ate_ipw(spark, d):
+    return tidy(ca.ate_ipw(scored(spark, d), "t", "amt", "e"))
+
+
+@query
+def ate_dr_given(spark, d):
+    s = scored(spark, d).withColumns({"mu0": 60 + F.col("k") * 0.01, "mu1": 61 + F.col("h") * 0.1})
+    return tidy(ca.ate_dr(s, "t", "amt", "e"))
+
+
+@query
+def ate_dr(spark, d):
+    s = ca.propensity(scored(spark, d), ["k", "h"], "t")
+    return tidy(ca.ate_dr(ca.outcome_models(s, ["k", "h"], "t", "amt"), "t", "amt", "propensity"))
+
+
+@query
+def balance(spark, d):
+    return tidy(ca.balance(scored(spark, d), ["k", "h", "amt"], "t"))
+
+
+@query
+def overlap(spark, d):
+    return tidy(ca.overlap(scored(spark, d), "t", "p1").drop("ks_p"))
+
+
+@query
+def rosenbaum(spark, d):
+    out = ca.rosenbaum(scored(spark, d), "t", "amt", "e", "transaction_id")
+    return tidy(out.select("gamma", "pairs", "w_plus", "z_upper", "z_lower"))
+
+
+@query
+def iv_2sls(spark, d):
+    out = ca.iv_2sls(scored(spark, d), [], "h", "amt", "z")
+    return tidy(out.select("iv_estimate", "reduced_form", "partial_f"), 5)
+
+
+@query
+def granger(spark, d):
+    out = ca.granger(scored(spark, d), ["payer_id"], ["us", "transaction_id"], "k", "amt")
+    return tidy(out)
+
+
+@query
+def mediation(spark, d):
+    return tidy(ca.mediation(scored(spark, d), [], "t", "k", "amt"), 5)
+
+
+@query
+def causal_diagnostics(spark, d):
+    return tidy(ca.causal_diagnostics(scored(spark, d), "t", "amt", "p2"))
+
+
+@query
+def score_histogram(spark, d):
+    return tidy(ca.score_histogram(scored(spark, d), "t", "e"))
+
+
+# ---- resampling
+
+@query
+def bootstrap_ci(spark, d):
+    return tidy(rs.bootstrap_ci(tx(spark, d), "transaction_id", "amount", 100))
+
+
+@query
+def permutation_test(spark, d):
+    return tidy(rs.permutation_test(scored(spark, d), "transaction_id", "t", "amt", 50))
+
+
+@query
+def bayes_linreg(spark, d):
+    post, _ = rs.bayes_linreg(scored(spark, d), ["h"], "amt", tau=0.01, sigma2=2500.0)
+    return tidy(post, 5)
+
+
+@query
+def stress(spark, d):
+    rescore = lambda df: df.withColumn("risk_score", F.col("amt") / (F.col("amt") + F.lit(50.0) + F.col("h")))
+    out = rs.stress(scored(spark, d), {"base": {}, "surge": {"amt": 2.0}, "night": {"h": 0.5, "amt": 1.5}}, rescore)
+    return tidy(out)
+
+
+@query
+def var_es(spark, d):
+    s = scored(spark, d).withColumn("ret", F.col("amt") - 60)
+    return tidy(rs.var_es(s, "channel", "ret", (0.95, 0.99)), 5)
+
+
+@query
+def ensemble_uncertainty(spark, d):
+    out = rs.ensemble_uncertainty(scored(spark, d), ["p1", "p2", "e"])
+    return tidy(out.select("transaction_id", "ensemble_mean", "ensemble_std"))
+
+
+@query
+def normal_score_corr(spark, d):
+    return tidy(rs.normal_score_corr(scored(spark, d), ["amt", "k", "h"]))
