@@ -579,3 +579,38 @@ add("var_es", "q AS (SELECT channel, amt - 60 AS ret FROM tx)",
     "c AS (" + " UNION ALL ".join(f"SELECT channel, {lv} AS level, quantile_cont(ret, {1 - lv:.2f}) AS q, -(avg(ret) - {z} * stddev_samp(ret)) AS nv, -(avg(ret) - stddev_samp(ret) * {dn} / {1 - lv:.2f}) AS ne FROM q GROUP BY 1" for lv, (z, dn) in NV.items()) + ")",
     f"SELECT channel, {r('level', 'level', 5)}, {r('-max(q)', 'var', 5)}, {r('-avg(ret)', 'es', 5)}, {r('max(nv)', 'normal_var', 5)}, {r('max(ne)', 'normal_es', 5)} FROM q JOIN c USING (channel) WHERE ret <= q GROUP BY channel, level")
 add("ensemble_uncertainty", SC, f"SELECT transaction_id, {r('(p1 + p2 + e) / 3', 'ensemble_mean')}, {r('sqrt((power(p1 - (p1 + p2 + e) / 3, 2) + power(p2 - (p1 + p2 + e) / 3, 2) + power(e - (p1 + p2 + e) / 3, 2)) / 9)', 'ensemble_std')} FROM sc")
+
+# ---- models
+CL = "cl AS (SELECT " + ", ".join(f"CASE WHEN y = 1 THEN greatest(least({p}, 1 - 1e-6), 1e-6) ELSE 1 - greatest(least({p}, 1 - 1e-6), 1e-6) END AS l{i}" for i, p in enumerate(("p1", "p2", "e"))) + " FROM sc)"
+
+
+def em(k):
+    parts = [CL, "w0 AS MATERIALIZED (SELECT 1 / 3 AS a, 1 / 3 AS bb, 1 / 3 AS c)"]
+    for i in range(k):
+        tot = "(a * l0 + bb * l1 + c * l2)"
+        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT sum(a * l0 / {tot}) / count(*) AS a, sum(bb * l1 / {tot}) / count(*) AS bb, sum(c * l2 / {tot}) / count(*) AS c FROM cl, w{i})")
+    return parts
+
+
+add("fusion_em", SC, *em(3), f"SELECT 'p1' AS model, {r('a', 'weight', 8)} FROM w3 UNION ALL SELECT 'p2', {r('bb', 'weight', 8)} FROM w3 UNION ALL SELECT 'e', {r('c', 'weight', 8)} FROM w3")
+add("fused_score", SC, f"SELECT transaction_id, {r('p1 * 0.5 + p2 * 0.3 + e * 0.2', 'risk_score')}, {b(flag('p1 * 0.5 + p2 * 0.3 + e * 0.2 >= 0.55'), 'flagged')} FROM sc")
+add("anomaly_blend", SC, "bd AS (SELECT min(amt) AS la, max(amt) AS ha, min(k) AS lk, max(k) AS hk FROM sc WHERE dom <= 15)",
+    f"SELECT transaction_id, {r('(least(greatest((amt - la) / (ha - la), 0), 1) + 1 - least(greatest((k - lk) / (hk - lk), 0), 1)) / 2', 'anomaly')} FROM sc, bd")
+add("time_folds", f"c AS (SELECT [{', '.join(f'quantile_cont(CAST(us AS DOUBLE), {i}/6.0)' for i in range(1, 6))}] AS c FROM tx)",
+    "g AS (SELECT us, len(list_filter(c, lambda q: q <= us)) AS fold FROM tx, c)", f"SELECT fold, {b('count(*)', 'n')}, {b('min(us)', 'first_us')} FROM g GROUP BY 1")
+add("conformal", SC, "cal AS (SELECT CASE WHEN y = 1 THEN 1 - p2 ELSE p2 END AS s FROM sc WHERE transaction_id % 2 = 0)",
+    "rk AS (SELECT s, row_number() OVER (ORDER BY s) AS rn, count(*) OVER () AS n FROM cal), lim AS (SELECT min(s) AS b FROM rk WHERE rn >= ceil((n + 1) * (1 - 0.2)))",
+    f"SELECT transaction_id, {b('CASE WHEN p2 <= b THEN 1 ELSE 0 END + CASE WHEN 1 - p2 <= b THEN 1 ELSE 0 END', 'set_size')}, {b('CASE WHEN y = 1 THEN 1 - p2 <= b ELSE p2 <= b END', 'covered')} FROM sc, lim WHERE transaction_id % 2 = 1")
+add("survival", SC, "q AS (SELECT floor(amt / 5) AS wk, count(*) AS n, sum(y) AS ev FROM sc GROUP BY 1), z AS (SELECT wk, ev, sum(n) OVER (ORDER BY wk DESC) AS risk FROM q)",
+    f"SELECT {r('wk', 'time')}, {b('ev', 'events')}, {b('risk', 'at_risk')}, {r('CASE WHEN bool_or(ev >= risk) OVER w THEN 0 ELSE exp(sum(CASE WHEN ev < risk THEN ln(1 - ev / risk) ELSE 0 END) OVER w) END', 'survival')}, {r('sum(ev / risk) OVER w', 'hazard')} FROM z WINDOW w AS (ORDER BY wk)")
+add("elliptic", SC, "m AS (SELECT avg(amt) AS ma, avg(k) AS mk, var_pop(amt) AS vaa, var_pop(k) AS vkk, covar_pop(amt, k) AS vak FROM sc)",
+    f"SELECT transaction_id, {r('(vkk * power(amt - ma, 2) - 2 * vak * (amt - ma) * (k - mk) + vaa * power(k - mk, 2)) / (vaa * vkk - vak * vak)', 'elliptic', 5)} FROM sc, m")
+
+# ---- streaming operators in batch form
+add("stream_counters", SC, f"""SELECT {b("epoch_us(date_trunc('hour', ts))", 'window_start')}, channel, {b('count(*)', 'n')}, {r('sum(amount)', 'total_amount')},
+  {b('count(*) FILTER (amt > 100)', 'high_amount_count')} FROM sc GROUP BY 1, 2""")
+add("stream_velocity", "w AS (SELECT payer_id, amount, (us // 3600000000 - i) * 3600000000 AS ws FROM tx, (SELECT unnest(range(24)) AS i))",
+    f"SELECT payer_id, {b('ws', 'window_start')}, {b('count(*)', 'n')}, {r('sum(amount)', 'total_amount')} FROM w GROUP BY 1, 2")
+add("stream_sessions", f"g AS (SELECT payer_id, us, amount, CASE WHEN us - lag(us) OVER {BYP} < 1800000000 THEN 0 ELSE 1 END AS fresh FROM tx)",
+    "n AS (SELECT *, sum(fresh) OVER (PARTITION BY payer_id ORDER BY us) AS sid FROM g)",
+    f"SELECT payer_id, {b('min(us)', 'session_start')}, {b('max(us) + 1800000000', 'session_end')}, {b('count(*)', 'n')}, {r('sum(amount)', 'total_amount')} FROM n GROUP BY payer_id, sid")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions import scalars as sc
+from riskflow.models import anomaly as an
+from riskflow.models import fusion as fu
+from riskflow.models import supervised as sv
 from riskflow.operators import causal as ca
 from riskflow.operators import community as cm
 from riskflow.operators import drift as dr
@@ -22,6 +25,7 @@ from riskflow.plans import features as ft
 from riskflow.plans.common import tidy
 from riskflow.sources import quality as ql
 from riskflow.sources import transactions as sx
+from riskflow.streaming import streams as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BAND, BASES, HIGH = (98, 99.99), (100, 50, 10), 100
@@ -788,3 +792,101 @@ def ensemble_uncertainty(spark, d):
 @query
 def normal_score_corr(spark, d):
     return tidy(rs.normal_score_corr(scored(spark, d), ["amt", "k", "h"]))
+
+
+# ---- models
+
+@query
+def fusion_em(spark, d):
+    s = scored(spark, d)
+    weights = fu.fuse_fit(s, ["p1", "p2", "e"], "y", rounds=3)
+    return tidy(spark.createDataFrame(list(weights.items()), "model string, weight double"), 8)
+
+
+@query
+def fused_score(spark, d):
+    out = fu.fuse_score(scored(spark, d), {"p1": 0.5, "p2": 0.3, "e": 0.2}, 0.55)
+    return tidy(out.select("transaction_id", "risk_score", "flagged"))
+
+
+@query
+def anomaly_blend(spark, d):
+    s = scored(spark, d)
+    out = an.anomaly_blend(s, an.score_bounds(s.filter("day <= 15"), ["amt", "k"]), ["k"])
+    return tidy(out.select("transaction_id", "anomaly"))
+
+
+@query
+def time_folds(spark, d):
+    out = sv.with_fold(scored(spark, d), "us")
+    return tidy(out.groupBy("fold").agg(F.count("*").alias("n"), F.min("us").alias("first_us")))
+
+
+@query
+def conformal(spark, d):
+    out = sv.conformal(scored(spark, d), "y", "p2", F.col("transaction_id") % 2 == 0, 0.2)
+    return tidy(out.select("transaction_id", "set_size", "covered"))
+
+
+@query
+def survival(spark, d):
+    s = scored(spark, d).withColumn("weeks", F.floor(F.col("amt") / 5))
+    return tidy(sv.survival(s, "weeks", "y"))
+
+
+@query
+def garch(spark, d):
+    s = scored(spark, d).withColumn("ret", F.col("p1") - 0.5)
+    return tidy(an.garch_moments(s, "payer_id", ["us", "transaction_id"], "ret"))
+
+
+@query
+def elliptic(spark, d):
+    s = scored(spark, d)
+    model = an.fit_elliptic(s, ["amt", "k"], rounds=1)
+    return tidy(an.elliptic_score(s, model).select("transaction_id", "elliptic"), 5)
+
+
+@query
+def isolation_forest(spark, d):
+    s = scored(spark, d)
+    return tidy(an.isolation_score(s, an.fit_isolation_forest(s, ["amt", "k", "h"], "transaction_id", trees=50), "transaction_id"))
+
+
+@query
+def scorecard(spark, d):
+    s = scored(spark, d)
+    out = sv.Scorecard(["amt", "k", "h", "geo_lat"], "is_sar", min_iv=0.0).fit(s).transform(s, reasons=2)
+    return tidy(out.select("transaction_id", "scorecard", F.to_json("reason_codes").alias("reasons")))
+
+
+@query
+def tree_contributions(spark, d):
+    s = scored(spark, d)
+    model = sv.TabularModel(["amt", "k", "h"], "is_sar", "transaction_id", rounds=5, depth=3).fit(s, calibrate_folds=0)
+    return tidy(sv.tree_contributions(s, model.model, ["amt", "k", "h"], "transaction_id"))
+
+
+@query
+def score_batch(spark, d):
+    s = scored(spark, d).withColumn("label", F.col("is_sar"))
+    system = fu.RiskSystem(["amt", "k", "h", "geo_lat"], rounds=5).fit(s)
+    out = system.score_batch(s, label_communities(spark, d, 2))
+    return tidy(out.select("transaction_id", "risk_score", "flagged", "risk_level", "alert_priority", "recommended_action", "investigation_minutes"))
+
+
+# ---- streaming operators in batch form (tests run them as streams)
+
+@query
+def stream_counters(spark, d):
+    return tidy(st.stream_counters(tx(spark, d), high=100))
+
+
+@query
+def stream_velocity(spark, d):
+    return tidy(st.stream_velocity(tx(spark, d)).drop("approx_payees"))
+
+
+@query
+def stream_sessions(spark, d):
+    return tidy(st.sessions(tx(spark, d)))
