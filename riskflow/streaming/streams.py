@@ -5,7 +5,9 @@ The aggregations also run on batch DataFrames, where the watermark has no effect
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -103,24 +105,36 @@ class PointInTime(StatefulProcessor):
         if not ready:
             yield pd.DataFrame()
             return
-        self.pending.put([r for r in waiting if r[0] >= limit])
-        kept, out, i = [tuple(r) for r in self.window.get()], [], 0
-        while i < len(ready):
-            now = ready[i][0]
-            same = [r for r in ready[i:] if r[0] == now]
-            kept = [r for r in kept if r[0] >= now - self.width]
+        self._store(self.pending, [r for r in waiting if r[0] >= limit])
+        kept = deque(tuple(r) for r in self.window.get())
+        total, payees, pairs, out = sum(r[2] for r in kept), Counter(r[3] for r in kept), {}, []
+        for now, group in groupby(ready, key=lambda r: r[0]):
+            same = list(group)
+            while kept and kept[0][0] < now - self.width:
+                _, _, cents, payee = kept.popleft()
+                total -= cents
+                payees[payee] -= 1
+                if not payees[payee]:
+                    del payees[payee]
+            for _, ident, _, payee in same:
+                if payee not in pairs:
+                    pairs[payee] = self.pairs.getValue((payee,))[0] if self.pairs.containsKey((payee,)) else 0
+                out.append((str(key[0]), ident, now, len(kept), total / 100.0, len(payees), int(pairs[payee] > 0)))
             for r in same:
-                seen = self.pairs.getValue((r[3],))[0] if self.pairs.containsKey((r[3],)) else 0
-                out.append((str(key[0]), r[1], now, len(kept), sum(k[2] for k in kept) / 100.0, len({k[3] for k in kept}), int(seen > 0)))
-            for r in same:
-                seen = self.pairs.getValue((r[3],))[0] if self.pairs.containsKey((r[3],)) else 0
-                self.pairs.updateValue((r[3],), (seen + 1,))
-            kept += same
-            i += len(same)
-        self.window.put(kept)
+                pairs[r[3]] += 1
+                total += r[2]
+                payees[r[3]] += 1
+            kept.extend(same)
+        for payee, n in pairs.items():
+            self.pairs.updateValue((payee,), (n,))
+        self._store(self.window, list(kept))
         yield pd.DataFrame(out, columns=["payer_id", "transaction_id", "us", "tx_count_24h", "total_amount_24h",
                                          "unique_payees_24h", "is_repeated_counterparty"])
 
+    @staticmethod
+    def _store(state, rows: list) -> None:
+        state.put(rows) if rows else state.clear()
+
     def close(self) -> None:
         pass
 
