@@ -82,6 +82,8 @@ def beta_inc(a: float, b: float, x: float) -> float:
 
 
 def f_sf(x: float, d1: float, d2: float) -> float:
+    if math.isinf(x):
+        return 0.0
     return 1.0 if x <= 0 else beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * x))
 
 

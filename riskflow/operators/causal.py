@@ -130,7 +130,7 @@ def iv_2sls(df: DataFrame, xs: Sequence[str], t: str, y: str, z: str) -> DataFra
     rss_hat = float(g.block([y], [y])[0, 0] - 2 * hat @ g.block(inst, [y])[:, 0] + hat @ a @ hat)
     rss = float(g.block([y], [y])[0, 0] - 2 * beta @ g.block(endo, [y])[:, 0] + beta @ g.block(endo, endo) @ beta)
     cov = rss / (n - k - 2) * np.linalg.inv(h.T @ a @ h)
-    est, se = float(beta[-1]), math.sqrt(cov[-1, -1])
+    est, se = float(beta[-1]), math.sqrt(max(cov[-1, -1], 0.0))
     row = (f_all, f_partial, bool(f_all > 10), float(reduced[-1]), est, math.sqrt(max(rss_hat, 0) / n / n), se, est - Z95 * se, est + Z95 * se)
     return df.sparkSession.createDataFrame([row], "first_stage_f double, partial_f double, relevant boolean, reduced_form double, "
                                            "iv_estimate double, se_simple double, se double, ci_low double, ci_high double")
@@ -147,7 +147,12 @@ def granger(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y:
         _, rss_r = g.fit(ys, y)
         _, rss_u = g.fit(ys + xs, y)
         dof = g.n - 2 * lag - 1
-        f = ((rss_r - rss_u) / lag) / (rss_u / dof) if rss_u > 0 and dof > 0 else None
+        if dof <= 0 or rss_r <= 0:
+            f = None
+        elif rss_u <= 1e-12 * rss_r:
+            f = math.inf
+        else:
+            f = ((rss_r - rss_u) / lag) / (rss_u / dof)
         rows.append((lag, int(g.n), f, sp.f_sf(f, lag, dof) if f is not None else None))
     best = min((r for r in rows if r[3] is not None), key=lambda r: r[3], default=(None,))[0]
     return df.sparkSession.createDataFrame([r + (r[0] == best,) for r in rows], "lag int, n long, f double, p_value double, best boolean")

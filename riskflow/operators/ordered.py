@@ -72,11 +72,11 @@ def find_hot(df: DataFrame, keys: Sequence[str], budget: int | None = None) -> H
 
 
 def _only(df: DataFrame, hot: Hot) -> DataFrame:
-    return df.join(F.broadcast(hot.frame(df)), hot.keys, "left_semi")
+    return df.join(F.broadcast(hot.frame(df)), hot.keys, "left_semi").select(*df.columns)
 
 
 def _without(df: DataFrame, hot: Hot) -> DataFrame:
-    return df.join(F.broadcast(hot.frame(df)), hot.keys, "left_anti")
+    return df.join(F.broadcast(hot.frame(df)), hot.keys, "left_anti").select(*df.columns)
 
 
 def segment(df: DataFrame, hot: Hot, by: str) -> DataFrame:
@@ -95,7 +95,7 @@ def segment(df: DataFrame, hot: Hot, by: str) -> DataFrame:
     outer = F.size(F.filter("_outer", lambda c: c <= F.col(by)))
     inner = F.size(F.filter(F.element_at("_inner", outer + 1), lambda c: c <= F.col(by)))
     seg = F.when(F.col("_outer").isNull(), 0).otherwise(outer * stride + inner)
-    return joined.withColumn("_seg", seg.cast("int")).drop("_outer", "_inner")
+    return joined.select(*df.columns, seg.cast("int").alias("_seg"))
 
 
 def _find_cuts(df: DataFrame, hot: Hot, by: str) -> list[tuple]:
@@ -239,6 +239,9 @@ def trailing(df: DataFrame, keys: Sequence[str], at: str, measures: dict[str, tu
         return F.struct(when.cast("long").alias("_at"), row.alias("_row"), *deltas)
 
     values = df.select("*", *[v.alias(f"_v_{n}") for n, (v, _) in measures.items()])
+    # decimals that fit a long are summed as whole ticks: the window then stays on primitive values
+    ticks = {n: t.scale for n in measures if isinstance(t := values.schema[f"_v_{n}"].dataType, T.DecimalType) and t.precision <= 18}
+    values = values.withColumns({f"_v_{n}": (F.col(f"_v_{n}") * 10 ** s).cast("long") for n, s in ticks.items()}) if ticks else values
     types = {n: _wide(values.schema[f"_v_{n}"].dataType) for n in measures}
     nothing = F.lit(None).cast(df.schema)
     if inclusive:
@@ -250,8 +253,13 @@ def trailing(df: DataFrame, keys: Sequence[str], at: str, measures: dict[str, tu
     flat = values.select(*keys, F.explode(F.array(*events)).alias("_e")).select(
         *keys, "_e._at", "_e._row", *[F.col(f"_e.{n}").alias(f"_d_{n}") for n in measures])
     summed = running(flat, keys, "_at", {n: F.col(f"_d_{n}") for n in measures}, hot)
-    return summed.filter(F.col("_row").isNotNull()).select(
-        "_row.*", *[F.coalesce(F.col(n), F.lit(0).cast(types[n])).alias(n) for n in measures])
+    def shown(n: str) -> Column:
+        total = F.coalesce(F.col(n), F.lit(0).cast(types[n]))
+        if n in ticks:
+            total = (total.cast("decimal(20,0)") / F.lit(10 ** ticks[n])).cast(T.DecimalType(28, ticks[n]))
+        return total.alias(n)
+
+    return summed.filter(F.col("_row").isNotNull()).select("_row.*", *[shown(n) for n in measures])
 
 
 def trailing_peak(df: DataFrame, keys: Sequence[str], item: str, at: str, width: int, name: str,
@@ -287,19 +295,28 @@ def _wide(t: T.DataType) -> T.DataType:
     return T.LongType() if isinstance(t, T.IntegralType) else t
 
 
-def ranked_totals(df: DataFrame, by: str, sums: dict[str, Column], per_task: int | None = None) -> DataFrame:
-    """One row per distinct ``by`` with its totals and ``<name>_cum``, the running totals up to and including it."""
-    table = df.groupBy(by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+def ranked_totals(df: DataFrame, by: str, sums: dict[str, Column], per_task: int | None = None,
+                  distinct_rows: int | None = None) -> DataFrame:
+    """One row per distinct ``by`` with its totals and ``<name>_cum``, the running totals up to and including it.
+
+    ``distinct_rows`` tells that ``df`` already has one row per value, and how many.
+    """
     per_task = per_task or segment_rows(df)
-    rows, lo_hi = table.select(by).agg(F.count(by).alias("n"), F.percentile_approx(
-        by, F.array(*[F.lit((i + 1) / 512) for i in range(511)]), 10_000)).first()
-    parts = min(512, math.ceil(rows / per_task)) if rows else 1
     order = Window.partitionBy("_part").orderBy(by)
+    if distinct_rows is None:
+        table = df.groupBy(by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    else:
+        table = df.select(by, *[c.alias(n) for n, c in sums.items()])
+    rows, grid = distinct_rows, None
+    if rows is None or rows > per_task:
+        rows, grid = table.select(by).agg(F.count(by), F.percentile_approx(
+            by, F.array(*[F.lit((i + 1) / 512) for i in range(511)]), 10_000)).first()
+    parts = min(512, math.ceil(rows / per_task)) if rows else 1
     if parts <= 1:
         # fewer than per_task distinct values: one task takes them all
         done = table.withColumn("_part", F.lit(0))
         return done.select(by, *sums, *[F.sum(n).over(order).alias(f"{n}_cum") for n in sums])
-    cuts = sorted(set(lo_hi[(512 // parts) - 1::512 // parts]))
+    cuts = sorted(set(grid[(512 // parts) - 1::512 // parts]))
     marks = F.array(*[F.lit(c).cast(df.schema[by].dataType) for c in cuts])
     split = table.withColumn("_part", F.size(F.filter(marks, lambda c: c <= F.col(by))))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -310,22 +327,27 @@ def ranked_totals(df: DataFrame, by: str, sums: dict[str, Column], per_task: int
 
 
 def quantiles(df: DataFrame, column: str, ps: Sequence[float]) -> list[float]:
-    """Exact interpolated quantiles of a column, without holding its values in one task."""
-    ranks = ranked_totals(df.filter(F.col(column).isNotNull()), column, {"_n": F.lit(1).cast("long")})
-    total = F.max("_n_cum").alias("total")
-    marks = [F.floor(p * (F.col("total") - 1)).cast("long") for p in map(F.lit, ps)]
-    ranks = ranks.crossJoin(F.broadcast(ranks.agg(total)))
-    spots = F.array_distinct(F.flatten(F.array(*[F.array(m, m + 1) for m in marks])))
-    hit = F.filter(spots, lambda i: (i < F.col("_n_cum")) & (i >= F.col("_n_cum") - F.col("_n")))
-    rows = ranks.select(F.col(column).cast("double").alias("v"), hit.alias("at"), "total").filter(F.size("at") > 0).collect()
-    if not rows:
-        return [float("nan")] * len(ps)
-    found = {i: r["v"] for r in rows for i in r["at"]}
+    """Exact interpolated quantiles of a column, without holding its values in one task.
+
+    The counts per distinct value are kept while the ranks are looked up, so ``df`` runs once.
+    """
+    table = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        rows, total = table.agg(F.count(F.lit(1)), F.sum("_n")).first()
+        if not rows:
+            return [float("nan")] * len(ps)
+        spots = sorted({i for p in ps for i in (math.floor(p * (total - 1)), math.ceil(p * (total - 1)))})
+        ranks = ranked_totals(table, column, {"_n": F.col("_n")}, distinct_rows=rows)
+        hit = F.filter(F.array(*[F.lit(i).cast("long") for i in spots]),
+                       lambda i: (i < F.col("_n_cum")) & (i >= F.col("_n_cum") - F.col("_n")))
+        got = ranks.select(F.col(column).cast("double").alias("v"), hit.alias("at")).filter(F.size("at") > 0).collect()
+    finally:
+        table.unpersist()
+    found = {i: r["v"] for r in got for i in r["at"]}
     out = []
     for p in ps:
-        x = p * (rows[0]["total"] - 1)
-        a = found[math.floor(x)]
-        b = found[math.ceil(x)]
+        x = p * (total - 1)
+        a, b = found[math.floor(x)], found[math.ceil(x)]
         out.append(a + (b - a) * (x - math.floor(x)))
     return out
 

@@ -14,20 +14,20 @@ ORDER = ["us", "transaction_id"]
 DAY_US = 86_400_000_000
 
 
-def _with_next(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    return od.shifted(df, keys, ORDER, {name: ("us", -1)})
+def _with_next(df: DataFrame, keys: Sequence[str], name: str, hot: od.Hot | None = None) -> DataFrame:
+    return od.shifted(df, keys, ORDER, {name: ("us", -1)}, hot)
 
 
 def _seen_until(following: str, width: int):
     return F.least(F.coalesce(F.col(following), F.col("us") + width), F.col("us") + width)
 
 
-def pit_24h(tx: DataFrame, hot: od.Hot | None = None) -> DataFrame:
+def pit_24h(tx: DataFrame, hot: od.Hot | None = None, hot_pair: od.Hot | None = None) -> DataFrame:
     """Count, sum, distinct payees, mean and deviation of the payer's previous 24 hours."""
     hot = od.find_hot(tx, ["payer_id"]) if hot is None else hot
     last = F.col("us") + DAY_US
     one = F.lit(1).cast("long")
-    out = od.trailing(_with_next(tx, ["payer_id", "payee_id"], "_next"), ["payer_id"], "us", {
+    out = od.trailing(_with_next(tx, ["payer_id", "payee_id"], "_next", hot_pair), ["payer_id"], "us", {
         "tx_count_24h": (one, last), "total_amount_24h": (F.col("amount"), last),
         "_sxx": (sc.squared("amount"), last),
         "unique_payees_24h": (one, _seen_until("_next", DAY_US)),
@@ -131,12 +131,14 @@ def pit_network(tx: DataFrame, days: int = 30, hot: od.Hot | None = None) -> Dat
     pair = ["payer_id", "payee_id"]
     hot_payer = od.find_hot(tx, ["payer_id"]) if hot is None else hot
     one = F.lit(1).cast("long")
-    ready = _with_next(tx, pair, "_next")
-    out = od.trailing(ready, ["payer_id"], "us", {"payer_out_degree": (one, _seen_until("_next", width))}, hot_payer, False)
+    hot_pair = od.find_hot(tx, pair)
+    # the peak reads its input twice, so it goes first, on the plain rows
+    out = od.trailing_peak(tx, ["payer_id"], "payee_id", "us", width, "max_tx_to_counterparty", hot_payer)
+    out = _with_next(out, pair, "_next", hot_pair)
+    out = od.trailing(out, ["payer_id"], "us", {"payer_out_degree": (one, _seen_until("_next", width))}, hot_payer, False)
     out = od.trailing(out, ["payee_id"], "us", {"payee_in_degree": (one, _seen_until("_next", width))},
                       od.find_hot(tx, ["payee_id"]), False).drop("_next")
-    out = od.trailing(out, pair, "us", {"previous_tx_count": (one, None)}, od.find_hot(tx, pair), False)
-    out = od.trailing_peak(out, ["payer_id"], "payee_id", "us", width, "max_tx_to_counterparty", hot_payer)
+    out = od.trailing(out, pair, "us", {"previous_tx_count": (one, None)}, hot_pair, False)
     return out.withColumns({
         "is_repeated_counterparty": sc.flag(F.col("previous_tx_count") > 0),
         "network_centrality_proxy": F.log1p((F.col("payer_out_degree") * F.col("payee_in_degree")).cast("double")),
@@ -149,7 +151,7 @@ def online_features(tx: DataFrame, channels: Sequence[str] = sc.CHANNELS, bases:
     hot = od.find_hot(tx, ["payer_id"])
     # the busiest counterparty needs the plain rows twice, so it comes first
     out = pit_network(sc.basic_features(tx, channels), hot=hot)
-    out = pit_24h(out, hot)
+    out = pit_24h(out, hot, od.find_hot(tx, ["payer_id", "payee_id"]))
     return pit_behaviour(pit_tail(out, hot=hot), bases=bases, rapid=rapid, near=near, above=above, hot=hot)
 
 

@@ -21,9 +21,9 @@ def until_next(item: str, at: str, width: int):
     return F.least(F.coalesce(following - 1, F.col(at) + width), F.col(at) + width)
 
 
-def with_next(tx: DataFrame, keys: Sequence[str], item: str, at: str) -> DataFrame:
+def with_next(tx: DataFrame, keys: Sequence[str], item: str, at: str, hot: od.Hot | None = None) -> DataFrame:
     """Add ``_next_<item>``: when the same item is seen again by the same key."""
-    return od.shifted(tx, [*keys, item], [at, "transaction_id"], {f"_next_{item}": (at, -1)})
+    return od.shifted(tx, [*keys, item], [at, "transaction_id"], {f"_next_{item}": (at, -1)}, hot)
 
 
 def velocity(tx: DataFrame, windows: dict[str, int] | None = None, key: str = "payer_id",
@@ -33,7 +33,7 @@ def velocity(tx: DataFrame, windows: dict[str, int] | None = None, key: str = "p
     names = {"payee_id": "unique_payees_24h", "channel": "unique_channels_24h"}
     ready = tx
     for item in distinct:
-        ready = with_next(ready, [key], item, "s")
+        ready = with_next(ready, [key], item, "s", od.find_hot(tx, [key, item]))
     one = F.lit(1).cast("long")
     measures = {f"tx_count_{n}": (one, F.col("s") + w) for n, w in windows.items()}
     measures["total_amount_24h"] = (F.col("amount"), F.col("s") + DAY)
@@ -46,9 +46,9 @@ def velocity(tx: DataFrame, windows: dict[str, int] | None = None, key: str = "p
     return out
 
 
-def high_velocity_flag(df: DataFrame, column: str = "tx_count_24h", p: float = 0.95) -> DataFrame:
-    """1 where the count exceeds its global percentile."""
-    cut = od.quantiles(df, column, [p])[0]
+def high_velocity_flag(df: DataFrame, column: str = "tx_count_24h", p: float = 0.95, source: DataFrame | None = None) -> DataFrame:
+    """1 where the count exceeds its global percentile. ``source`` may hold the same counts more cheaply."""
+    cut = od.quantiles(df if source is None else source, column, [p])[0]
     return df.withColumn("high_velocity_flag", sc.flag(F.col(column) > F.lit(cut)))
 
 

@@ -24,7 +24,7 @@ def behavioral_features(tx: DataFrame, recent_tx: DataFrame | None = None, with_
     ).join(pf.geo_profile(base), "payer_id", "left").join(pf.network_profile(base), "payer_id", "left")
     out = wn.velocity(tx)
     if with_flag:
-        out = wn.high_velocity_flag(out)
+        out = wn.high_velocity_flag(out, source=wn.velocity(tx, {"24h": wn.DAY}, distinct=()))
     out = out.join(profiles, "payer_id", "left")
     return out.withColumns({
         "amount_evt_ratio": F.try_divide(F.col("total_amount_24h").cast("double"), F.col("evt_threshold_p95")),
