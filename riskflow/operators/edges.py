@@ -109,8 +109,10 @@ def graph_edges(tx: DataFrame, minimum: int = 2) -> DataFrame:
         # the running count of a pair peaks at its total
         "max_edge_weight": F.col("transaction_count"),
     })
+    strong.persist()  # read three times for the thresholds
     high_total, high_count, high_mean = [
         od.quantiles(strong, c, [p])[0] for c, p in (("total_amount", 0.9), ("transaction_count", 0.9), ("avg_amount", 0.8))]
+    strong.unpersist()
     shared = shared_neighbours(strong, pairs)
     out = strong.join(shared, ["src", "dst"], "left")
     heavy = (F.col("total_amount").cast("double") > high_total) & (F.col("transaction_count") > high_count)

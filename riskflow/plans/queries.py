@@ -870,7 +870,7 @@ def tree_contributions(spark, d):
 @query
 def score_batch(spark, d):
     s = scored(spark, d).withColumn("label", F.col("is_sar"))
-    system = fu.RiskSystem(["amt", "k", "h", "geo_lat"], rounds=5).fit(s)
+    system = fu.RiskSystem(["amt", "k", "h"], rounds=3).fit(s)
     out = system.score_batch(s, label_communities(spark, d, 2))
     return tidy(out.select("transaction_id", "risk_score", "flagged", "risk_level", "alert_priority", "recommended_action", "investigation_minutes"))
 
