@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions import scalars as sc
@@ -169,13 +169,20 @@ def online_names(channels: Sequence[str] = sc.CHANNELS, bases: Sequence[int] = (
     ]
 
 
-def asof_interval(left: DataFrame, right: DataFrame, key: str, width: int, left_at: str, right_at: str) -> DataFrame:
-    """Pairs of a left row and the right rows of its key in ``[t - width, t)``.
+def asof_interval(left: DataFrame, right: DataFrame, key: str, width: int, left_at: str, right_at: str,
+                  sums: dict[str, Column]) -> DataFrame:
+    """Add to each left row the sums over the right rows of its key in ``[t - width, t)``.
 
-    Both sides are cut into buckets of ``width``: a right row can only meet left rows of its own or the next bucket.
+    Right rows enter and expire as events among the left rows, so no pairs are formed however busy a key is.
     """
-    left = left.withColumn("_bucket", F.floor(F.col(left_at) / width))
-    own = F.floor(F.col(right_at) / width)
-    right = right.withColumn("_bucket", F.explode(F.array(own, own + 1)))
-    met = left.join(right, [key, "_bucket"])
-    return met.filter((F.col(right_at) >= F.col(left_at) - width) & (F.col(right_at) < F.col(left_at))).drop("_bucket")
+    values = right.select(key, F.col(right_at).alias("_r"), *[c.alias(n) for n, c in sums.items()])
+    kinds = {n: values.schema[n].dataType for n in sums}
+    empty = F.lit(None).cast(left.schema)
+    step = lambda at, sign: F.struct(at.alias("_at"), *[(F.col(n) * sign).cast(kinds[n]).alias(n) for n in sums])
+    moves = values.select(key, F.explode(F.array(step(F.col("_r") + 1, 1), step(F.col("_r") + width + 1, -1))).alias("_e"))
+    moves = moves.select(key, "_e.*", empty.alias("_row"))
+    asks = left.select(key, F.col(left_at).alias("_at"), *[F.lit(None).cast(k).alias(n) for n, k in kinds.items()],
+                       F.struct(*left.columns).alias("_row"))
+    out = od.running(asks.unionByName(moves), [key], "_at", {f"_s_{n}": F.col(n) for n in sums})
+    return out.filter(F.col("_row").isNotNull()).select(
+        "_row.*", *[F.coalesce(F.col(f"_s_{n}"), F.lit(0)).alias(n) for n in sums])

@@ -350,7 +350,7 @@ add("online_features", PIT24, pit_tail(1000), behaviour(50), PNET, f"""SELECT pi
   {r('mean', 'amount_mean_24h', 5)}, {r('pit24.amt / greatest(mean, 1)', 'amount_vs_mean_ratio', 5)}, {TSEL}, {BSEL}, {NSEL},
   {r('ln(1 + od * idg)', 'network_centrality_proxy', 5)}
   FROM pit24 JOIN tail USING (transaction_id) JOIN bh USING (transaction_id) JOIN pnet USING (transaction_id)""")
-add("asof_interval", f"""SELECT l.transaction_id, {b('count(*)', 'errors_24h')}, {b('max(e.us)', 'last_error')} FROM tx l JOIN tx e
+add("asof_interval", f"""SELECT l.transaction_id, {b('count(e.us)', 'errors_24h')}, {r('coalesce(sum(e.amount), 0)', 'error_amount_24h')} FROM tx l LEFT JOIN tx e
   ON e.payer_id = l.payer_id AND e.channel = 'error' AND e.us >= l.us - 86400000000 AND e.us < l.us GROUP BY 1""")
 
 # ---- graph

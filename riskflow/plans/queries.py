@@ -372,10 +372,10 @@ def online_features(spark, d):
 @query
 def asof_interval(spark, d):
     t = tx(spark, d)
-    left = t.select("transaction_id", "payer_id", "us")
-    errors = t.filter(F.col("channel") == "error").select("payer_id", F.col("us").alias("err_us"))
-    met = pt.asof_interval(left, errors, "payer_id", 86_400_000_000, "us", "err_us")
-    return tidy(met.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("errors_24h"), F.max("err_us").alias("last_error")))
+    errors = t.filter(F.col("channel") == "error").select("payer_id", F.col("us").alias("err_us"), "amount")
+    met = pt.asof_interval(t.select("transaction_id", "payer_id", "us"), errors, "payer_id", 86_400_000_000, "us", "err_us",
+                           {"errors_24h": F.lit(1).cast("long"), "error_amount_24h": F.col("amount")})
+    return tidy(met.select("transaction_id", "errors_24h", "error_amount_24h"))
 
 
 # ---- graph

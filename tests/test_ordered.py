@@ -47,6 +47,8 @@ CASES = {
     "pit_tail": lambda t: pt.pit_tail(t, max_hist=25),
     "pit_behaviour": lambda t: pt.pit_behaviour(t),
     "pit_network": lambda t: pt.pit_network(t),
+    "asof": lambda t: pt.asof_interval(t.select("transaction_id", "payer_id", "us"), t.filter("channel = 'a'").select("payer_id", F.col("us").alias("r")),
+                                       "payer_id", 86_400_000_000, "us", "r", {"n": F.lit(1).cast("long")}),
     "evt": lambda t: pf.evt_profile(t),
     "transitions": lambda t: pf.transitions(t),
 }
