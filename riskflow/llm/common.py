@@ -15,6 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed vocabulary files of public tokenizers have ``name``; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have yet, so that columns of the input are never overwritten."""
     taken, out = {c.lower() for c in df.columns}, []

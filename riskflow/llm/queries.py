@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import exact_dedup, mixing
-from riskflow.llm.common import table
+from riskflow.llm import bpe, exact_dedup, mixing, token_counts
+from riskflow.llm.common import table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +19,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_bpe(spark, d):
+    out = bpe.round_trip(table(spark, d, "documents"), vocabulary_file())
+    return out.select("doc_id", bpe.token_count().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op3_mixing(spark, d):
     return mixing.mix_sources(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -50,6 +57,12 @@ FROM queued q LEFT JOIN copies c USING (doc_id)
 """
 
 
+@query
+def op4_token_counts(spark, d):
+    coded = bpe.encode(table(spark, d, "documents"), vocabulary_file())
+    return token_counts.limits(token_counts.length_histogram(coded.select(bpe.token_count().alias("n_tokens"))))
+
+
 @query
 def op8_exact_dedup(spark, d):
     return exact_dedup.duplicate_groups(table(spark, d, "documents")).withColumnRenamed("digest", "text_sha256")
