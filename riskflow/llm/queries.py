@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, exact_dedup, mixing, token_counts
+from riskflow.llm import bpe, chat, exact_dedup, line_rules, mixing, token_counts
 from riskflow.llm.common import table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,42 @@ def op4_token_counts(spark, d):
     return token_counts.limits(token_counts.length_histogram(coded.select(bpe.token_count().alias("n_tokens"))))
 
 
+@query
+def op6_line_rules(spark, d):
+    return line_rules.apply_rules(table(spark, d, "documents")).drop("clean_text")
+
+
+_PHRASE = "|".join(p.replace(".", r"\.") for p in line_rules.PHRASES)
+_DIVIDER = ", ".join(f"'{w.decode()}'" for w in sorted(line_rules.DIVIDERS))
+_ENDING = ", ".join("'" + e.decode().replace("'", "''") + "'" for e in line_rules.ENDINGS)
+ORACLE["op6_line_rules"] = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
+worded AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS seen
+           FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ruled AS (SELECT doc_id, seen, len(words) AS n, CASE
+    WHEN 5 * len(list_filter(words, lambda w: w IN ({_DIVIDER}))) > len(words) THEN 'navigation'
+    WHEN NOT list_contains([{_ENDING}], right(words[-1], 1)) AND (len(words) < {line_rules.LONG}
+         OR len(list_filter(words, lambda w: right(w, 1) IN (',', {_ENDING}))) = 0) THEN 'punctuation'
+    WHEN 10 * len(list_filter(words, lambda w: right(w, 2) = '!!' OR right(w, 1) IN ('#', '*', '$', '%', '&', '|', '<', '>'))) > 3 * len(words) THEN 'punctuation'
+    WHEN seen OR regexp_matches(lower(line), '{_PHRASE}') THEN 'boilerplate' END AS rule FROM worded),
+per AS (SELECT doc_id, count(*) FILTER (seen) AS n_dup_lines, coalesce(sum(n) FILTER (rule IS NOT NULL), 0) AS lost_words,
+               count(*) FILTER (rule = 'navigation') AS navigation_lines, count(*) FILTER (rule = 'punctuation') AS punctuation_lines,
+               count(*) FILTER (rule = 'boilerplate') AS boilerplate_lines FROM ruled GROUP BY doc_id),
+spots AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM spots WHERE i + 2 <= len(words)),
+repeated AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM grams WHERE times > 1) GROUP BY doc_id),
+counts AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                  coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(lost_words, 0) AS BIGINT) AS lost_words,
+                  coalesce(navigation_lines, 0) AS navigation_lines, coalesce(punctuation_lines, 0) AS punctuation_lines,
+                  coalesce(boilerplate_lines, 0) AS boilerplate_lines
+           FROM docs LEFT JOIN per USING (doc_id) LEFT JOIN repeated USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost_words <= n_words AS kept FROM counts
+"""
+
+
 @query
 def op8_exact_dedup(spark, d):
     return exact_dedup.duplicate_groups(table(spark, d, "documents")).withColumnRenamed("digest", "text_sha256")
@@ -73,3 +109,26 @@ WITH rows AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]
 classes AS (SELECT content, min(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY content)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM rows JOIN classes USING (content)
 """
+
+
+@query
+def op9_chat(spark, d):
+    planted = spark.sql(r"""SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+                            AS t(conv_id, turn, role, text)""")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+ORACLE["op9_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(i, r)),
+escaped AS (
+  SELECT *, length(regexp_replace(replace(text, chr(92), chr(92) || chr(92)), '(<)(s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', 'xx\2\4', 'g')) AS n,
+         CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 ELSE 6 END AS marks FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + marks) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
