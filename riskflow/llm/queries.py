@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, chat, exact_dedup, line_rules, mixing, token_counts
-from riskflow.llm.common import table, vocabulary_file
+from riskflow.llm import bpe, chat, exact_dedup, language, line_rules, mixing, token_counts, toxicity
+from riskflow.llm.common import remainder, table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,13 @@ def op1_bpe(spark, d):
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op2_language(spark, d):
+    docs = table(spark, d, "documents")
+    out = language.predict(docs, language.fit(docs, remainder("doc_id", 4) != 2))
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_mixing(spark, d):
     return mixing.mix_sources(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -132,3 +139,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(n + marks) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+
+@query
+def op10_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels"), remainder("doc_id", 4) != 2))
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
