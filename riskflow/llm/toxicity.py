@@ -22,13 +22,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskflow.llm.sampling import label_counts, sample_by_label
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK, LEAST = 4000, 1000, 25, 64, 8
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK, LEAST, STEM = 4000, 1000, 25, 64, 8, 4
 #: Letters, digits, the apostrophe and all bytes beyond ASCII make words.
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
 
 
 def words(data: bytes | None) -> list[bytes]:
-    return (data or b"").decode("utf-8", "replace").lower().encode().translate(_TABLE).split()
+    """The words of a text in lower case and, as words of their own, the stems (first ``STEM`` letters) of longer ones."""
+    found = (data or b"").decode("utf-8", "replace").lower().encode().translate(_TABLE).decode().split(" ")
+    return [w.encode() for w in found if w] + [b"~" + w[:STEM].encode() for w in found if len(w) > STEM]
 
 
 def informative(sets: list[set], labels: np.ndarray, terms: int = TERMS, least: int = LEAST) -> list[bytes]:
