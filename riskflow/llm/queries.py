@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, chat, exact_dedup, language, line_rules, mixing, token_counts, toxicity
+from riskflow.llm import bpe, chat, exact_dedup, language, line_rules, mixing, token_counts, toxicity, weighted_minhash
 from riskflow.llm.common import remainder, table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,11 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 """
 
 
+@query
+def op7_near_dedup(spark, d):
+    return weighted_minhash.near_duplicates(table(spark, d, "documents"))
+
+
 @query
 def op8_exact_dedup(spark, d):
     return exact_dedup.duplicate_groups(table(spark, d, "documents")).withColumnRenamed("digest", "text_sha256")
