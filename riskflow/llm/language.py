@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from riskflow.llm.common import fresh
 from riskflow.llm.sampling import label_counts, sample_by_label
 
 SAMPLE, LANDMARKS, RIDGE = 2000, 256, 1e-3  # labelled rows and landmarks at most, over all languages
@@ -122,14 +123,18 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     return solve([r[2] for r in found], [r[0] for r in found], landmarks) if found else None
 
 
-def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: (key, lang_pred, score = how far the best regression value is towards 1, from 0 to 1).
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None,
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if None) and, under ``names``, the language and how far the best regression value is
+    towards 1, from 0 to 1; a row per row, and nothing is shuffled.
 
     Texts without letters, null texts and all texts without a model are ``und`` with score 0. Ties go to the first language by
     name. Only the whole text is looked at.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_data"))
-    ddl = T.StructType([T.StructField("_key", rows.schema["_key"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = docs.columns if keep is None else keep
+    data, = fresh(docs, "_data")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias(data))
+    ddl = T.StructType([rows.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     schema = to_arrow_schema(ddl)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -138,14 +143,14 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [grams(x.as_py()) for x in part.column(1)]
-                names, sure = [UNDETERMINED] * len(sets), [0.0] * len(sets)
+                sets = [grams(x.as_py()) for x in part.columns[-1]]
+                found, sure = [UNDETERMINED] * len(sets), [0.0] * len(sets)
                 if model is not None:
                     value = model.scores(sets)
                     best = value.argmax(axis=1)
                     for i, g in enumerate(sets):
                         if len(g):
-                            names[i], sure[i] = model.languages[best[i]], float(min(1.0, max(0.0, (value[i, best[i]] + 1) / 2)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64())], schema=schema)
+                            found[i], sure[i] = model.languages[best[i]], float(min(1.0, max(0.0, (value[i, best[i]] + 1) / 2)))
+                yield pa.RecordBatch.from_arrays(part.columns[:-1] + [pa.array(found, pa.string()), pa.array(sure, pa.float64())], schema=schema)
 
-    return rows.mapInArrow(work, ddl).withColumnRenamed("_key", key)
+    return rows.mapInArrow(work, ddl)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, chat, exact_dedup, language, line_rules, mixing, token_counts, toxicity, weighted_minhash
+from riskflow.llm import bpe, chat, exact_dedup, katz, language, line_rules, mixing, token_counts, toxicity, weighted_minhash
 from riskflow.llm.common import remainder, table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def op1_bpe(spark, d):
 @query
 def op2_language(spark, d):
     docs = table(spark, d, "documents")
-    out = language.predict(docs, language.fit(docs, remainder("doc_id", 4) != 2))
+    out = language.predict(docs, language.fit(docs, remainder("doc_id", 4) != 2), keep=["doc_id"])
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
@@ -70,6 +70,12 @@ def op4_token_counts(spark, d):
     return token_counts.limits(token_counts.length_histogram(coded.select(bpe.token_count().alias("n_tokens"))))
 
 
+@query
+def op5_katz(spark, d):
+    out = katz.score(table(spark, d, "documents"), remainder("doc_id", 5) != 1)
+    return out.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op6_line_rules(spark, d):
     return line_rules.apply_rules(table(spark, d, "documents")).drop("clean_text")
