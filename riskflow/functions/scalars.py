@@ -93,11 +93,13 @@ def bin_col(col, edges: Sequence[float], labels: Sequence[str]) -> Column:
 
 
 def edge_bin(col, edges: Sequence[float]) -> Column:
-    """How many inner edges lie strictly below the value: bins are right-closed, as quantile cuts are."""
+    """How many inner edges lie strictly below the value: bins are right-closed, as quantile cuts are. NULL for NULL and NaN."""
+    value = _c(col).cast("double")
+    known = value.isNotNull() & ~F.isnan(value)
     if not edges:
-        return F.lit(0).cast("long")
+        return F.when(known, F.lit(0).cast("long"))
     marks = F.array(*[F.lit(float(e)) for e in edges])
-    return F.size(F.filter(marks, lambda e: e < _c(col))).cast("long")
+    return F.when(known, F.size(F.filter(marks, lambda e: e < value)).cast("long"))
 
 
 def geo_cell(lat="geo_lat", lng="geo_lng") -> Column:

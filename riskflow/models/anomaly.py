@@ -41,17 +41,14 @@ def _grow(x: np.ndarray, rng, depth: int, nodes: list) -> int:
 def fit_isolation_forest(df: DataFrame, cols: Sequence[str], ident: str, trees: int = 100, size: int = 256, seed: int = 42) -> dict:
     """Each tree sees ``size`` rows picked by hash and is grown in its own task. The forest has a fixed size.
 
-    Large tables hand each row to at most one tree; small ones offer every row to every tree.
+    A row is offered to the trees whose hash of it falls below twice their share of the table: one pass, one rule for all sizes.
     """
     cols = list(cols)
     base = df.select(ident, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     n = base.count()
-    key = F.xxhash64(ident, F.lit(seed))
-    if n >= 4 * size * trees:
-        picked = base.filter(F.pmod(key, F.lit(1 << 30)) < F.lit(int((1 << 30) * 2 * size * trees / n))).withColumn(
-            "tree", F.pmod(F.xxhash64(ident, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        picked = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    bound = int((1 << 30) * min(1.0, 2 * size / max(1, n)))
+    offered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(ident), t, F.lit(seed + 1)), F.lit(1 << 30)) < bound)
+    picked = base.withColumn("tree", F.explode(offered))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(ident, "tree", F.lit(seed)), ident)
     sample = picked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= size)
     depth = math.ceil(math.log2(size))
@@ -145,8 +142,8 @@ def mahalanobis(cols: Sequence[str], mean: np.ndarray, precision: np.ndarray):
     return sum((d[i] * d[j] * float(precision[i, j]) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
 
 
-def fit_elliptic(df: DataFrame, cols: Sequence[str], support: float = 0.8, rounds: int = 5) -> dict:
-    """Robust centre and scatter: keep the closest share of the rows, refit, repeat."""
+def fit_elliptic(df: DataFrame, cols: Sequence[str], support: float = 0.8, rounds: int = 100) -> dict:
+    """Robust centre and scatter: keep the closest share of the rows, refit, until that changes nothing; an error if it always does."""
     cols, part, last = list(cols), df, None
     for _ in range(rounds):
         g = gram(part, cols)
@@ -159,6 +156,8 @@ def fit_elliptic(df: DataFrame, cols: Sequence[str], support: float = 0.8, round
         far = df.select(*cols, mahalanobis(cols, mean, precision).alias("_d"))
         bound = od.quantiles(far, "_d", [support])[0]
         part = far.filter(F.col("_d") <= bound)
+    else:
+        raise RuntimeError(f"the ellipse did not settle in {rounds} rounds")
     return {"cols": cols, "mean": mean, "precision": precision}
 
 
@@ -181,7 +180,7 @@ def anomaly_blend(df: DataFrame, bounds: dict[str, tuple[float, float]], inverte
     return df.withColumn(name, sum(parts[1:], parts[0]) / len(parts))
 
 
-def garch_moments(df: DataFrame, key: str, order: Sequence[str], col: str, minimum: int = 30, memory: int = 500) -> DataFrame:
+def garch_moments(df: DataFrame, key: str, order: Sequence[str], col: str, minimum: int = 30) -> DataFrame:
     """GARCH(1,1) per key in closed form: squared returns follow an ARMA(1,1), so their autocorrelations at lags one and
     two give persistence and parameters. Also the conditional volatility after the last row.
 
@@ -199,10 +198,10 @@ def garch_moments(df: DataFrame, key: str, order: Sequence[str], col: str, minim
     beta = F.when((phi > r1) & (b >= 2), (b - F.sqrt(F.greatest(b * b - 4, F.lit(0.0)))) / 2).otherwise(0.0)
     fit = stat.select(key, "n", "var", phi.alias("persistence"), F.least(beta, phi).alias("beta")).withColumns({
         "alpha": F.col("persistence") - F.col("beta"), "omega": F.col("var") * (1 - F.col("persistence"))})
-    # weights fall by beta <= 0.999 per step back: the latest rows decide
-    back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
-    recent = sq.withColumn("_i", back).filter(F.col("_i") <= memory).join(fit, key)
-    decay = F.pow(F.col("beta"), F.col("_i") - 1)
-    last = recent.groupBy(key).agg(F.sqrt(F.max(F.col("omega") / (1 - F.col("beta"))) + F.sum(
+    # all rows of a key count, however far back: their places are running counts, which hot keys split
+    placed = od.running(sq, [key], order[0], {"_at": F.lit(1).cast("long")}, hot, tie=order[1:])
+    ends = placed.groupBy(key).agg(F.max("_at").alias("_end"))
+    decay = F.pow(F.col("beta"), F.col("_end") - F.col("_at"))
+    last = placed.join(fit, key).join(ends, key).groupBy(key).agg(F.sqrt(F.max(F.col("omega") / (1 - F.col("beta"))) + F.sum(
         F.col("alpha") * decay * F.col("_s"))).alias("last_volatility"))
     return fit.join(last, key)

@@ -15,7 +15,7 @@ from riskflow.operators import encoding as en
 from riskflow.session import cut
 
 
-def fuse_fit(df: DataFrame, ps: Sequence[str], y: str, rounds: int = 50, alpha: float = 1.0, tol: float = 1e-8) -> dict[str, float]:
+def fuse_fit(df: DataFrame, ps: Sequence[str], y: str, rounds: int = 500, alpha: float = 1.0, tol: float = 1e-6) -> dict[str, float]:
     """Mixture weights of the models by expectation-maximisation under a Dirichlet prior: one aggregate per round."""
     k = len(ps)
     clip = lambda p: F.greatest(F.least(F.col(p).cast("double"), F.lit(1 - 1e-6)), F.lit(1e-6))
@@ -29,6 +29,9 @@ def fuse_fit(df: DataFrame, ps: Sequence[str], y: str, rounds: int = 50, alpha:
         change, weights = max(abs(a - b) for a, b in zip(fresh, weights)), fresh
         if change < tol:
             break
+    else:
+        if tol > 0:
+            raise RuntimeError(f"the weights did not settle in {rounds} rounds")
     return dict(zip(ps, weights))
 
 
@@ -84,7 +87,8 @@ class RiskSystem:
         out = self.score(df)
         linked = F.lit(False)
         if communities is not None:
-            known = communities.select(F.col("node").alias(key), "community_id")
+            # a node has a community for each method: one row per node, or scored rows would repeat
+            known = communities.groupBy(F.col("node").alias(key)).agg(F.min("community_id").alias("community_id"))
             out = out.join(known, key, "left")
             linked = F.col("community_id").isNotNull()
         spread = F.greatest(*self.MEMBERS) - F.least(*self.MEMBERS)

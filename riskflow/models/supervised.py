@@ -164,8 +164,7 @@ class TabularModel:
 
 def calibrate(df: DataFrame, raw: str, y: str):
     """Isotonic fit of the outcome on the raw score; equal scores are pre-aggregated, so the fit sees distinct scores."""
-    score = F.round(F.col(raw), 6)
-    small = df.groupBy(score.alias("raw")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    small = df.groupBy(F.col(raw).alias("raw")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     return IsotonicRegression(featuresCol="raw", labelCol="y", weightCol="w", predictionCol="_cal").fit(
         small)
 

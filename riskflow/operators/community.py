@@ -58,6 +58,7 @@ def _local_moves(uedges: DataFrame, rounds: int, seed: int, step: float) -> tupl
     m = nodes.agg(F.sum("k")).first()[0] / 2
     state = cut(nodes.withColumn("label", F.col("id")))
     score, moved, share = modularity(uedges, state.select("id", "label")), False, 2
+    nodes_left = 2 * state.count()  # by then a round moves no node or one
     for r in range(rounds):
         sizes = state.groupBy("label").agg(F.sum("k").alias("tot"))
         toward = links.join(state.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(
@@ -85,12 +86,12 @@ def _local_moves(uedges: DataFrame, rounds: int, seed: int, step: float) -> tupl
         else:
             # too many neighbours moved at once: fewer next round
             share *= 2
-            if share > 64:
+            if share > nodes_left:
                 break
     return state.select("id", "label"), score, moved
 
 
-def louvain(uedges: DataFrame, seed: int = 42, levels: int = 5, rounds: int = 8, step: float = 1e-4) -> DataFrame:
+def louvain(uedges: DataFrame, seed: int = 42, levels: int = 100, rounds: int = 100, step: float = 1e-4) -> DataFrame:
     """Louvain communities as (id, label): local moves, contraction, repeat. Modularity never falls between levels."""
     graph = cut(uedges.select("a", "b", "w"))
     result, score = None, None
@@ -108,7 +109,7 @@ def louvain(uedges: DataFrame, seed: int = 42, levels: int = 5, rounds: int = 8,
     return result
 
 
-def greedy_modularity(uedges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_modularity(uedges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Agglomerate: every round merges the pairs of communities that are each other's best merge with a positive gain."""
     graph = cut(uedges.select("a", "b", "w"))
     result = _strengths(graph).select("id", F.col("id").alias("label"))
@@ -124,9 +125,9 @@ def greedy_modularity(uedges: DataFrame, max_rounds: int = 200) -> DataFrame:
         mutual = best.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("key.a", "key.b")
         merges = cut(mutual)
         if merges.isEmpty():
-            break
+            return result
         onto = merges.select(F.col("b").alias("label"), F.col("a").alias("up"))
         result = cut(result.join(onto, "label", "left").select("id", F.coalesce("up", "label").alias("label")))
         ids = k.select("id").join(onto.withColumnRenamed("label", "id"), "id", "left").select("id", F.coalesce("up", "id").alias("label"))
         graph = _contract(graph, ids)
-    return result
+    raise RuntimeError(f"communities still merge after {max_rounds} rounds")

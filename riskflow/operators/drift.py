@@ -44,7 +44,7 @@ def bin_shares(expected: DataFrame, actual: DataFrame, cols: Sequence[str], bins
 
 def _divergences(grid: DataFrame) -> DataFrame:
     per = Window.partitionBy("feature")  # a handful of bins per feature
-    pe, pa = F.col("e") / F.sum("e").over(per), F.col("a") / F.sum("a").over(per)
+    pe, pa = F.try_divide("e", F.sum("e").over(per)), F.try_divide("a", F.sum("a").over(per))
     shares = grid.select("feature", pe.alias("pe"), pa.alias("pa"))
     floor = lambda c, x: F.greatest(c, F.lit(x))
     e8, a8 = floor(F.col("pe"), 1e-8), floor(F.col("pa"), 1e-8)
@@ -101,15 +101,17 @@ def drift_report(reference: DataFrame, current: DataFrame, cols: Sequence[str],
     """PSI, JSD and KS distance per feature and day of the current sample, with an alert level. One job for all days."""
     edges = {c: sorted(set(od.quantiles(reference, c, [i / bins for i in range(1, bins)]))) for c in cols}
     tests = {c: sc.edge_bin(F.col(c).cast("double"), e) for c, e in edges.items()}
-    ref = en.to_long(reference, tests, [], value="bin").groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("e"))
-    cur = en.to_long(current, tests, [day], value="bin").groupBy(day, "feature", "bin").agg(F.count(F.lit(1)).alias("a"))
+    ref = en.to_long(reference, tests, [], value="bin").filter("bin is not null").groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("e"))
+    cur = en.to_long(current, tests, [day], value="bin").filter("bin is not null").groupBy(day, "feature", "bin").agg(F.count(F.lit(1)).alias("a"))
     days = cur.select(day, "feature").distinct()
-    grid = days.join(ref, "feature").join(cur, [day, "feature", "bin"], "left").fillna(0, ["a"])
+    bins_seen = ref.select("feature", "bin").union(cur.select("feature", "bin")).distinct()  # also those that one sample lacks
+    grid = (days.join(bins_seen, "feature").join(ref, ["feature", "bin"], "left").join(cur, [day, "feature", "bin"], "left")
+            .fillna(0, ["e", "a"]))
     per = Window.partitionBy(day, "feature")
-    pe, pa = F.col("e") / F.sum("e").over(per), F.col("a") / F.sum("a").over(per)
+    pe, pa = F.try_divide("e", F.sum("e").over(per)), F.try_divide("a", F.sum("a").over(per))
     upto = per.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     shares = grid.select(day, "feature", pe.alias("pe"), pa.alias("pa"), F.abs(
-        F.sum("e").over(upto) / F.sum("e").over(per) - F.sum("a").over(upto) / F.sum("a").over(per)).alias("gap"))
+        F.try_divide(F.sum("e").over(upto), F.sum("e").over(per)) - F.try_divide(F.sum("a").over(upto), F.sum("a").over(per))).alias("gap"))
     e8, a8 = F.greatest("pe", F.lit(1e-8)), F.greatest("pa", F.lit(1e-8))
     m = (e8 + a8) / 2
     out = shares.groupBy(day, "feature").agg(

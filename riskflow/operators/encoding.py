@@ -71,10 +71,12 @@ def woe_fit(df: DataFrame, columns: Sequence[str], label: str, q: int = 5, min_i
     bins = {c: sc.edge_bin(F.col(c).cast("double"), e).cast("string") for c, e in edges.items()}
     bins.update({c: F.col(c).cast("string") for c in categorical})
     counts = label_counts(df, bins, label)
-    good = F.col("good") / F.col("total_good")
-    bad = F.col("bad") / F.col("total_bad")
-    floor = lambda c: F.greatest(c, F.lit(1e-6))
-    table = counts.withColumn("woe", F.log(floor(good) / floor(bad))).withColumn("part", (good - bad) * F.col("woe"))
+    counts = counts.filter(F.col("bin").isNotNull())  # rows without a value tell nothing about a feature
+    per = Window.partitionBy("feature")
+    counts = counts.withColumns({"total_good": F.sum("good").over(per), "total_bad": F.sum("bad").over(per)})
+    good, bad = F.try_divide("good", "total_good"), F.try_divide("bad", "total_bad")
+    floor = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(1e-6))
+    table = counts.withColumn("woe", F.log(floor(good) / floor(bad))).withColumn("part", F.coalesce((good - bad) * F.col("woe"), F.lit(0.0)))
     table = table.withColumn("iv", F.sum("part").over(Window.partitionBy("feature")))
     rank = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("iv"), "feature"))
     return edges, table.filter(F.col("iv") >= min_iv).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)

@@ -82,6 +82,9 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iters: int = 100, tol: float
         if tol is not None and change < n * tol:
             break
         state = state.drop("old")
+    else:
+        if tol is not None:
+            raise RuntimeError(f"ranks did not settle in {iters} rounds")
     return state.select("id", F.col("x").alias("pagerank"))
 
 
@@ -104,6 +107,9 @@ def eigenvector(uedges: DataFrame, iters: int = 100, tol: float | None = 1e-6) -
         scale = math.sqrt(state.agg(F.sum(F.col("x") * F.col("x"))).first()[0]) or 1.0
         if tol is not None and state.agg(F.sum(F.abs(F.col("x") / F.lit(scale) - F.col("old")))).first()[0] < n * tol:
             break
+    else:
+        if tol is not None:
+            raise RuntimeError(f"centralities did not settle in {iters} rounds")
     return state.select("id", (F.col("x") / F.lit(scale)).alias("eigenvector"))
 
 

@@ -63,10 +63,9 @@ def find_hot(df: DataFrame, keys: Sequence[str], budget: int | None = None) -> H
     slot = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), budget)
     if slot not in _memo:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        big = F.when(F.col("_n") > budget, F.struct(*keys, "_n"))
-        total, rows = counts.agg(F.sum("_n"), F.collect_list(big)).first()
-        limit = max(budget, math.ceil((total or 0) / MAX_HOT))
-        rows = [r for r in rows if r["_n"] > limit and all(r[k] is not None for k in keys)]
+        # fewer than MAX_HOT keys can exceed the limit, and only those leave the aggregate
+        limit = max(budget, math.ceil(df.count() / MAX_HOT))
+        rows = [r for r in counts.filter(F.col("_n") > limit).collect() if all(r[k] is not None for k in keys)]
         _memo[slot] = Hot(keys, rows, limit, T.StructType([df.schema[k] for k in keys]), df)
     return _memo[slot]
 
@@ -308,15 +307,16 @@ def ranked_totals(df: DataFrame, by: str, sums: dict[str, Column], per_task: int
     else:
         table = df.select(by, *[c.alias(n) for n, c in sums.items()])
     rows, grid = distinct_rows, None
-    if rows is None or rows > per_task:
-        rows, grid = table.select(by).agg(F.count(by), F.percentile_approx(
-            by, F.array(*[F.lit((i + 1) / 512) for i in range(511)]), 10_000)).first()
-    parts = min(512, math.ceil(rows / per_task)) if rows else 1
+    if rows is None:
+        rows = table.filter(F.col(by).isNotNull()).count()
+    parts = math.ceil(rows / per_task) if rows else 1
+    if parts > 1:  # as many ranges as the values need
+        grid = table.agg(F.percentile_approx(by, F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), 20 * parts)).first()[0]
     if parts <= 1:
         # fewer than per_task distinct values: one task takes them all
         done = table.withColumn("_part", F.lit(0))
         return done.select(by, *sums, *[F.sum(n).over(order).alias(f"{n}_cum") for n in sums])
-    cuts = sorted(set(grid[(512 // parts) - 1::512 // parts]))
+    cuts = sorted(set(grid))
     marks = F.array(*[F.lit(c).cast(df.schema[by].dataType) for c in cuts])
     split = table.withColumn("_part", F.size(F.filter(marks, lambda c: c <= F.col(by))))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -331,7 +331,8 @@ def quantiles(df: DataFrame, column: str, ps: Sequence[float]) -> list[float]:
 
     The counts per distinct value are kept while the ranks are looked up, so ``df`` runs once.
     """
-    table = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).persist()
+    known = F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
+    table = df.filter(known).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).persist()
     try:
         rows, total = table.agg(F.count(F.lit(1)), F.sum("_n")).first()
         if not rows:

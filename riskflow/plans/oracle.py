@@ -280,8 +280,12 @@ add("scd2", "chg AS (SELECT payer_id, channel, us, transaction_id, lag(channel)
 add("screen", "listed AS (SELECT payee_id AS id, min(channel) AS kind FROM tx WHERE amount > 300 GROUP BY 1)",
     f"""SELECT transaction_id, a.kind AS payer_list, z.kind AS payee_list, {b(flag('a.kind IS NOT NULL OR z.kind IS NOT NULL'), 'watchlist_hit')}
   FROM tx LEFT JOIN listed a ON a.id = payer_id LEFT JOIN listed z ON z.id = payee_id""")
-add("dedup_requests", f"""SELECT transaction_id, md5(concat_ws('|', payer_id, payee_id, channel)) AS request_hash,
-  {b(flag('us - lag(us) OVER (PARTITION BY payer_id, payee_id, channel ORDER BY us, transaction_id) <= 259200000000'), 'reused')} FROM tx""")
+ORACLE["dedup_requests"] = f"""WITH RECURSIVE {TX},
+  rq AS (SELECT transaction_id, us, md5(concat('{{"payer_id":', payer_id, ',"payee_id":', payee_id, ',"channel":"', channel, '"}}')) AS request_hash FROM tx),
+  nx AS (SELECT request_hash, us, min(us) OVER (PARTITION BY request_hash ORDER BY us RANGE BETWEEN 259200000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM rq),
+  computed(request_hash, us) AS (SELECT request_hash, min(us) FROM rq GROUP BY 1
+    UNION SELECT c.request_hash, nx.later FROM computed c JOIN nx USING (request_hash, us) WHERE nx.later IS NOT NULL)
+SELECT transaction_id, request_hash, {b(flag("us NOT IN (SELECT us FROM computed c WHERE c.request_hash = rq.request_hash)"), "reused")} FROM rq"""
 ORACLE["resolve_entities"] = """WITH RECURSIVE ids AS (SELECT c_custkey AS id, concat('t', c_nationkey, regexp_replace(CAST(CAST(floor(c_acctbal / 20) AS BIGINT) AS VARCHAR), '[^A-Z0-9]', '', 'g')) AS k FROM customer
     UNION SELECT c_custkey, concat('d', regexp_replace(upper(c_mktsegment), '[^A-Z0-9]', '', 'g'), regexp_replace(CAST(CAST(floor(c_acctbal / 5) AS BIGINT) AS VARCHAR), '[^A-Z0-9]', '', 'g')) FROM customer),
   links AS (SELECT DISTINCT x.id AS a, y.id AS b FROM ids x JOIN ids y USING (k)),
@@ -357,6 +361,9 @@ add("asof_interval", f"""SELECT l.transaction_id, {b('count(e.us)', 'errors_24h'
 NODES = "nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), nn AS (SELECT count(*) AS n FROM nodes)"
 
 
+SETTLED = 30  # rounds by which ranks no longer change in the digits compared
+
+
 def unrolled_pagerank(k, alpha=0.85, jump="(SELECT 1.0 / n FROM nn)"):
     """k rounds as chained CTEs; ``jump`` is the teleport share of node ``id``."""
     parts = ["outw AS (SELECT src, sum(w) AS sw FROM edges GROUP BY 1)",
@@ -369,9 +376,9 @@ def unrolled_pagerank(k, alpha=0.85, jump="(SELECT 1.0 / n FROM nn)"):
     return parts
 
 
-add("pagerank", EDGES, NODES, *unrolled_pagerank(5), f"SELECT id, {r('x', 'pagerank', 9)} FROM x5")
+add("pagerank", EDGES, NODES, *unrolled_pagerank(SETTLED), f"SELECT id, {r('x', 'pagerank', 9)} FROM x{SETTLED}")
 SEEDS = "CASE WHEN id IN (SELECT payer_id FROM tx WHERE is_sar = 1) THEN 1.0 ELSE 0 END / (SELECT count(*) FROM nodes WHERE id IN (SELECT payer_id FROM tx WHERE is_sar = 1))"
-add("propagate_risk", EDGES, NODES, *unrolled_pagerank(5, jump=SEEDS), f"SELECT id, {r('x', 'risk', 9)} FROM x5")
+add("propagate_risk", EDGES, NODES, *unrolled_pagerank(SETTLED, jump=SEEDS), f"SELECT id, {r('x', 'risk', 9)} FROM x{SETTLED}")
 BOTH = "bw AS MATERIALIZED (SELECT a AS src, b AS dst, w FROM ued UNION ALL SELECT b, a, w FROM ued)"
 
 
@@ -383,13 +390,15 @@ def unrolled_eigen(k):
     return parts
 
 
-add("eigenvector", EDGES, NODES, UEDGES, BOTH, *unrolled_eigen(5), f"SELECT id, {r('x', 'eigenvector', 8)} FROM v5")
+add("eigenvector", EDGES, NODES, UEDGES, BOTH, *unrolled_eigen(SETTLED), f"SELECT id, {r('x', 'eigenvector', 8)} FROM v{SETTLED}")
 COMP = """reach(id, c) AS (SELECT id, id FROM nodes UNION SELECT bw.dst, reach.c FROM reach JOIN bw ON bw.src = reach.id WHERE reach.c < bw.dst),
   comp AS (SELECT id, min(c) AS component FROM reach GROUP BY 1)"""
 add("components", EDGES, NODES, UEDGES, BOTH, COMP, "SELECT id, component FROM comp")
-ORACLE["order_components"] = """WITH RECURSIVE l AS (SELECT DISTINCT concat('p', l_partkey) AS a, concat('o', l_orderkey) AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1),
-  bw AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach(id, c) AS (SELECT a, a FROM bw UNION SELECT bw.b, reach.c FROM reach JOIN bw ON bw.a = reach.id)
-SELECT id, min(c) AS component FROM reach GROUP BY 1"""
+ORACLE["order_components"] = """WITH RECURSIVE l AS (SELECT DISTINCT concat('p', l_partkey) AS a, concat('o', l_orderkey) AS b FROM lineitem),
+  bw AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  reach(id, c) USING KEY (id) AS (SELECT a, min(least(a, b)) FROM bw GROUP BY 1
+    UNION SELECT bw.b, min(reach.c) FROM reach JOIN bw ON bw.a = reach.id JOIN recurring.reach known ON known.id = bw.b WHERE reach.c < known.c GROUP BY 1)
+SELECT id, c AS component FROM reach"""
 
 
 def unrolled_labels(k):
@@ -409,7 +418,7 @@ add("community_report", *LABELS, META, f"""SELECT 'label_propagation' AS method,
 RISK = """rk0 AS (SELECT *, least(2 * coalesce(dc, 0) + 100 * pr, 1) AS cr, CASE WHEN flow > 0 THEN greatest(least(log10(flow) / 6, 1), 0) ELSE 0 END AS vr,
     CASE WHEN txs > 0 THEN least(txs / 30 / 50, 1) ELSE 0 END AS sr, CASE WHEN outd / greatest(ind, 1) > 10 OR outd / greatest(ind, 1) < 0.1 THEN 0.8 ELSE 0.1 END AS st FROM metap),
   rk AS (SELECT *, least(0.25 * cr + 0.25 * vr + 0.2 * imb + 0.2 * sr + 0.1 * st, 1) AS total_risk FROM rk0)"""
-add("entity_risk", EDGES, NODES, META, *unrolled_pagerank(5), "metap AS (SELECT meta.*, x AS pr FROM meta JOIN x5 USING (id))", RISK,
+add("entity_risk", EDGES, NODES, META, *unrolled_pagerank(SETTLED), f"metap AS (SELECT meta.*, x AS pr FROM meta JOIN x{SETTLED} USING (id))", RISK,
     f"SELECT id, {r('cr', 'centrality_risk')}, {r('vr', 'volume_risk')}, {r('imb', 'imbalance_risk')}, {r('sr', 'velocity_risk')}, {r('st', 'structural_risk')}, {r('total_risk', 'composite_risk')} FROM rk")
 add("network_summary", EDGES, NODES, UEDGES, BOTH, COMP, META, "metap AS (SELECT *, 0 AS pr FROM meta)", RISK,
     "cs AS (SELECT component, count(*) AS size FROM comp GROUP BY 1)",
@@ -440,7 +449,7 @@ def shares(days=False):
     """Bin shares of two features in both halves of the month; per day of the second half when asked."""
     parts = []
     for f in ("amt", "k"):
-        parts.append(f"""SELECT '{f}' AS feature, len(list_filter(list_distinct(e_{f}), lambda q: q < {f})) AS bin, dom, dom > 15 AS cur FROM sc, ed""")
+        parts.append(f"""SELECT '{f}' AS feature, len(list_filter(list_distinct(e_{f}), lambda q: q < {f})) AS bin, dom, dom > 15 AS cur FROM sc, ed WHERE {f} IS NOT NULL""")
     cuts = ", ".join(f"[{', '.join(f'quantile_cont({f}, {i / 10})' for i in range(1, 10))}] AS e_{f}" for f in ("amt", "k"))
     head = f"ed AS (SELECT {cuts} FROM sc WHERE dom <= 15), bl AS ({' UNION ALL '.join(parts)})"
     if days:
@@ -455,10 +464,14 @@ def shares(days=False):
 
 PSI = "sum((greatest(pa, 1e-8) - greatest(pe, 1e-8)) * ln(greatest(pa, 1e-8) / greatest(pe, 1e-8)))"
 JSD = "sum(0.5 * greatest(pe, 1e-10) * ln(greatest(pe, 1e-10) / greatest((pe + pa) / 2, 1e-10)) + 0.5 * greatest(pa, 1e-10) * ln(greatest(pa, 1e-10) / greatest((pe + pa) / 2, 1e-10)))"
+GAPPY = SC.replace("sc AS", "full_sc AS", 1) + """,
+  sc AS (SELECT * REPLACE (CASE WHEN transaction_id % 7 <> 0 AND transaction_id % 11 <> 0 THEN amt END AS amt) FROM full_sc)"""
+add("psi_nulls", GAPPY, shares(), f"SELECT feature, {r(PSI, 'psi')}, CASE WHEN {PSI} < 0.1 THEN 'STABLE' WHEN {PSI} < 0.25 THEN 'MINOR' ELSE 'MAJOR' END AS verdict FROM sh GROUP BY 1")
 add("psi", SC, shares(), f"SELECT feature, {r(PSI, 'psi')}, CASE WHEN {PSI} < 0.1 THEN 'STABLE' WHEN {PSI} < 0.25 THEN 'MINOR' ELSE 'MAJOR' END AS verdict FROM sh GROUP BY 1")
 add("js_divergence", SC, shares(), f"SELECT feature, {r(JSD, 'jsd')}, CASE WHEN {JSD} < 0.1 THEN 'SIMILAR' ELSE 'DIFFERENT' END AS verdict FROM sh GROUP BY 1")
 JSD8 = JSD.replace("1e-10", "1e-8").replace("greatest((pe + pa) / 2, 1e-8)", "((greatest(pe, 1e-8) + greatest(pa, 1e-8)) / 2)")
-add("drift_report", SC, shares(True), f"""SELECT day, feature, {r(PSI, 'psi')}, {r(JSD8, 'jsd')}, {r('max(gap)', 'ks_binned')},
+for name, source in (("drift_report", SC), ("drift_nulls", GAPPY)):
+    add(name, source, shares(True), f"""SELECT day, feature, {r(PSI, 'psi')}, {r(JSD8, 'jsd')}, {r('max(gap)', 'ks_binned')},
   CASE WHEN {PSI} < 0.1 THEN 'OK' WHEN {PSI} < 0.25 THEN 'WARN' ELSE 'CRITICAL' END AS alert FROM sh GROUP BY 1, 2""")
 add("ks_2samp", SC, "g AS (SELECT amt, count(*) FILTER (dom <= 15) AS a, count(*) FILTER (dom > 15) AS z FROM sc GROUP BY 1)",
     "c AS (SELECT sum(a) OVER (ORDER BY amt) / sum(a) OVER () - sum(z) OVER (ORDER BY amt) / sum(z) OVER () AS gap FROM g)",
@@ -592,7 +605,7 @@ def em(k):
     return parts
 
 
-add("fusion_em", SC, *em(3), f"SELECT 'p1' AS model, {r('a', 'weight', 8)} FROM w3 UNION ALL SELECT 'p2', {r('bb', 'weight', 8)} FROM w3 UNION ALL SELECT 'e', {r('c', 'weight', 8)} FROM w3")
+add("fusion_em", SC, *em(50), f"SELECT 'p1' AS model, {r('a', 'weight', 8)} FROM w50 UNION ALL SELECT 'p2', {r('bb', 'weight', 8)} FROM w50 UNION ALL SELECT 'e', {r('c', 'weight', 8)} FROM w50")
 add("fused_score", SC, f"SELECT transaction_id, {r('p1 * 0.5 + p2 * 0.3 + e * 0.2', 'risk_score')}, {b(flag('p1 * 0.5 + p2 * 0.3 + e * 0.2 >= 0.55'), 'flagged')} FROM sc")
 add("anomaly_blend", SC, "bd AS (SELECT min(amt) AS la, max(amt) AS ha, min(k) AS lk, max(k) AS hk FROM sc WHERE dom <= 15)",
     f"SELECT transaction_id, {r('(least(greatest((amt - la) / (ha - la), 0), 1) + 1 - least(greatest((k - lk) / (hk - lk), 0), 1)) / 2', 'anomaly')} FROM sc, bd")
@@ -603,8 +616,21 @@ add("conformal", SC, "cal AS (SELECT CASE WHEN y = 1 THEN 1 - p2 ELSE p2 END AS
     f"SELECT transaction_id, {b('CASE WHEN p2 <= b THEN 1 ELSE 0 END + CASE WHEN 1 - p2 <= b THEN 1 ELSE 0 END', 'set_size')}, {b('CASE WHEN y = 1 THEN 1 - p2 <= b ELSE p2 <= b END', 'covered')} FROM sc, lim WHERE transaction_id % 2 = 1")
 add("survival", SC, "q AS (SELECT floor(amt / 5) AS wk, count(*) AS n, sum(y) AS ev FROM sc GROUP BY 1), z AS (SELECT wk, ev, sum(n) OVER (ORDER BY wk DESC) AS risk FROM q)",
     f"SELECT {r('wk', 'time')}, {b('ev', 'events')}, {b('risk', 'at_risk')}, {r('CASE WHEN bool_or(ev >= risk) OVER w THEN 0 ELSE exp(sum(CASE WHEN ev < risk THEN ln(1 - ev / risk) ELSE 0 END) OVER w) END', 'survival')}, {r('sum(ev / risk) OVER w', 'hazard')} FROM z WINDOW w AS (ORDER BY wk)")
-add("elliptic", SC, "m AS (SELECT avg(amt) AS ma, avg(k) AS mk, var_pop(amt) AS vaa, var_pop(k) AS vkk, covar_pop(amt, k) AS vak FROM sc)",
-    f"SELECT transaction_id, {r('(vkk * power(amt - ma, 2) - 2 * vak * (amt - ma) * (k - mk) + vaa * power(k - mk, 2)) / (vaa * vkk - vak * vak)', 'elliptic', 5)} FROM sc, m")
+
+
+def concentrated(k):
+    """k rounds of keeping the closest four fifths and fitting them again."""
+    fit = "SELECT avg(amt) AS ma, avg(k) AS mk, var_pop(amt) AS vaa, var_pop(k) AS vkk, covar_pop(amt, k) AS vak"
+    far = "(vkk * power(amt - ma, 2) - 2 * vak * (amt - ma) * (k - mk) + vaa * power(k - mk, 2)) / (vaa * vkk - vak * vak)"
+    parts = [f"m0 AS MATERIALIZED ({fit} FROM sc)"]
+    for i in range(k):
+        parts.append(f"f{i} AS MATERIALIZED (SELECT amt, k, {far} AS far FROM sc, m{i})")
+        parts.append(f"m{i + 1} AS MATERIALIZED ({fit} FROM f{i} WHERE far <= (SELECT quantile_cont(far, 0.8) FROM f{i}))")
+    return parts, far
+
+
+ROBUST, FAR = concentrated(30)
+add("elliptic", SC, *ROBUST, f"SELECT transaction_id, {r(FAR, 'elliptic', 5)} FROM sc, m30")
 
 # ---- streaming operators in batch form
 add("stream_counters", SC, f"""SELECT {b("epoch_us(date_trunc('hour', ts))", 'window_start')}, channel, {b('count(*)', 'n')}, {r('sum(amount)', 'total_amount')},

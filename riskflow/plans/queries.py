@@ -391,7 +391,7 @@ def label_communities(spark, d, rounds=5):
 
 @query
 def pagerank(spark, d):
-    return tidy(gr.pagerank(edges_of(spark, d), iters=5, tol=None), 9)
+    return tidy(gr.pagerank(edges_of(spark, d), tol=1e-11), 9)
 
 
 @query
@@ -401,7 +401,7 @@ def pagerank_converged(spark, d):
 
 @query
 def eigenvector(spark, d):
-    return tidy(gr.eigenvector(eg.undirected(edges_of(spark, d)), iters=5, tol=None), 8)
+    return tidy(gr.eigenvector(eg.undirected(edges_of(spark, d)), tol=1e-10), 8)
 
 
 @query
@@ -411,8 +411,8 @@ def components(spark, d):
 
 @query
 def order_components(spark, d):
-    """Parts and suppliers linked by order lines of high quantity: many components."""
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").filter((F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.1))
+    """Parts and orders linked by order lines."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
     links = lines.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("dst"))
     return tidy(gr.components(links))
 
@@ -457,7 +457,7 @@ def network_summary(spark, d):
 @query
 def entity_risk(spark, d):
     e = edges_of(spark, d)
-    out = gr.entity_risk(eg.node_metadata(e), gr.pagerank(e, iters=5, tol=None))
+    out = gr.entity_risk(eg.node_metadata(e), gr.pagerank(e, tol=1e-11))
     return tidy(out.select("id", "centrality_risk", "volume_risk", "imbalance_risk", "velocity_risk", "structural_risk", "composite_risk"))
 
 
@@ -472,7 +472,7 @@ def entity_patterns(spark, d):
 @query
 def entity_profiles(spark, d):
     e = edges_of(spark, d)
-    cent = gr.pagerank(e, iters=5, tol=None)
+    cent = gr.pagerank(e, tol=1e-11)
     out = gr.entity_profiles(e, eg.undirected(e), cent, label_communities(spark, d))
     return out.withColumn("patterns", F.to_json("patterns")).withColumn("communities", F.to_json("communities"))
 
@@ -493,7 +493,7 @@ def khop(spark, d):
 def propagate_risk(spark, d):
     t = tx(spark, d)
     seeds = sx.labels_from(t).filter("is_sar = 1").select(F.col("payer_id").alias("id"), F.lit(1.0).alias("weight"))
-    return tidy(gr.propagate_risk(edges_of(spark, d), seeds, iters=5), 9)
+    return tidy(gr.propagate_risk(edges_of(spark, d), seeds, iters=100, tol=1e-11), 9)
 
 
 # ---- validation and drift
@@ -540,6 +540,22 @@ def ks_2samp(spark, d):
     return tidy(out.select("test", "statistic", "effect_size"))
 
 
+def gappy_halves(spark, d):
+    """Both samples, with every seventh value missing and every eleventh not a number."""
+    amt = F.when(F.col("transaction_id") % 7 != 0, F.when(F.col("transaction_id") % 11 != 0, F.col("amt")).otherwise(F.lit(float("nan"))))
+    return tuple(x.withColumn("amt", amt) for x in halves(spark, d))
+
+
+@query
+def psi_nulls(spark, d):
+    return tidy(dr.psi(*gappy_halves(spark, d), ["amt", "k"]))
+
+
+@query
+def drift_nulls(spark, d):
+    return tidy(dr.drift_report(*gappy_halves(spark, d), ["amt", "k"]))
+
+
 @query
 def drift_report(spark, d):
     return tidy(dr.drift_report(*halves(spark, d), ["amt", "k"]))
@@ -799,7 +815,7 @@ def normal_score_corr(spark, d):
 @query
 def fusion_em(spark, d):
     s = scored(spark, d)
-    weights = fu.fuse_fit(s, ["p1", "p2", "e"], "y", rounds=3)
+    weights = fu.fuse_fit(s, ["p1", "p2", "e"], "y", rounds=50, tol=0.0)
     return tidy(spark.createDataFrame(list(weights.items()), "model string, weight double"), 8)
 
 
@@ -843,7 +859,7 @@ def garch(spark, d):
 @query
 def elliptic(spark, d):
     s = scored(spark, d)
-    model = an.fit_elliptic(s, ["amt", "k"], rounds=1)
+    model = an.fit_elliptic(s, ["amt", "k"])
     return tidy(an.elliptic_score(s, model).select("transaction_id", "elliptic"), 5)
 
 

@@ -85,12 +85,33 @@ def screen(tx: DataFrame, watchlist: DataFrame, ident: str = "entity_id", kind:
     return out.withColumn("watchlist_hit", F.col("payer_list").isNotNull() | F.col("payee_list").isNotNull())
 
 
-def request_hash(df: DataFrame, columns: Sequence[str]):
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+def request_hash(columns: Sequence[str]):
+    """Hash of the request as JSON: NULL, an empty text and texts with separators are all told apart."""
+    return F.md5(F.to_json(F.struct(*columns)))
 
 
 def dedup_requests(df: DataFrame, columns: Sequence[str], ts: str, ttl: int, tie: str) -> DataFrame:
-    """Mark repeats of the same request content within ``ttl`` of the previous one: those reuse its result."""
-    hashed = df.withColumn("request_hash", request_hash(df, columns))
-    seen = od.shifted(hashed, ["request_hash"], [ts, tie], {"_last": (ts, 1)})
-    return seen.withColumn("reused", F.coalesce(F.col(ts) - F.col("_last") <= ttl, F.lit(False))).drop("_last")
+    """Mark requests whose content was computed at most ``ttl`` ago: those reuse that result, and don't prolong its life.
+
+    Requests further apart than ``ttl`` start afresh, so the rows of a content are first cut into spells at such gaps. A spell is read
+    in order of time, with the time of the last computed result as the only state.
+    """
+    hashed = df.withColumn("request_hash", request_hash(columns))
+    gaps = od.shifted(hashed, ["request_hash"], [ts, tie], {"_last": (ts, 1)})
+    starts = F.when(F.col(ts) - F.col("_last") <= ttl, 0).otherwise(1).cast("long")
+    spells = od.running(gaps.withColumn("_starts", starts), ["request_hash"], ts, {"_spell": F.col("_starts")}, tie=[tie]).drop("_last", "_starts")
+    out = T.StructType([*df.schema.fields, T.StructField("request_hash", T.StringType()), T.StructField("reused", T.BooleanType())])
+
+    def read(batches):
+        spell, computed = None, None
+        for pdf in batches:
+            reused = []
+            for own, at in zip(zip(pdf["request_hash"], pdf["_spell"]), pdf[ts]):
+                if own != spell or at - computed > ttl:
+                    spell, computed = own, at
+                    reused.append(False)
+                else:
+                    reused.append(True)
+            yield pdf.drop(columns="_spell").assign(reused=reused)
+
+    return spells.repartition("request_hash", "_spell").sortWithinPartitions("request_hash", "_spell", ts, tie).mapInPandas(read, out)

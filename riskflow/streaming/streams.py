@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,7 +156,7 @@ def stream_pit(s: DataFrame, late: str = "1 hour", width_us: int = DAY_US) -> Da
 
 def stream_dedup(s: DataFrame, columns: list[str], ttl: str = "5 minutes") -> DataFrame:
     """Drop repeats of the same request content that arrive within ``ttl``."""
-    hashed = s.withColumn("request_hash", request_hash(s, columns))
+    hashed = s.withColumn("request_hash", request_hash(columns))
     return hashed.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["request_hash"])
 
 
@@ -171,29 +172,35 @@ def each_batch(s: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
 
 
 def stream_drift(s: DataFrame, reference: DataFrame, cols: list[str], path: str, checkpoint: str, once: bool = True):
-    """Append PSI, JSD and KS of every micro-batch against a reference to an alert table."""
+    """PSI, JSD and KS of every micro-batch against a reference, each in its own partition of an alert table.
+
+    A batch that is run again after a failure replaces its partition.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         if not batch.isEmpty():
             report = dr.drift_report(reference, batch.withColumn("day", F.lit(number)), cols)
-            report.withColumnRenamed("day", "batch").write.mode("append").parquet(path)
+            report.drop("day").write.mode("overwrite").parquet(f"{path}/batch={number}")
         batch.unpersist()
 
     return each_batch(s, handle, checkpoint, once)
 
 
 def late_counter(late_us: int, path: str) -> Callable[[DataFrame, int], None]:
-    """A batch handler that records how many rows lie further behind the newest event seen so far than allowed."""
-    newest = {"us": None}
+    """A batch handler that records how many rows lie further behind the newest event of earlier batches than allowed.
+
+    The bound is read from the table of results, so it outlives a restart, and a batch that is run again replaces its partition.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
         us = F.unix_micros("ts")
-        bound = newest["us"]
-        late = F.lit(0) if bound is None else F.count_if(us < F.lit(bound - late_us))
-        row = batch.agg(F.count(F.lit(1)).alias("rows"), late.cast("long").alias("late_rows"), F.max(us).alias("newest")).withColumn("batch", F.lit(number))
-        got = row.first()
-        newest["us"] = max(v for v in (bound, got["newest"], -(1 << 62)) if v is not None)
-        batch.sparkSession.createDataFrame([tuple(got)], row.schema).write.mode("append").parquet(path)
+        try:
+            before = batch.sparkSession.read.parquet(path).filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        except AnalysisException:  # the first batch
+            before = None
+        late = F.lit(0) if before is None else F.count_if(us < F.lit(before - late_us))
+        row = batch.agg(F.count(F.lit(1)).alias("rows"), late.cast("long").alias("late_rows"), F.max(us).alias("newest"))
+        row.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return handle

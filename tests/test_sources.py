@@ -49,3 +49,12 @@ def test_entry_and_registry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     out = e.entry(spark)
     assert out.count() == 1000 and "composite_risk_score" in out.columns
+
+
+def test_reuse_does_not_prolong_a_result(spark):
+    from riskflow.sources import quality as ql
+
+    rows = [(i, "a", t, None) for i, t in enumerate((0, 4, 8, 9, 30))] + [(9, "", 1, None), (10, None, 1, None), (11, None, 6, None)]
+    df = spark.createDataFrame(rows, "id int, who string, at long, note string")
+    got = {r["id"]: r["reused"] for r in ql.dedup_requests(df, ["who", "note"], "at", 5, "id").collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: False, 9: False, 10: False, 11: True}

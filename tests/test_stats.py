@@ -157,3 +157,37 @@ def test_garch_on_constant_variance(spark):
     df = spark.range(2000).select(F.lit("a").alias("k"), F.col("id").alias("i"), sp.normal_ppf_col(F.pmod(F.xxhash64("id"), F.lit(9973)) / 9973.0 * 0.999 + 0.0005).alias("r"))
     row = an.garch_moments(df, "k", ["i"], "r").first()
     assert row["alpha"] < 0.1 and row["last_volatility"] == pytest.approx(1.0, abs=0.25)
+
+
+def test_missing_values_have_no_bin(spark):
+    from riskflow.operators import drift as dr
+    from riskflow.operators import encoding as en
+
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 2).alias("y"), F.when(F.col("id") % 4 > 0, F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).otherwise(float("nan"))).alias("v"))
+    edges, table = en.woe_fit(df, ["v"], "y", min_iv=0.0)
+    assert table.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] == df.filter("v is not null and not isnan(v)").count()
+    assert en.woe_transform(df, edges, table).filter("v is null or isnan(v)").filter("woe_v <> 0").count() == 0
+    clean = df.filter("v is not null and not isnan(v)")
+    assert dr.psi(df, df.filter("id < 200"), ["v"]).first()["psi"] == pytest.approx(dr.psi(clean, clean.filter("id < 200"), ["v"]).first()["psi"])
+
+
+def test_one_class_and_empty_samples_do_not_raise(spark):
+    from riskflow.operators import drift as dr
+    from riskflow.operators import encoding as en
+
+    df = spark.range(50).select(F.lit(0).alias("y"), F.col("id").cast("double").alias("v"), F.lit(1).alias("day"))
+    assert all(r["iv"] == 0 for r in en.woe_fit(df, ["v"], "y", min_iv=-1.0)[1].collect())
+    assert dr.psi(df, df.limit(0), ["v"]).count() == 1
+    assert dr.drift_report(df, df.filter("v > 1000"), ["v"]).count() == 0
+
+
+def test_a_node_in_two_community_tables_is_scored_once(spark):
+    from riskflow.models import fusion as fu
+
+    class Members(fu.RiskSystem):
+        def score(self, df, reasons=5):
+            return df.withColumns({m: F.lit(0.5) for m in self.MEMBERS}).withColumn("risk_score", F.lit(0.7))
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "transaction_id int, payer_id string")
+    known = spark.createDataFrame([("louvain", "a", 1), ("labels", "a", 9)], "method string, node string, community_id int")
+    assert Members([]).score_batch(df, known).count() == 2
