@@ -5,7 +5,7 @@ assembled at once: lengths of opening marks, texts and closing marks, cumulative
 numpy copies all marks and all texts into one preallocated buffer, which becomes the Arrow column of formatted conversations.
 
 Template: ``<<SYS>>\\n text \\n<</SYS>>\\n``, ``[INST] text [/INST]``, ``(space)text </s>`` for system, user and assistant turns, and
-``<s>role\\n text </s>`` for any other role. Inside texts and roles a backslash is doubled and one is put after the first character of
+``<s>role<s>text </s>`` for any other role. Inside texts and roles a backslash is doubled and one is put after the first character of
 each control string, so no control string is left and the change can be undone. The loss mask is a list of byte spans of the
 assistant's texts.
 """
@@ -63,7 +63,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     said = escape(names.dictionary).to_pylist()
     plain = names.dictionary.to_pylist()
-    heads = [OPEN.get(r, b"<s>" + s.encode() + b"\n") for r, s in zip(plain, said)]
+    heads = [OPEN.get(r, b"<s>" + s.encode() + b"<s>") for r, s in zip(plain, said)]
     tails = [CLOSE.get(r, b" </s>") for r in plain]
     size = lambda parts: np.array([len(p) for p in parts], np.int64)
     pool = np.frombuffer(b"".join(heads + tails), np.uint8)
@@ -133,7 +133,7 @@ def format_conversations(turns: DataFrame, key: str = "conv_id", turn: str = "tu
     return ordered.mapInArrow(work, ddl).withColumnRenamed("_conv", key)
 
 
-TURN = re.compile(rb"<<SYS>>\n(?P<system>.*?)\n<</SYS>>\n|\[INST\] (?P<user>.*?) \[/INST\]|<s>(?P<role>.*?)\n(?P<other>.*?) </s>| (?P<assistant>.*?) </s>", re.S)
+TURN = re.compile(rb"<<SYS>>\n(?P<system>.*?)\n<</SYS>>\n|\[INST\] (?P<user>.*?) \[/INST\]|<s>(?P<role>.*?)<s>(?P<other>.*?) </s>| (?P<assistant>.*?) </s>", re.S)
 
 
 def parse(formatted: bytes) -> list[tuple[bytes, bytes]]:
