@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -15,8 +16,11 @@ from riskflow.operators import encoding as en
 from riskflow.session import cut
 
 
-def fuse_fit(df: DataFrame, ps: Sequence[str], y: str, rounds: int = 500, alpha: float = 1.0, tol: float = 1e-6) -> dict[str, float]:
-    """Mixture weights of the models by expectation-maximisation under a Dirichlet prior: one aggregate per round."""
+def fuse_fit(df: DataFrame, ps: Sequence[str], y: str, rounds: int = 500, alpha: float = 1.0, tol: float = 1e-5) -> dict[str, float]:
+    """Mixture weights of the models by expectation-maximisation under a Dirichlet prior: one aggregate per round.
+
+    It ends when the weights, or the likelihood that is left to gain, change by less than ``tol``, and is an error before.
+    """
     k = len(ps)
     clip = lambda p: F.greatest(F.least(F.col(p).cast("double"), F.lit(1 - 1e-6)), F.lit(1e-6))
     like = {p: F.when(F.col(y) == 1, clip(p)).otherwise(1 - clip(p)) for p in ps}
@@ -26,8 +30,10 @@ def fuse_fit(df: DataFrame, ps: Sequence[str], y: str, rounds: int = 500, alpha:
         total = sum((F.col(f"l{i}") * w for i, w in enumerate(weights)), F.lit(0.0))
         got = base.agg(F.count(F.lit(1)), *[F.sum(F.col(f"l{i}") * weights[i] / total) for i in range(k)]).first()
         fresh = [(got[i + 1] + alpha - 1) / (got[0] + k * alpha - k) for i in range(k)]
+        # under a flat prior, this is how far the likelihood per row can be from its best
+        gap = max(got[i + 1] / (got[0] * w) for i, w in enumerate(weights) if w > 0) - 1 if alpha == 1 else math.inf
         change, weights = max(abs(a - b) for a, b in zip(fresh, weights)), fresh
-        if change < tol:
+        if min(change, gap) < tol:
             break
     else:
         if tol > 0:
@@ -48,6 +54,7 @@ class RiskSystem:
     label: str = "label"
     ident: str = "transaction_id"
     rounds: int = 30
+    fuse_rounds: int = 50  # of expectation-maximisation: a fixed number, as members that nearly agree settle slowly
     scorecard: Scorecard | None = None
     tabular: TabularModel | None = None
     forest: dict = field(default_factory=dict)
@@ -65,7 +72,7 @@ class RiskSystem:
         self.ellipse = an.fit_elliptic(df, self.columns)
         self.bounds = an.score_bounds(self._raw_anomaly(df), ["isolation", "elliptic"])
         members = cut(self.members(df).select(self.ident, self.label, *self.MEMBERS))
-        self.weights = fuse_fit(members, self.MEMBERS, self.label)
+        self.weights = fuse_fit(members, self.MEMBERS, self.label, self.fuse_rounds, tol=0.0)
         best = en.optimal_threshold(fuse_score(members, self.weights), self.label, "risk_score").first()
         self.threshold = float(best["threshold"])
         return self

@@ -21,8 +21,19 @@ def _uniform(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def bootstrap_replicates(df: DataFrame, row_id: str, value: str, rounds: int = 200, seed: int = 42, chunk: int = 100) -> DataFrame:
-    """Weighted mean of ``value`` per replicate. Every row gets a Poisson(1) weight from a hash of its id and the replicate.
+def weighted_mean(x: Column, weight: Column) -> Column:
+    return F.sum(x * weight) / F.sum(weight)
+
+
+def mean_difference(x: Column, first: Column) -> Column:
+    """Mean of the rows where ``first`` holds less that of the others."""
+    return F.avg(F.when(first, x)) - F.avg(F.when(~first, x))
+
+
+def bootstrap_replicates(df: DataFrame, row_id: str, value: str, rounds: int = 200, seed: int = 42, chunk: int = 100,
+                         statistic: Callable[[Column, Column], Column] = weighted_mean) -> DataFrame:
+    """``statistic`` of ``value`` per replicate: an aggregate of (value, weight). Every row gets a Poisson(1) weight from a hash of
+    its id and the replicate.
 
     Rows are exploded to ``chunk`` replicates at a time and summed in the same task, so only sums are shuffled.
     """
@@ -34,22 +45,26 @@ def bootstrap_replicates(df: DataFrame, row_id: str, value: str, rounds: int = 2
         u = _uniform("_id", "b", F.lit(seed))
         weight = F.size(F.filter(F.array(*[F.lit(p) for p in _POISSON]), lambda p: p < u))
         sums = rows.select("b", "_x", weight.alias("w")).filter("w > 0").groupBy("b").agg(
-            (F.sum(F.col("_x") * F.col("w")) / F.sum("w")).alias("estimate"))
+            statistic(F.col("_x"), F.col("w")).alias("estimate"))
         out = sums if out is None else out.unionByName(sums)
     return out
 
 
-def bootstrap_ci(df: DataFrame, row_id: str, value: str, rounds: int = 200, method: str = "bca", level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Interval for a mean: ``percentile``, ``bc`` (bias-corrected) or ``bca``."""
+def bootstrap_ci(df: DataFrame, row_id: str, value: str, rounds: int = 200, method: str = "bca", level: float = 0.95, seed: int = 42,
+                 statistic: Callable[[Column, Column], Column] = weighted_mean) -> DataFrame:
+    """Interval for a statistic of (value, weight), a mean by default: ``percentile``, ``bc`` (bias-corrected) or, for means, ``bca``.
+
+    For other statistics ``bca`` is taken as ``bc``: their acceleration would need a value for each row left out.
+    """
     x = F.col(value).cast("double")
     point, sd3, var, n = df.select(x.alias("x")).agg(
-        F.avg("x"), F.skewness("x"), F.var_pop("x"), F.count("x")).first()
-    boot = np.array([r[0] for r in bootstrap_replicates(df, row_id, value, rounds, seed).select("estimate").collect()])
+        statistic(F.col("x"), F.lit(1)), F.skewness("x"), F.var_pop("x"), F.count("x")).first()
+    boot = np.array([r[0] for r in bootstrap_replicates(df, row_id, value, rounds, seed, statistic=statistic).select("estimate").collect()])
     tails = ((1 - level) / 2, (1 + level) / 2)
     z0, acc = 0.0, 0.0
     if method in ("bc", "bca"):
         z0 = sp.normal_ppf(float(np.clip((boot < point).mean(), 1 / (2 * rounds), 1 - 1 / (2 * rounds))))
-    if method == "bca":
+    if method == "bca" and statistic is weighted_mean:
         # the jackknife means of a mean have the sample's own skewness, so no second pass is needed
         acc = (sd3 or 0.0) / (6 * math.sqrt(n))
     if method == "percentile":
@@ -64,13 +79,14 @@ def bootstrap_ci(df: DataFrame, row_id: str, value: str, rounds: int = 200, meth
     return df.sparkSession.createDataFrame([row], "estimate double, ci_low double, ci_high double, se double, bias double, z0 double, acceleration double")
 
 
-def permutation_test(df: DataFrame, row_id: str, group: str, value: str, rounds: int = 200, alternative: str = "two-sided", seed: int = 42) -> DataFrame:
-    """Difference of means of two groups against hash-shuffled group labels (each row keeps the group-1 share as its chance)."""
+def permutation_test(df: DataFrame, row_id: str, group: str, value: str, rounds: int = 200, alternative: str = "two-sided", seed: int = 42,
+                     statistic: Callable[[Column, Column], Column] = mean_difference) -> DataFrame:
+    """A statistic of (value, is in the first group), the difference of means by default, against hash-shuffled group labels (each row keeps the group-1 share as its chance)."""
     x, g = F.col(value).cast("double"), F.col(group)
-    n, n1, real = df.agg(F.count(F.lit(1)), F.sum(g.cast("long")), F.avg(F.when(g == 1, x)) - F.avg(F.when(g == 0, x))).first()
+    n, n1, real = df.agg(F.count(F.lit(1)), F.sum(g.cast("long")), statistic(x, g == 1)).first()
     rows = df.select(F.col(row_id).alias("_id"), x.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
     one = _uniform("_id", "b", F.lit(seed)) < F.lit(n1 / n)
-    sums = rows.groupBy("b").agg((F.avg(F.when(one, F.col("_x"))) - F.avg(F.when(~one, F.col("_x")))).alias("d"))
+    sums = rows.groupBy("b").agg(statistic(F.col("_x"), one).alias("d"))
     far = {"two-sided": F.abs("d") >= abs(real), "greater": F.col("d") >= real, "less": F.col("d") <= real}[alternative]
     hits, mean, sd = sums.agg(F.count_if(far), F.avg("d"), F.stddev("d")).first()
     row = (float(real), (hits + 1) / (rounds + 1), float(mean), float(sd))

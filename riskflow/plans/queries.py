@@ -429,12 +429,12 @@ def louvain(spark, d):
 
 @query
 def betweenness(spark, d):
-    return tidy(gr.betweenness(eg.undirected(edges_of(spark, d)), k=20, distance="hop"))
+    return tidy(gr.betweenness(eg.undirected(edges_of(spark, d)), distance="hop"))
 
 
 @query
 def betweenness_weighted(spark, d):
-    return tidy(gr.betweenness(eg.undirected(edges_of(spark, d)), k=10, distance="weight"))
+    return tidy(gr.betweenness(eg.undirected(edges_of(spark, d)), distance="weight"))
 
 
 @query
@@ -772,12 +772,12 @@ def score_histogram(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    return tidy(rs.bootstrap_ci(tx(spark, d), "transaction_id", "amount", 100))
+    return tidy(rs.bootstrap_ci(tx(spark, d), "transaction_id", "amount"))
 
 
 @query
 def permutation_test(spark, d):
-    return tidy(rs.permutation_test(scored(spark, d), "transaction_id", "t", "amt", 50))
+    return tidy(rs.permutation_test(scored(spark, d), "transaction_id", "t", "amt"))
 
 
 @query
@@ -866,7 +866,7 @@ def elliptic(spark, d):
 @query
 def isolation_forest(spark, d):
     s = scored(spark, d)
-    return tidy(an.isolation_score(s, an.fit_isolation_forest(s, ["amt", "k", "h"], "transaction_id", trees=50), "transaction_id"))
+    return tidy(an.isolation_score(s, an.fit_isolation_forest(s, ["amt", "k", "h"], "transaction_id"), "transaction_id"))
 
 
 @query
@@ -879,15 +879,15 @@ def scorecard(spark, d):
 @query
 def tree_contributions(spark, d):
     s = scored(spark, d)
-    model = sv.TabularModel(["amt", "k", "h"], "is_sar", "transaction_id", rounds=5, depth=3).fit(s, calibrate_folds=0)
+    model = sv.TabularModel(["amt", "k", "h"], "is_sar", "transaction_id", depth=3).fit(s, calibrate_folds=0)
     return tidy(sv.tree_contributions(s, model.model, ["amt", "k", "h"], "transaction_id"))
 
 
 @query
 def score_batch(spark, d):
     s = scored(spark, d).withColumn("label", F.col("is_sar"))
-    system = fu.RiskSystem(["amt", "k", "h"], rounds=3).fit(s)
-    out = system.score_batch(s, label_communities(spark, d, 2))
+    system = fu.RiskSystem(["amt", "k", "h"]).fit(s)
+    out = system.score_batch(s, label_communities(spark, d))
     return tidy(out.select("transaction_id", "risk_score", "flagged", "risk_level", "alert_priority", "recommended_action", "investigation_minutes"))
 
 

@@ -191,3 +191,15 @@ def test_a_node_in_two_community_tables_is_scored_once(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "transaction_id int, payer_id string")
     known = spark.createDataFrame([("louvain", "a", 1), ("labels", "a", 9)], "method string, node string, community_id int")
     assert Members([]).score_batch(df, known).count() == 2
+
+
+def test_statistics_of_the_callers_choice(spark):
+    from riskflow.operators import resample as rs
+
+    df = spark.range(2000).select(F.col("id"), (F.col("id") % 2).alias("g"), (F.xxhash64("id") % 1000).cast("double").alias("v"))
+    spread = lambda x, w: F.sqrt(F.sum(x * x * w) / F.sum(w) - F.pow(F.sum(x * w) / F.sum(w), 2))
+    row = rs.bootstrap_ci(df, "id", "v", 60, statistic=spread).first()
+    assert row["estimate"] == pytest.approx(df.agg(F.stddev_pop("v")).first()[0]) and row["ci_low"] < row["estimate"] < row["ci_high"]
+    assert row["acceleration"] == 0
+    most = lambda x, first: F.max(F.when(first, x)) - F.max(F.when(~first, x))
+    assert 0 < rs.permutation_test(df, "id", "g", "v", 40, statistic=most).first()["p_value"] <= 1
