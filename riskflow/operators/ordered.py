@@ -63,9 +63,11 @@ def find_hot(df: DataFrame, keys: Sequence[str], budget: int | None = None) -> H
     slot = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), budget)
     if slot not in _memo:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
         # fewer than MAX_HOT keys can exceed the limit, and only those leave the aggregate
-        limit = max(budget, math.ceil(df.count() / MAX_HOT))
-        rows = [r for r in counts.filter(F.col("_n") > limit).collect() if all(r[k] is not None for k in keys)]
+        limit = max(budget, math.ceil((total or 0) / MAX_HOT))
+        hot = counts.filter(F.col("_n") > limit).collect() if (most or 0) > limit else []
+        rows = [r for r in hot if all(r[k] is not None for k in keys)]
         _memo[slot] = Hot(keys, rows, limit, T.StructType([df.schema[k] for k in keys]), df)
     return _memo[slot]
 
