@@ -33,6 +33,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def told_apart(key: str | Column) -> Column:
+    """The key as text that is never null, so that equal keys, null ones too, can be joined and grouped by plain equality."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.when(key.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), key.cast("string")))
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; of an empty text for a null key."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
