@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import SPACE, fresh
+from riskflow.llm.common import SPACE, fresh, told_apart
 from riskflow.session import cut
 
 SALTS = 32
@@ -77,12 +77,14 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
     """``docs`` without the rows that repeat an earlier content; columns as they were. Same rules as ``duplicate_groups``."""
-    d, c = fresh(docs, "_row_digest", "_row_content")
-    rows = docs.withColumn(c, normalised(text)).withColumn(d, digest(F.col(c)))
+    d, c, k, of, keep, content = fresh(docs, "_row_digest", "_row_content", "_row_key", "_of_digest", "_of_key", "_of_content")
+    rows = docs.withColumn(c, normalised(text)).withColumn(d, digest(F.col(c))).withColumn(k, told_apart(key))
     classes, collided = content_classes(rows.select(F.col(key).alias("_key"), F.col(c).alias("_content"), F.col(d).alias("_digest")), "_key", salts)
-    same = F.col(d).eqNullSafe(F.col("_digest")) & F.col(key).eqNullSafe(F.col("_keep"))
-    kept = rows.drop(c).join(classes.drop("_size"), same, "left_semi").dropDuplicates([d, key])
+    same = (F.col(d) == F.col(of)) & (F.col(k) == F.col(keep))
+    one = classes.select(F.col("_digest").alias(of), told_apart("_keep").alias(keep))
+    kept = rows.drop(c).join(one, same, "left_semi").dropDuplicates([d, k])  # where the join has put them
     if collided is not None:
-        more = rows.join(collided.drop("_size"), same & F.col(c).eqNullSafe(F.col("_content")), "left_semi")
-        kept = kept.unionByName(more.dropDuplicates([d, c, key]).drop(c))
-    return kept.drop(d)
+        one = collided.select(F.col("_digest").alias(of), told_apart("_keep").alias(keep), F.col("_content").alias(content))
+        more = rows.join(one, same & (F.col(c) == F.col(content)), "left_semi")
+        kept = kept.unionByName(more.dropDuplicates([d, c, k]).drop(c))
+    return kept.drop(d, k)

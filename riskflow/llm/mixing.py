@@ -124,11 +124,10 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
                     share: float = 1.0, repeats: int = 3) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns as they were. Rows that repeat key and size all get the
     mean of their copies, rounded up."""
-    n, k = fresh(docs, "_copies", "_mix_key")
+    n, k, words, of = fresh(docs, "_copies", "_mix_key", "_mix_size", "_mix_rows")
     per_key = (mix_sources(docs, key, text, source, weight, share, repeats)
-               .groupBy(F.col(key).alias(k), F.col("size").alias(f"{k}_size")).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(f"{n}_of"))
+               .groupBy(F.col(key).alias(k), F.col("size").alias(words)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(of))
                .filter(F.col(n) > 0))
-    same = F.col(key).eqNullSafe(F.col(k)) & (word_count(text) == F.col(f"{k}_size"))
-    joined = docs.join(per_key, same)
-    times = F.ceil(F.col(n) / F.col(f"{n}_of")).cast("int")
+    joined = docs.join(per_key, F.col(key).eqNullSafe(F.col(k)) & (word_count(text) == F.col(words)))
+    times = F.ceil(F.col(n) / F.col(of)).cast("int")
     return joined.withColumn(n, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
