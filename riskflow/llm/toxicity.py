@@ -75,24 +75,25 @@ class Index:
         ``without``: an example that each query doesn't see.
         """
         bounds = queries @ self.bound
-        order = np.argsort(-bounds, axis=1, kind="stable")
         best = np.zeros((len(queries), k), np.float32)
         who = np.full((len(queries), k), -1)
-        active = np.arange(len(queries))
-        for step in range(bounds.shape[1]):
-            limit = bounds[active, order[active, step]]
-            active = active[(limit > 0) & (limit + 1e-6 >= best[active, -1])]
-            if not len(active):
-                break
-            for b in np.unique(order[active, step]):
-                q = active[order[active, step] == b]
-                cos = queries[q] @ self.lists[b]
-                ids = np.broadcast_to(np.arange(cos.shape[1]) + b * BLOCK, cos.shape)
-                if without is not None:
-                    cos = np.where(ids == without[q][:, None], 0, cos)
-                both, names = np.hstack([best[q], cos]), np.hstack([who[q], np.where(cos > 0, ids, -1)])
-                first = np.lexsort((np.where(names < 0, 1 << 30, names), -both), axis=1)[:, :k]
-                best[q], who[q] = np.take_along_axis(both, first, 1), np.take_along_axis(names, first, 1)
+
+        def look(b: int, q: np.ndarray) -> None:
+            cos = queries[q] @ self.lists[b]
+            ids = np.broadcast_to(np.arange(cos.shape[1]) + b * BLOCK, cos.shape)
+            if without is not None:
+                cos = np.where(ids == without[q][:, None], 0, cos)
+            both, names = np.hstack([best[q], cos]), np.hstack([who[q], np.where(cos > 0, ids, -1)])
+            first = np.lexsort((np.where(names < 0, 1 << 30, names), -both), axis=1)[:, :k]
+            best[q], who[q] = np.take_along_axis(both, first, 1), np.take_along_axis(names, first, 1)
+
+        own = bounds.argmax(axis=1) if bounds.shape[1] else np.empty(0, np.int64)
+        for b in np.unique(own):  # each query's best block first
+            look(b, np.flatnonzero((own == b) & (bounds[:, b] > 0)))
+        for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
+            q = np.flatnonzero((own != b) & (bounds[:, b] > 0) & (bounds[:, b] + 1e-6 >= best[:, -1]))
+            if len(q):
+                look(b, q)
         return who, best
 
     def votes(self, who: np.ndarray, cos: np.ndarray) -> np.ndarray:
