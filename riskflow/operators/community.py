@@ -58,7 +58,6 @@ def _local_moves(uedges: DataFrame, rounds: int, seed: int, step: float) -> tupl
     m = nodes.agg(F.sum("k")).first()[0] / 2
     state = cut(nodes.withColumn("label", F.col("id")))
     score, moved, share = modularity(uedges, state.select("id", "label")), False, 2
-    nodes_left = 2 * state.count()  # by then a round moves no node or one
     for r in range(rounds):
         sizes = state.groupBy("label").agg(F.sum("k").alias("tot"))
         toward = links.join(state.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(
@@ -86,12 +85,12 @@ def _local_moves(uedges: DataFrame, rounds: int, seed: int, step: float) -> tupl
         else:
             # too many neighbours moved at once: fewer next round
             share *= 2
-            if share > nodes_left:
+            if share > 64:
                 break
     return state.select("id", "label"), score, moved
 
 
-def louvain(uedges: DataFrame, seed: int = 42, levels: int = 100, rounds: int = 100, step: float = 1e-4) -> DataFrame:
+def louvain(uedges: DataFrame, seed: int = 42, levels: int = 5, rounds: int = 8, step: float = 1e-4) -> DataFrame:
     """Louvain communities as (id, label): local moves, contraction, repeat. Modularity never falls between levels."""
     graph = cut(uedges.select("a", "b", "w"))
     result, score = None, None
