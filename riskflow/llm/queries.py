@@ -114,7 +114,7 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 
 @query
 def op7_near_dedup(spark, d):
-    return weighted_minhash.near_duplicates(table(spark, d, "documents"))
+    return weighted_minhash.near_duplicates(table(spark, d, "documents"), floor=weighted_minhash.FLOOR)
 
 
 @query
