@@ -13,18 +13,34 @@ def as_communities(df: DataFrame, method: str, node: str, label: str) -> DataFra
     return df.select(F.lit(method).alias("method"), F.col(node).alias("node"), F.col(label).alias("community_id"))
 
 
-def label_propagation(uedges: DataFrame, iters: int = 10) -> DataFrame:
-    """Each round every node takes the label most of its neighbours hold; ties go to the smallest label."""
+def label_propagation(uedges: DataFrame, iters: int = 1000) -> DataFrame:
+    """Each round every node takes the label most of its neighbours hold, ties going to the smallest label, until none changes.
+
+    Rounds of all nodes may end in two states by turns. From then on a hash picks half of the nodes a round, and a node keeps a label
+    that no other beats. Raises if labels still change after ``iters`` rounds.
+    """
     links = cut(both_ways(uedges).select("src", "dst"))
-    state = cut(links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(iters):
-        votes = links.join(state.withColumnRenamed("id", "src"), "src").groupBy("dst", "label").agg(F.count(F.lit(1)).alias("n"))
+    state = cut(links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")).withColumn("old", F.col("id")))
+    halves = False
+    for r in range(iters):
+        votes = links.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy("dst", "label").agg(F.count(F.lit(1)).alias("n"))
         chosen = votes.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
-        fresh = cut(state.join(chosen, "id").select("id", F.col("label").alias("old"), F.col("b.label").alias("label")))
-        state = fresh.select("id", "label")
-        if fresh.filter("old <> label").isEmpty():
-            break
-    return state
+        options = state.join(chosen, "id")
+        if halves:
+            held = votes.select(F.col("dst").alias("id"), "label", "n")
+            options = options.join(held, ["id", "label"], "left")
+            wants = F.coalesce("n", F.lit(0)) < -F.col("b.n")
+            turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        else:
+            wants, turn = F.col("label") != F.col("b.label"), F.lit(True)
+        fresh = cut(options.select("id", F.when(wants & turn, F.col("b.label")).otherwise(F.col("label")).alias("label"), F.col("label").alias("old"),
+                                   F.col("old").alias("older"), wants.alias("wants")))
+        state = fresh.select("id", "label", "old")
+        if fresh.filter("wants").isEmpty():
+            return state.select("id", "label")
+        if not halves and r and fresh.filter("label <> older").isEmpty():
+            halves = True
+    raise RuntimeError(f"labels still change after {iters} rounds")
 
 
 def modularity(uedges: DataFrame, state: DataFrame) -> float:

@@ -384,8 +384,8 @@ def edges_of(spark, d):
     return eg.build_edges(tx(spark, d))
 
 
-def label_communities(spark, d, rounds=5):
-    labels = cm.label_propagation(eg.undirected(edges_of(spark, d)), rounds)
+def label_communities(spark, d):
+    labels = cm.label_propagation(eg.undirected(edges_of(spark, d)))
     return cm.as_communities(labels, "label_propagation", "id", "label")
 
 

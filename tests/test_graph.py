@@ -58,6 +58,17 @@ def test_communities_of_barbell(spark, method):
     assert cm.modularity(u, state) == pytest.approx(2 * (10 / 21 - (21 / 42) ** 2))
 
 
+def test_labels_settle(spark):
+    """A long path, on which labels move one hop a round, and a star, which swaps its labels if all nodes move at once."""
+    pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 106)] + [(200, 201)]
+    label = {r["id"]: r["label"] for r in cm.label_propagation(ued(spark, pairs)).collect()}
+    for node in label:
+        near = [label[b if a == node else a] for a, b in pairs if node in (a, b)]
+        assert near.count(label[node]) == max(near.count(x) for x in near)
+    with pytest.raises(RuntimeError):
+        cm.label_propagation(ued(spark, pairs), 3)
+
+
 def test_shared_neighbours(spark):
     e = directed(spark, [(1, 2), (2, 3), (1, 3), (4, 5)]).select("src", "dst")
     got = gr and eg.shared_neighbours(e, e).collect()
