@@ -68,12 +68,17 @@ def _strengths(uedges: DataFrame) -> DataFrame:
 
 
 def _local_moves(uedges: DataFrame, rounds: int, seed: int, step: float) -> tuple[DataFrame, float, bool]:
-    """Move nodes to the neighbouring community with the best gain; a hash picks which nodes may move in a round."""
+    """Move nodes to the neighbouring community with the best gain, until all that nodes would gain adds up to less than ``step``.
+    A hash gives each node its turn in one of two rounds.
+
+    If all that want to move in a round don't raise modularity together, those move whose gain is the best of both communities they
+    touch: such moves don't affect each other's gains, so modularity rises by their sum.
+    """
     links = cut(both_ways(uedges.filter("a <> b")))
     nodes = cut(_strengths(uedges))
     m = nodes.agg(F.sum("k")).first()[0] / 2
     state = cut(nodes.withColumn("label", F.col("id")))
-    score, moved, share = modularity(uedges, state.select("id", "label")), False, 2
+    score, moved = modularity(uedges, state.select("id", "label")), False
     for r in range(rounds):
         sizes = state.groupBy("label").agg(F.sum("k").alias("tot"))
         toward = links.join(state.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(
@@ -86,28 +91,34 @@ def _local_moves(uedges: DataFrame, rounds: int, seed: int, step: float) -> tupl
         best = options.withColumn("gain", F.round(gain, 12)).groupBy("id").agg(
             F.min(F.struct((-F.col("gain")).alias("g"), "to")).alias("b"),
             F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("id", F.lit(seed + r)), F.lit(share)) == 0
-        go = turn & (-F.col("b.g") > F.col("stay") + 1e-12)
-        fresh = cut(state.join(best, "id").select("id", "k", F.col("label").alias("old"), F.when(go, F.col("b.to")).otherwise(F.col("label")).alias("label"),
-                                                  (-F.col("b.g") > F.col("stay") + 1e-12).alias("wants")))
-        if fresh.filter("wants").isEmpty():
-            break
-        trial = modularity(uedges, fresh.select("id", "label"))
-        if trial > score:
-            settled = trial < score + step
-            score, moved, state = trial, True, fresh.select("id", "k", "label")
-            if settled:
-                break
-        else:
-            # too many neighbours moved at once: fewer next round
-            share *= 2
-            if share > 64:
-                break
-    return state.select("id", "label"), score, moved
-
-
-def louvain(uedges: DataFrame, seed: int = 42, levels: int = 5, rounds: int = 8, step: float = 1e-4) -> DataFrame:
-    """Louvain communities as (id, label): local moves, contraction, repeat. Modularity never falls between levels."""
+        wants = -F.col("b.g") > F.col("stay") + 1e-12
+        turn = F.pmod(F.xxhash64("id", F.lit(seed + r // 2)), F.lit(2)) == r % 2
+        fresh = cut(state.join(best, "id").select("id", "k", F.col("label").alias("old"), F.col("b.to").alias("to"), wants.alias("wants"), turn.alias("turn"),
+                                                  (-F.col("b.g") - F.col("stay")).alias("rise")))
+        hope, ready = fresh.filter("wants").agg(F.sum("rise"), F.count_if("turn")).first()
+        if hope is None or hope < step:
+            return state.select("id", "label"), score, moved
+        to = lambda go: F.when(go, F.col("to")).otherwise(F.col("old")).alias("label")
+        trial = fresh.select("id", "k", to(F.col("wants") & F.col("turn")))
+        reached = modularity(uedges, trial.select("id", "label")) if ready else score
+        if ready and reached <= score:
+            key = F.struct((-F.col("rise")).alias("g"), "id")
+            offers = fresh.filter("wants").select(F.explode(F.array("old", "to")).alias("c"), key.alias("key"))
+            free = offers.groupBy("c").agg(F.min("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+            trial = cut(fresh.join(free.select(F.col("key.id").alias("id"), F.lit(True).alias("go")), "id", "left").select(
+                "id", "k", to(F.coalesce("go", F.lit(False)))))
+            reached = modularity(uedges, trial.select("id", "label"))
+        if reached > score:
+            score, moved, state = reached, True, trial
+    raise RuntimeError(f"nodes still gain by moving after {rounds} rounds")
+
+
+def louvain(uedges: DataFrame, seed: int = 42, levels: int = 100, rounds: int = 1000, step: float = 1e-4) -> DataFrame:
+    """Louvain communities as (id, label): local moves, contraction, repeat until no community moves. Modularity never falls between levels.
+
+    ``step``: a level ends when what all of its nodes would gain by moving adds up to less. Raises if ``levels`` levels or ``rounds``
+    rounds of a level are not enough.
+    """
     graph = cut(uedges.select("a", "b", "w"))
     result, score = None, None
     for level in range(levels):
@@ -118,10 +129,10 @@ def louvain(uedges: DataFrame, seed: int = 42, levels: int = 5, rounds: int = 8,
             result = cut(result.join(state.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select(
                 "id", F.col("up").alias("label")))
         if not moved or (score is not None and trial <= score + 1e-7):
-            break
+            return result
         score = trial
         graph = _contract(graph, state)
-    return result
+    raise RuntimeError(f"communities still move after {levels} levels")
 
 
 def greedy_modularity(uedges: DataFrame, max_rounds: int = 10_000) -> DataFrame:

@@ -69,6 +69,20 @@ def test_labels_settle(spark):
         cm.label_propagation(ued(spark, pairs), 3)
 
 
+def test_louvain_settles(spark):
+    """On a ring no two neighbouring communities gain by merging, and limits that are too low raise."""
+    n = 40
+    pairs = [(i, (i + 1) % n) for i in range(n)]
+    u = ued(spark, pairs)
+    label = {r["id"]: r["label"] for r in cm.louvain(u).collect()}
+    size = {c: list(label.values()).count(c) for c in label.values()}
+    ends = [tuple(sorted((label[a], label[b]))) for a, b in pairs if label[a] != label[b]]
+    assert ends and all(ends.count(e) / n - 2 * (2 * size[e[0]]) * (2 * size[e[1]]) / (2 * n) ** 2 < 1e-4 for e in ends)
+    for limit in ({"rounds": 2}, {"levels": 1}):
+        with pytest.raises(RuntimeError):
+            cm.louvain(u, **limit)
+
+
 def test_shared_neighbours(spark):
     e = directed(spark, [(1, 2), (2, 3), (1, 3), (4, 5)]).select("src", "dst")
     got = gr and eg.shared_neighbours(e, e).collect()
