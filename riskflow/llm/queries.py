@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, chat, exact_dedup, katz, language, line_rules, mixing, token_counts, toxicity, weighted_minhash
+from riskflow.llm import bpe, chat, exact_dedup, katz, language, line_rules, mixing, token_counts, toxicity, turn_repair, weighted_minhash
 from riskflow.llm.common import remainder, table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,55 @@ def op10_toxicity(spark, d):
     docs = table(spark, d, "documents")
     out = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels"), remainder("doc_id", 4) != 2))
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_turn_repair(spark, d):
+    return turn_repair.audit(turn_repair.repair(turn_repair.damaged(table(spark, d, "conversations")), live="live"))
+
+
+#: crc32 of ASCII text; then the same search with whole strings in each state: (cost, edits, repaired rows), least first.
+ORACLE["op11_turn_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 20 AS kind
+  FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM keyed),
+rows AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again FROM (
+    SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt)),
+judged AS (
+  SELECT *, left(role, 1) AS h, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM rows),
+walk AS (
+  SELECT c, 0 AS i, {'c': 0::BIGINT, 'a': '', 'r': ''} AS n, {'c': 10000000000, 'a': '', 'r': ''} AS s,
+         {'c': 2::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'} AS u, {'c': 4::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS e
+  FROM (SELECT DISTINCT c FROM judged)
+  UNION ALL
+  SELECT c, i, n, s, u2, list_sort([e, {'c': u2.c + 2, 'a': u2.a || 'I', 'r': u2.r || chr(10) || 'assistant:'}])[1] FROM (
+    SELECT *, list_sort([u, {'c': n.c + 2, 'a': n.a || 'I', 'r': n.r || chr(10) || 'user:'}, {'c': s.c + 2, 'a': s.a || 'I', 'r': s.r || chr(10) || 'user:'},
+                         {'c': e.c + 2, 'a': e.a || 'I', 'r': e.r || chr(10) || 'user:'}])[1] AS u2 FROM (
+      SELECT c, i, n1 AS n, list_sort([s1, {'c': n.c + k + CASE WHEN h = 's' THEN 0 ELSE 10000000000 END, 'a': n.a || 'K', 'r': n.r || t}])[1] AS s,
+             list_sort(list_concat([u1], list_transform([n, s, e], lambda x: {'c': x.c + k + CASE WHEN h = 'u' THEN 0 ELSE 10000000000 END, 'a': x.a || 'K', 'r': x.r || t}),
+               list_transform([n, s, e], lambda x: {'c': x.c + k + 2, 'a': x.a || 'R', 'r': x.r || chr(10) || 'user:' || text})))[1] AS u,
+             list_sort([e1, {'c': u.c + k + CASE WHEN h = 'a' THEN 0 ELSE 10000000000 END, 'a': u.a || 'K', 'r': u.r || t},
+                        {'c': u.c + k + 2, 'a': u.a || 'R', 'r': u.r || chr(10) || 'assistant:' || text}])[1] AS e
+      FROM (SELECT w.c, j.i, n, s, u, e, j.h, j.text, chr(10) || j.role || ':' || j.text AS t,
+                   CASE WHEN j.fault IN ('blank', 'duplicate') THEN 10000000000 WHEN j.fault = 'truncated' THEN 1 ELSE 0 END AS k,
+                   {'c': n.c + 3, 'a': n.a || 'D', 'r': n.r} AS n1, {'c': s.c + 3, 'a': s.a || 'D', 'r': s.r} AS s1,
+                   {'c': u.c + 3, 'a': u.a || 'D', 'r': u.r} AS u1, {'c': e.c + 3, 'a': e.a || 'D', 'r': e.r} AS e1
+            FROM walk w JOIN judged j ON j.c = w.c AND j.i = w.i + 1)))),
+ends AS (SELECT c, list_sort([n, e])[1] AS best FROM walk JOIN (SELECT c, max(i) AS i FROM judged GROUP BY c) USING (c, i)),
+per AS (
+  SELECT c, conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY c, conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN per p ON p.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends USING (c)
+"""
