@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import bpe, chat, exact_dedup, katz, language, line_rules, mixing, token_counts, toxicity, turn_repair, weighted_minhash
+from riskflow.llm import (
+    bpe, chat, dual_tree, exact_dedup, katz, language, line_rules, mixing, token_counts, toxicity, turn_repair, weighted_minhash,
+)
 from riskflow.llm.common import remainder, table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +211,28 @@ SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
        coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN per p ON p.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends USING (c)
 """
+
+
+@query
+def op12_ranked_search(spark, d):
+    return dual_tree.ranked(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+ORACLE["op12_ranked_search"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+size AS (SELECT count(*) FILTER (len(words) > 0) AS n, CAST(sum(len(words)) AS BIGINT) AS l FROM docs),
+tf AS (SELECT r, doc_id, term, n, count(*) AS tf FROM (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM docs)
+       WHERE term IN (SELECT term FROM asked) GROUP BY r, doc_id, term, n),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM size) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY term),
+worth AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * (SELECT n FROM size)) // (SELECT l FROM size)))) AS worth
+          FROM tf JOIN w USING (term)),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(worth) AS BIGINT) AS score FROM asked JOIN worth USING (term) GROUP BY item_id, r, doc_id),
+placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM placed WHERE rank <= 10
+"""
