@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.llm import (
-    bpe, chat, dual_tree, exact_dedup, katz, language, line_rules, mixing, token_counts, toxicity, turn_repair, weighted_minhash,
+    bpe, chat, dual_tree, exact_dedup, katz, language, line_rules, mixing, set_join, token_counts, toxicity, turn_repair, weighted_minhash,
 )
 from riskflow.llm.common import remainder, table, vocabulary_file
 
@@ -236,3 +236,27 @@ scored AS (SELECT item_id, r, doc_id, CAST(sum(worth) AS BIGINT) AS score FROM a
 placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
 SELECT * FROM placed WHERE rank <= 10
 """
+
+
+@query
+def op13_set_join(spark, d):
+    return set_join.similar_sets(table(spark, d, "documents"))
+
+
+ORACLE["op13_set_join"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                      ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')))) END AS own FROM docs),
+nodes AS (SELECT own, min(doc_id) AS node, len(own) AS n FROM sets WHERE len(own) > 0 GROUP BY own),
+each AS (SELECT node, n, unnest(own) AS shingle FROM nodes),
+pairs AS (SELECT a.node AS u, b.node AS v FROM each a JOIN each b ON a.shingle = b.shingle AND a.node < b.node
+          GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+reach AS (SELECT node, node AS to_ FROM nodes UNION SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.to_),
+low AS (SELECT node, min(to_) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(s.own) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets s LEFT JOIN nodes n ON s.own = n.own LEFT JOIN low USING (node)
+"""
