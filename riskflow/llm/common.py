@@ -47,3 +47,12 @@ def remainder(key: str, modulus: int) -> Column:
 def buckets(rows: int, each: int = 50_000, least: int = 64) -> int:
     """A power of two such that ``rows`` even shares hold about ``each`` rows."""
     return max(least, 1 << math.ceil(math.log2(max(1, rows / each))))
+
+
+#: Rows of a few short columns that may be sent to all tasks; more are joined by a shuffle.
+BROADCAST = 1_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, which should be cheap to count, marked to be sent to all tasks if there are at most ``BROADCAST`` of them."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys

@@ -11,8 +11,10 @@ two sets are similar just if the differences that they share weigh at least ``e1
 
 * The set with the least e, the hub, is compared with all others. Every pair that is similar without a shared difference is linked to it.
 * Any other similar pair shares differences of that weight. All but a part too light for it are stored, as before.
-  Where few sets share a stored difference and lie in different components, they are compared in pairs; where many do, those sets
-  become the next level, with groups and centres of their own.
+  Sets of different components that share enough of them are compared in pairs where few sets have a difference; where many do, those
+  sets become the next level, with groups and centres of their own.
+
+Two sets that both have only opened a group need not be compared in it: they meet in a group of their own.
 
 Each level takes what many sets share into the centre, so a large group of near copies costs as much as its differences and not the square of its
 size. Any choice of groups, centres and samples gives the same components.
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from riskflow.operators.graph import components
 from riskflow.session import cut
 
-CENTRE, PAIRED, LEVELS = 32, 32, 60
+CENTRE, PAIRED, LEVELS = 32, 1024, 60
+MEET = 1 / 6  # of what two similar sets share at least, the part that they have to share in stored tokens
 NEAR = 1e-6
 VECTOR = "_node binary, _tokens binary, _weights binary"
 _VECTOR = pa.schema([("_node", pa.binary()), ("_tokens", pa.binary()), ("_weights", pa.binary())])
@@ -48,25 +51,34 @@ def unpacked(tokens: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarr
     return t, np.ones(len(t)) if weights is None else np.frombuffer(zlib.decompress(weights), "<f8")
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """(_group, _node): the groups that each set is in or has opened, from its stored tokens (_scope, _token, _node, _need).
-
-    A group is opened by sets that have ``_need`` of its tokens at least. Tokens of one set, and sets that share too few, drop out at once.
-    """
+def matched(rows: DataFrame, component: str) -> DataFrame:
+    """(_scope, _node, _component, _need, _lead, _own = tokens with their numbers of sets and of leads) of the sets that share ``_need`` of their
+    stored tokens' weight with sets of other components. rows: (_scope, _token, _node, _need, _w, _lead)."""
     dealt = rows.repartition("_scope", "_token")
-    several = dealt.groupBy("_scope", "_token").agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("_a"), F.max("_node").alias("_b"))
-    shared = dealt.join(several.filter("_a <> _b").select("_scope", "_token", "_n"), ["_scope", "_token"])
-    sets = shared.groupBy("_scope", "_node").agg(F.first("_need").alias("_need"), F.collect_set(F.struct("_n", "_token")).alias("_own"))
-    sets = cut(sets.filter(F.size("_own") >= F.col("_need")).select(
-        "_scope", "_node", "_need", F.xxhash64("_scope", F.array_max("_own").getField("_token")).alias("_home"), F.col("_own._token").alias("_own")))
-    each = sets.select("_scope", "_node", "_need", "_home", F.explode("_own").alias("_token"))
-    matrix = each.select("_scope", "_token", F.col("_home").alias("_group")).distinct()
-    met = each.join(matrix, ["_scope", "_token"]).groupBy("_node", "_home", "_group").agg(F.count(F.lit(1)).alias("_hits"), F.first("_need").alias("_need"))
-    return met.filter((F.col("_group") == F.col("_home")) | (F.col("_hits") >= F.col("_need"))).select("_group", "_node").distinct()
+    several = dealt.groupBy("_scope", "_token").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_lead").alias("_l"), F.min(component).alias("_a"), F.max(component).alias("_b"))
+    shared = dealt.join(several.filter("_a <> _b and _l > 0").select("_scope", "_token", "_n", "_l"), ["_scope", "_token"])
+    sets = shared.groupBy("_scope", "_node").agg(F.first(component).alias("_component"), F.max("_need").alias("_need"), F.max("_lead").alias("_lead"),
+                                                 F.collect_set(F.struct("_n", "_token", "_l", "_w")).alias("_own"))
+    return cut(sets.filter(_weighs("_own") >= F.col("_need")))
+
+
+def _weighs(own: str):
+    return F.aggregate(own, F.lit(0.0), lambda total, x: total + x["_w"])
+
+
+def placed(sets: DataFrame) -> DataFrame:
+    """(_group, _node, _lead): the groups that each set is in (as a lead) or has opened. Leads make up the matrix; what isn't a lead has
+    no group of its own, as it need not be compared with its like."""
+    homes = sets.withColumn("_home", F.when(F.col("_lead"), F.xxhash64("_scope", F.array_max("_own").getField("_token"))).otherwise(F.lit(0)))
+    each = homes.select("_scope", "_node", "_need", "_lead", "_home", F.explode("_own").alias("_x")).select("*", "_x._token", "_x._w").drop("_x")
+    matrix = each.filter("_lead").select("_scope", "_token", F.col("_home").alias("_group")).distinct()
+    met = each.join(matrix, ["_scope", "_token"]).groupBy("_scope", "_node", "_lead", "_home", "_group").agg(F.sum("_w").alias("_hits"), F.first("_need").alias("_need"))
+    own = F.col("_lead") & (F.col("_group") == F.col("_home"))
+    return met.filter(own | (F.col("_hits") >= F.col("_need"))).groupBy("_group", "_node").agg(F.max(own).alias("_lead"))
 
 
 def centres(members: DataFrame, vectors: DataFrame, on: str) -> DataFrame:
-    """(_group, _ct, _cw): tokens that more than half of a sample of about ``CENTRE`` members have. members: (_group, _node, _n)."""
+    """(_group, _ct, _cw): tokens that more than half of a sample of about ``CENTRE`` members have. members: (_group, _node, _lead, _n)."""
     spot = F.pmod(F.xxhash64("_group", "_node"), F.lit(1 << 30))
     chosen = members.filter(spot * F.col("_n") < F.lit(CENTRE << 30)).select("_group", F.col("_node").alias(on)).join(vectors, on)
 
@@ -81,29 +93,29 @@ def centres(members: DataFrame, vectors: DataFrame, on: str) -> DataFrame:
     return chosen.select("_group", "_tokens", "_weights").groupBy("_group").applyInPandas(centre, "_group long, _ct binary, _cw binary")
 
 
-_DIFFERENCE = "_group long, _node binary, _m double, _r double, _c double, _e double, _dt binary, _dw binary"
+_DIFFERENCE = "_group long, _node binary, _lead boolean, _m double, _r double, _c double, _e double, _dt binary, _dw binary"
 
 
 def differences(members: DataFrame, vectors: DataFrame, on: str, threshold: float) -> DataFrame:
     """How each member differs from its group's centre: weights missing and beyond, the centre's weight, e, and the differences as a vector."""
     t = threshold
-    joined = members.select("_group", F.col("_node").alias(on)).join(vectors, on).join(centres(members, vectors, on), "_group", "left")
-    schema = pa.schema([("_group", pa.int64()), ("_node", pa.binary()), *[(c, pa.float64()) for c in ("_m", "_r", "_c", "_e")], ("_dt", pa.binary()), ("_dw", pa.binary())])
+    joined = members.select("_group", F.col("_node").alias(on), "_lead").join(vectors, on).join(centres(members, vectors, on), "_group", "left")
+    schema = pa.schema([("_group", pa.int64()), ("_node", pa.binary()), ("_lead", pa.bool_()), *[(c, pa.float64()) for c in ("_m", "_r", "_c", "_e")], ("_dt", pa.binary()), ("_dw", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 out = []
-                for group, node, tokens, weights, ct, cw in zip(*(c.to_pylist() for c in b.slice(i, 256).columns)):
+                for group, node, lead, tokens, weights, ct, cw in zip(*(c.to_pylist() for c in b.slice(i, 256).columns)):
                     (own, w), (mid, v) = unpacked(tokens, weights), unpacked(ct or b"", cw)  # no sample, no centre
                     missing, beyond = ~np.isin(mid, own, assume_unique=True), ~np.isin(own, mid, assume_unique=True)
                     diff, worth = np.concatenate([~mid[missing], own[beyond]]), np.concatenate([v[missing], w[beyond]])
                     order = np.argsort(diff)
                     m, r = float(v[missing].sum()), float(w[beyond].sum())
-                    out.append((group, node, m, r, float(v.sum()), m / (1 + t) + r * t / (1 + t), *packed(diff[order], None if weights is None else worth[order])))
+                    out.append((group, node, lead, m, r, float(v.sum()), m / (1 + t) + r * t / (1 + t), *packed(diff[order], None if weights is None else worth[order])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return joined.select("_group", "_node", "_tokens", "_weights", "_ct", "_cw").mapInArrow(work, _DIFFERENCE)
+    return joined.select("_group", "_node", "_lead", "_tokens", "_weights", "_ct", "_cw").mapInArrow(work, _DIFFERENCE)
 
 
 def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -126,30 +138,33 @@ def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _stored(apart: DataFrame, threshold: float) -> DataFrame:
-    """(_scope = group, _token, _node, _component): of each member's differences those without which it shares too little with any other set of
-    its group. apart: differences with their _component and the group's least e as _low."""
+    """(_scope = group, _token, _node, _component, _lead, _need, _w): of each member's differences those that it may have to share with another set
+    of its group, in the order of their numbers. apart: differences with their _component and the group's least e as _low.
+
+    Two similar sets share ``least`` of either at least, so beyond what either stores they share under (1 - MEET) of the greater one.
+    """
     t = threshold
-    schema = pa.schema([("_scope", pa.int64()), ("_token", pa.int64()), ("_node", pa.binary()), ("_component", pa.binary())])
+    names = ("_scope", "_token", "_node", "_component", "_lead", "_need", "_w")
+    schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.float64(), pa.float64()))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                groups, nodes, comps, tokens, sizes = [], [], [], [], []
-                for group, node, comp, m, r, c, e, low, dt, dw in zip(*(x.to_pylist() for x in b.slice(i, 256).columns)):
+                part, tokens, weights, needs = b.slice(i, 256), [], [], []
+                for m, r, c, e, low, dt, dw in zip(*(x.to_pylist() for x in part.columns[4:])):
                     own, w = unpacked(dt, dw)
                     size = c - m + r
                     other = max(low, (t * size - c) * t / (1 + t), (c - size / t) / (1 + t))
-                    least = e + other - c * (1 - t) / (1 + t) - NEAR * (1 + c + size)
+                    least = max(0.0, e + other - c * (1 - t) / (1 + t) - NEAR * (1 + c + size))
                     rest = np.cumsum(w[::-1])[::-1]  # of a token and those after it
-                    own = own[rest >= max(least, 0)]
-                    groups.append(group), nodes.append(node), comps.append(comp), tokens.append(own.view(np.int64)), sizes.append(len(own))
-                flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-                at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()).take(at), pa.array(flat), pa.array(nodes, pa.binary()).take(at),
-                                                  pa.array(comps, pa.binary()).take(at)], schema=schema)
+                    keep = rest >= least * (1 - MEET)
+                    tokens.append(own[keep].view(np.int64)), weights.append(w[keep]), needs.append(least * MEET * (1 - NEAR))
+                at = pa.array(np.repeat(np.arange(len(needs)), [len(x) for x in tokens]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.concatenate(tokens)), *(part.column(k).take(at) for k in (1, 2, 3)),
+                                                  pa.array(needs, pa.float64()).take(at), pa.array(np.concatenate(weights))], schema=schema)
 
-    return apart.select("_group", "_node", "_component", "_m", "_r", "_c", "_e", "_low", "_dt", "_dw").mapInArrow(
-        work, "_scope long, _token long, _node binary, _component binary")
+    return apart.select("_group", "_node", "_component", "_lead", "_m", "_r", "_c", "_e", "_low", "_dt", "_dw").mapInArrow(
+        work, "_scope long, _token long, _node binary, _component binary, _lead boolean, _need double, _w double")
 
 
 def _side(found: DataFrame, s: str) -> DataFrame:
@@ -159,40 +174,56 @@ def _side(found: DataFrame, s: str) -> DataFrame:
 def similar_components(rows: DataFrame, vectors, threshold: float, on: str = "_node") -> DataFrame:
     """(_node, _component) of the sets that are linked to another, by weighted Jaccard similarity of ``threshold`` at least.
 
-    ``rows``: (_scope, _token, _node, _need), such that any similar pair shares _need of each of its rows at least; its _node is the
-    vectors' column ``on``, which may stand for several vectors. ``vectors``: from the sets that are in groups, as (_group, _node), to
+    ``rows``: (_token, _node, _need), such that any similar pair shares as many tokens at least as either needs; its _node is the
+    vectors' column ``on``, which may stand for several vectors. ``vectors``: from the sets that are in groups, as (_group, _node, _lead), to
     their (_node, _tokens, _weights), see ``packed``; where sets share a token it weighs the same in each. No rows, no components.
     """
-    t, links, label, members = threshold, None, None, cut(placed(rows))
+    t, links = threshold, None
+    first = rows.select(F.lit(0).cast("long").alias("_scope"), "_token", "_node", F.col("_need").cast("double").alias("_need"), F.lit(1.0).alias("_w"), F.lit(True).alias("_lead"))
+    members = cut(placed(matched(first, "_node")))
     vectors = vectors(members)
     for _ in range(LEVELS):
         sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-        several = cut(members.join(sizes.filter("_n > 1") if on == "_node" else sizes, "_group"))
+        several = members.join(sizes.filter("_n > 1") if on == "_node" else sizes, "_group")
         found = cut(differences(several, vectors, on, t))
-        hub = found.groupBy("_group").agg(F.min(F.struct("_e", "_node")).alias("_h")).select("_group", F.col("_h._e").alias("_low"), F.col("_h._node").alias("_hub"))
-        led = _side(found, "u").join(hub, "_group").filter("_nodeu <> _hub").join(_side(found.join(hub, "_group").filter("_node = _hub"), "v"), "_group")
-        new = cut(_linked(led.join(found.groupBy("_group").agg(F.first("_c").alias("_c")), "_group"), t))
+        new = cut(_linked(_led(found), t))
         links = new if links is None else cut(links.unionByName(new))
         label = _named(links)
         parted = found.join(label, "_node", "left").withColumn("_component", F.coalesce("_component", "_node"))
-        open_ = parted.groupBy("_group").agg(F.min("_component").alias("_a"), F.max("_component").alias("_b"), F.min("_e").alias("_low"))
-        stored = cut(_stored(parted.join(open_.filter("_a <> _b").select("_group", "_low"), "_group"), t))
-        buckets = stored.groupBy("_scope", "_token").agg(F.count(F.lit(1)).alias("_n"), F.min("_component").alias("_a"), F.max("_component").alias("_b"))
-        shared = cut(stored.join(buckets.filter("_a <> _b").select("_scope", "_token", "_n"), ["_scope", "_token"]))
-        few = shared.filter(F.col("_n") <= PAIRED)
-        one, two = (few.select(F.col("_scope").alias("_group"), "_token", F.col("_node").alias(f"_node{s}"), F.col("_component").alias(f"_k{s}")) for s in "uv")
-        pairs = one.join(two, ["_group", "_token"]).filter("_nodeu < _nodev and _ku <> _kv").select("_group", "_nodeu", "_nodev").distinct()
-        pairs = pairs.join(_side(found, "u"), ["_group", "_nodeu"]).join(_side(found, "v"), ["_group", "_nodev"])
-        new = cut(_linked(pairs.join(found.groupBy("_group").agg(F.first("_c").alias("_c")), "_group"), t))
+        apart = parted.groupBy("_group").agg(F.min("_component").alias("_a"), F.max("_component").alias("_b"), F.min("_e").alias("_low"))
+        sets = matched(_stored(parted.join(apart.filter("_a <> _b").select("_group", "_low"), "_group"), t), "_component")
+        # what a pair shares lies half in tokens of few sets or half in those of many
+        few, many = (sets.withColumn("_own", F.filter("_own", _in_few(few))).withColumn("_need", F.col("_need") / 2)
+                     .filter((F.size("_own") > 0) & (_weighs("_own") >= F.col("_need"))) for few in (True, False))
+        new = cut(_linked(_paired(few, found), t))
         if not new.isEmpty():
             links = cut(links.unionByName(new))
             label = _named(links)
-        many = shared.filter(F.col("_n") > PAIRED)
         if many.isEmpty():
             return label
-        members, on = placed(many.select("_scope", "_token", "_node", F.lit(1).alias("_need"))), "_node"
+        members, on = cut(placed(many)), "_node"
     raise RuntimeError(f"groups of sets that differ alike in {LEVELS} levels")
 
 
+def _in_few(wanted: bool):
+    return lambda x: (x["_n"] * x["_l"] <= PAIRED) == F.lit(wanted)
+
+
+def _led(found: DataFrame) -> DataFrame:
+    """Each member with the hub of its group."""
+    hub = found.groupBy("_group").agg(F.min(F.struct("_e", "_node")).alias("_h"), F.first("_c").alias("_c")).select("_group", "_c", F.col("_h._node").alias("_hub"))
+    return _side(found, "u").join(hub, "_group").filter("_nodeu <> _hub").join(_side(found.join(hub.drop("_c"), "_group").filter("_node = _hub"), "v"), "_group")
+
+
+def _paired(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of a lead and another set of the same scope, in different components, that share in ``_own`` what both need."""
+    each = sets.select(F.col("_scope").alias("_group"), "_node", "_component", "_need", "_lead", F.explode("_own").alias("_x")).select("*", "_x._token", "_x._w").drop("_x")
+    one, two = (each.select("_group", "_token", *[F.col(c).alias(f"{c}{s}") for c in ("_node", "_component", "_need", "_lead", "_w")]) for s in "uv")
+    met = one.filter("_leadu").join(two.drop("_wv"), ["_group", "_token"]).filter("_componentu <> _componentv and (not _leadv or _nodeu < _nodev)")
+    met = met.groupBy("_group", "_nodeu", "_nodev").agg(F.sum("_wu").alias("_w"), F.first(F.greatest("_needu", "_needv")).alias("_need")).filter("_w >= _need")
+    centre = found.groupBy("_group").agg(F.first("_c").alias("_c"))
+    return met.select("_group", "_nodeu", "_nodev").join(_side(found, "u"), ["_group", "_nodeu"]).join(_side(found, "v"), ["_group", "_nodev"]).join(centre, "_group")
+
+
 def _named(links: DataFrame) -> DataFrame:
     return cut(components(links).select(F.col("id").alias("_node"), F.col("component").alias("_component")))
