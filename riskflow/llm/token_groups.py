@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.operators.graph import components
@@ -54,9 +54,10 @@ def unpacked(tokens: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarr
 def matched(rows: DataFrame, component: str) -> DataFrame:
     """(_scope, _node, _component, _need, _lead, _own = tokens with their numbers of sets and of leads) of the sets that share ``_need`` of their
     stored tokens' weight with sets of other components. rows: (_scope, _token, _node, _need, _w, _lead)."""
-    dealt = rows.repartition("_scope", "_token")
-    several = dealt.groupBy("_scope", "_token").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_lead").alias("_l"), F.min(component).alias("_a"), F.max(component).alias("_b"))
-    shared = dealt.join(several.filter("_a <> _b and _l > 0").select("_scope", "_token", "_n", "_l"), ["_scope", "_token"])
+    alike = Window.partitionBy("_scope", "_token")  # one shuffle of the rows; what a token is counted over stays with them
+    counted = rows.select("*", F.count(F.lit(1)).over(alike).alias("_n"), F.count_if("_lead").over(alike).alias("_l"),
+                          F.min(component).over(alike).alias("_a"), F.max(component).over(alike).alias("_b"))
+    shared = counted.filter("_a <> _b and _l > 0")
     sets = shared.groupBy("_scope", "_node").agg(F.first(component).alias("_component"), F.max("_need").alias("_need"), F.max("_lead").alias("_lead"),
                                                  F.collect_set(F.struct("_n", "_token", "_l", "_w")).alias("_own"))
     return cut(sets.filter(_weighs("_own") >= F.col("_need")))
