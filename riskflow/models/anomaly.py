@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.linalg import gram
+from riskflow.operators import neighbours as nb
 from riskflow.operators import ordered as od
+from riskflow.session import cut
 
 
 def _norm_length(n: int) -> float:
@@ -30,11 +34,11 @@ def _grow(x: np.ndarray, rng, depth: int, nodes: list) -> int:
         nodes.append((-1, 0.0, -1, -1, _norm_length(len(x))))
         return at
     f = int(rng.choice(spans))
-    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
+    at_most = float(rng.uniform(x[:, f].min(), x[:, f].max()))
     nodes.append(None)
-    left = _grow(x[x[:, f] <= cut], rng, depth - 1, nodes)
-    right = _grow(x[x[:, f] > cut], rng, depth - 1, nodes)
-    nodes[at] = (f, cut, left, right, 0.0)
+    left = _grow(x[x[:, f] <= at_most], rng, depth - 1, nodes)
+    right = _grow(x[x[:, f] > at_most], rng, depth - 1, nodes)
+    nodes[at] = (f, at_most, left, right, 0.0)
     return at
 
 
@@ -93,47 +97,38 @@ def isolation_score(df: DataFrame, forest: dict, ident: str, name: str = "isolat
     return base.mapInPandas(score, f"`{ident}` {kind}, `{name}` double")
 
 
-def fit_lof(train: DataFrame, cols: Sequence[str], k: int = 20, most: int = 20_000) -> dict:
-    """Neighbourhood model of a training table of at most ``most`` rows (larger ones are refused, not thinned)."""
-    cols = list(cols)
-    rows = train.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna().limit(most + 1).toPandas().to_numpy(float)
-    if len(rows) > most:
-        raise ValueError(f"the training table has more than {most} rows")
-    mean, std = rows.mean(axis=0), rows.std(axis=0)
-    std[std == 0] = 1.0
-    z = (rows - mean) / std
-    k = min(k, len(z) - 1)
-    near, dist = _neighbours(z, z, k + 1)
-    near, dist = near[:, 1:], dist[:, 1:]
-    kdist = dist[:, -1]
-    lrd = 1 / np.maximum(np.maximum(dist, kdist[near]).mean(axis=1), 1e-10)
-    return {"cols": cols, "mean": mean, "std": std, "z": z, "k": k, "kdist": kdist, "lrd": lrd}
-
-
-def _neighbours(a: np.ndarray, b: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    idx, dst = [], []
-    for i in range(0, len(a), block):
-        d = np.sqrt(((a[i:i + block, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-        part = np.argsort(d, axis=1, kind="stable")[:, :k]
-        idx.append(part)
-        dst.append(np.take_along_axis(d, part, axis=1))
-    return np.concatenate(idx), np.concatenate(dst)
+def _scaled(df: DataFrame, cols: Sequence[str], mean: Sequence[float], std: Sequence[float]) -> DataFrame:
+    """Rows without missing or not-a-number features, with a row id ``_q`` and the scaled features ``_x``."""
+    x = F.array(*[(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(cols, mean, std)])
+    whole = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols]
+    return df.filter(reduce(and_, whole)).withColumns({"_x": x, "_q": F.monotonically_increasing_id()})
 
 
-def lof_score(df: DataFrame, model: dict, ident: str, name: str = "lof") -> DataFrame:
-    """(id, factor): density around the row's neighbours over its own, against the training table."""
-    cols = model["cols"]
+def fit_lof(train: DataFrame, cols: Sequence[str], k: int = 20) -> dict:
+    """Neighbourhood model of a training table of any size: its distinct places with their distance to the k-th other row and their
+    local density, as the table ``points`` (_p, _x, kdist, lrd). Rows with missing features are left out."""
+    cols = list(cols)
+    clean = train.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    row = clean.agg(*[f(c) for c in cols for f in (F.avg, F.stddev_pop)]).first()
+    mean, std = [x or 0.0 for x in row[::2]], [x or 1.0 for x in row[1::2]]
+    rows = cut(_scaled(clean, cols, mean, std).select(F.col("_q").alias("_p"), "_x"))
+    k = min(k, max(1, rows.count() - 1))
+    points = cut(nb.distinct_points(rows, k + 1))
+    near = cut(nb.nearest(points.select(F.col("_p").alias("_q"), "_x"), points, k, others=True))
+    kdist = near.groupBy(F.col("_q").alias("_p")).agg(F.max("_d").alias("kdist"))
+    lrd = near.join(kdist, "_p").groupBy("_q").agg((1 / F.greatest(F.avg(F.greatest("_d", "kdist")), F.lit(1e-10))).alias("lrd"))
+    return {"cols": cols, "mean": mean, "std": std, "k": k, "points": cut(points.join(kdist, "_p").join(lrd.withColumnRenamed("_q", "_p"), "_p"))}
 
-    def score(batches):
-        for pdf in batches:
-            z = (pdf[cols].to_numpy(float) - model["mean"]) / model["std"]
-            near, dist = _neighbours(z, model["z"], model["k"])
-            lrd = 1 / np.maximum(np.maximum(dist, model["kdist"][near]).mean(axis=1), 1e-10)
-            yield pd.DataFrame({ident: pdf[ident], name: model["lrd"][near].mean(axis=1) / lrd})
 
-    kind = df.schema[ident].dataType.simpleString()
-    base = df.select(ident, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    return base.mapInPandas(score, f"`{ident}` {kind}, `{name}` double")
+def lof_score(df: DataFrame, model: dict, ident: str, name: str = "lof") -> DataFrame:
+    """(id, factor): density around the row's neighbours over its own, against the training table; a row that is in that
+    table counts among its own neighbours. One row for each without missing features."""
+    rows = cut(_scaled(df, model["cols"], model["mean"], model["std"]).select(F.col(ident).alias("_id"), "_q", "_x"))
+    points = model["points"]
+    near = nb.nearest(rows.select("_q", "_x"), points.select("_p", "_x"), model["k"])
+    reach = F.greatest(F.avg(F.greatest("_d", "kdist")), F.lit(1e-10))
+    factor = near.join(points.select("_p", "kdist", "lrd"), "_p").groupBy("_q").agg((F.avg("lrd") * reach).alias(name))
+    return rows.select("_q", F.col("_id").alias(ident)).join(factor, "_q").drop("_q")
 
 
 def mahalanobis(cols: Sequence[str], mean: np.ndarray, precision: np.ndarray):

@@ -640,3 +640,18 @@ add("stream_velocity", "w AS (SELECT payer_id, amount, (us // 3600000000 - i) *
 add("stream_sessions", f"g AS (SELECT payer_id, us, amount, CASE WHEN us - lag(us) OVER {BYP} < 1800000000 THEN 0 ELSE 1 END AS fresh FROM tx)",
     "n AS (SELECT *, sum(fresh) OVER (PARTITION BY payer_id ORDER BY us) AS sid FROM g)",
     f"SELECT payer_id, {b('min(us)', 'session_start')}, {b('max(us) + 1800000000', 'session_end')}, {b('count(*)', 'n')}, {r('sum(amount)', 'total_amount')} FROM n GROUP BY payer_id, sid")
+
+
+# ---- nearest neighbours: all pairs
+
+add("local_outliers", """f AS (SELECT c_custkey AS id, c_acctbal AS a, count(o_orderkey)::DOUBLE AS b, coalesce(sum(o_totalprice), 0.0) AS c
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)""",
+    """z AS (SELECT id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b,
+  (c - avg(c) OVER ()) / stddev_pop(c) OVER () AS c FROM f)""",
+    """near AS (SELECT q, p, d, row_number() OVER (PARTITION BY q ORDER BY d, p) AS i FROM (
+  SELECT q.id AS q, p.id AS p, sqrt((q.a - p.a) * (q.a - p.a) + (q.b - p.b) * (q.b - p.b) + (q.c - p.c) * (q.c - p.c)) AS d FROM z q, z p) QUALIFY i <= 21)""",
+    "kth AS (SELECT q AS p, max(d) AS kdist FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, p) AS j FROM near WHERE p <> q) WHERE j <= 20 GROUP BY 1)",
+    """density AS (SELECT q AS p, 1 / greatest(avg(greatest(d, kdist)), 1e-10) AS lrd FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, p) AS j FROM near WHERE p <> q) JOIN kth USING (p) WHERE j <= 20 GROUP BY 1)""",
+    f"""SELECT q AS c_custkey, {r("avg(lrd) * greatest(avg(greatest(d, kdist)), 1e-10)", "lof", 5)}
+  FROM near JOIN kth USING (p) JOIN density USING (p) WHERE i <= 20 GROUP BY 1""")

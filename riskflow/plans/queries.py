@@ -856,6 +856,19 @@ def garch(spark, d):
     return tidy(an.garch_moments(s, "payer_id", ["us", "transaction_id"], "ret"))
 
 
+def customer_profile(spark, d):
+    """What each customer has and orders, orders or none."""
+    bought = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("spent"))
+    people = spark.read.parquet(f"{d}/customer.parquet").join(bought, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return people.select("c_custkey", F.col("c_acctbal").alias("balance"), F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("spent", F.lit(0.0)).alias("spent"))
+
+
+@query
+def local_outliers(spark, d):
+    people = customer_profile(spark, d)
+    return tidy(an.lof_score(people, an.fit_lof(people, ["balance", "orders", "spent"]), "c_custkey"), 5)
+
+
 @query
 def elliptic(spark, d):
     s = scored(spark, d)
