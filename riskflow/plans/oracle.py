@@ -655,3 +655,30 @@ add("local_outliers", """f AS (SELECT c_custkey AS id, c_acctbal AS a, count(o_o
   SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, p) AS j FROM near WHERE p <> q) JOIN kth USING (p) WHERE j <= 20 GROUP BY 1)""",
     f"""SELECT q AS c_custkey, {r("avg(lrd) * greatest(avg(greatest(d, kdist)), 1e-10)", "lof", 5)}
   FROM near JOIN kth USING (p) JOIN density USING (p) WHERE i <= 20 GROUP BY 1""")
+
+
+# ---- most likely paths: the same recursion over each payer's rows
+
+_STATES = "(SELECT list(DISTINCT channel ORDER BY channel) FROM tx)"
+_SHARE = "CAST(floor(1000000 * ln((coalesce(n, 0) + 1)::DOUBLE / (sum(coalesce(n, 0)) OVER (PARTITION BY {0}) + count(*) OVER (PARTITION BY {0})))) AS BIGINT)"
+add("likely_path", """o AS (SELECT transaction_id, payer_id, channel, row_number() OVER w AS i, lag(channel) OVER w AS before,
+  CASE WHEN amt < 10 THEN 'A' WHEN amt < 50 THEN 'B' WHEN amt < 100 THEN 'C' WHEN amt < 200 THEN 'D' ELSE 'E' END AS band
+  FROM tx WINDOW w AS (PARTITION BY payer_id ORDER BY us, transaction_id))""",
+    "s AS (SELECT DISTINCT channel AS s FROM tx), g AS (SELECT DISTINCT band AS g FROM o)",
+    f"""firsts AS (SELECT list(v ORDER BY s) AS start FROM (SELECT s, {_SHARE.format("1")} AS v FROM s LEFT JOIN (
+  SELECT channel AS s, count(*) AS n FROM o WHERE i = 1 GROUP BY 1) USING (s)))""",
+    f"""moves AS (SELECT list(line ORDER BY a) AS move FROM (SELECT a, list(v ORDER BY s) AS line FROM (SELECT a, s.s, {_SHARE.format("a")} AS v
+  FROM (SELECT s AS a FROM s) CROSS JOIN s LEFT JOIN (SELECT before AS a, channel AS s, count(*) AS n FROM o WHERE i > 1 GROUP BY 1, 2) USING (a, s)) GROUP BY a))""",
+    f"""emits AS (SELECT g, list(v ORDER BY s) AS emit FROM (SELECT g.g, s.s, CAST(floor(1000000 * ln((coalesce(n, 0) + 1)::DOUBLE /
+    (sum(coalesce(n, 0)) OVER (PARTITION BY s.s) + count(*) OVER (PARTITION BY s.s) + 1))) AS BIGINT) AS v
+  FROM g CROSS JOIN s LEFT JOIN (SELECT band AS g, channel AS s, count(*) AS n FROM o GROUP BY 1, 2) USING (g, s)) GROUP BY g)""",
+    f"""walk AS (
+  SELECT payer_id, i, list_transform(start, lambda x, j: x + emit[j]) AS score, list_transform(start, lambda x, j: [j]) AS path
+  FROM o JOIN emits ON g = band, firsts WHERE i = 1
+  UNION ALL
+  SELECT payer_id, i, list_transform(best, lambda x, j: list_max(x) + emit[j]),
+    list_transform(best, lambda x, j: list_append(path[list_position(x, list_max(x))], j)) FROM (
+    SELECT w.payer_id, o.i, w.path, emit, list_transform(w.score, lambda x, j: list_transform(w.score, lambda y, k: y + move[k][j])) AS best
+    FROM walk w JOIN o ON o.payer_id = w.payer_id AND o.i = w.i + 1 JOIN emits ON g = band, moves))""",
+    "ended AS (SELECT payer_id, path[list_position(score, list_max(score))] AS path FROM walk JOIN (SELECT payer_id, max(i) AS i FROM o GROUP BY 1) USING (payer_id, i))",
+    f"SELECT transaction_id, {_STATES}[path[i]] AS path_state FROM o JOIN ended USING (payer_id)")

@@ -20,6 +20,7 @@ from riskflow.operators import graph as gr
 from riskflow.operators import pointintime as pt
 from riskflow.operators import profiles as pf
 from riskflow.operators import resample as rs
+from riskflow.operators import sequences as sq
 from riskflow.operators import windows as wn
 from riskflow.plans import features as ft
 from riskflow.plans.common import tidy
@@ -869,6 +870,14 @@ def local_outliers(spark, d):
     return tidy(an.lof_score(people, an.fit_lof(people, ["balance", "orders", "spent"]), "c_custkey"), 5)
 
 
+@query
+def likely_path(spark, d):
+    """The channels that amounts alone make most likely, by payer."""
+    t = tx(spark, d).select("transaction_id", "payer_id", "us", "channel", "amount").withColumn("band", sc.bin_col("amount", (10, 50, 100, 200), ("A", "B", "C", "D", "E")))
+    model = sq.fit_path(t, "payer_id", ["us", "transaction_id"], "channel", "band")
+    return sq.likely_path(t, model, "payer_id", ["us", "transaction_id"], "band", "transaction_id")
+
+
 @query
 def elliptic(spark, d):
     s = scored(spark, d)
