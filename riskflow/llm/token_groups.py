@@ -197,11 +197,11 @@ def similar_components(rows: DataFrame, vectors, threshold: float, on: str = "_n
         few, many = (sets.withColumn("_own", F.filter("_own", _in_few(few))).withColumn("_need", F.col("_need") / 2)
                      .filter((F.size("_own") > 0) & (_weighs("_own") >= F.col("_need"))) for few in (True, False))
         new = cut(_linked(_paired(few, found), t))
-        if not new.isEmpty():
+        found_more = not new.isEmpty()
+        if found_more:  # the next level's components know of them
             links = cut(links.unionByName(new))
-            label = _named(links)
         if many.isEmpty():
-            return label
+            return _named(links) if found_more else label
         members, on = cut(placed(many)), "_node"
     raise RuntimeError(f"groups of sets that differ alike in {LEVELS} levels")
 
