@@ -682,3 +682,14 @@ add("likely_path", """o AS (SELECT transaction_id, payer_id, channel, row_number
     FROM walk w JOIN o ON o.payer_id = w.payer_id AND o.i = w.i + 1 JOIN emits ON g = band, moves))""",
     "ended AS (SELECT payer_id, path[list_position(score, list_max(score))] AS path FROM walk JOIN (SELECT payer_id, max(i) AS i FROM o GROUP BY 1) USING (payer_id, i))",
     f"SELECT transaction_id, {_STATES}[path[i]] AS path_state FROM o JOIN ended USING (payer_id)")
+
+
+# ---- the variance recursion, row by row
+
+add("garch_targeted", f"""q AS (SELECT payer_id, {SCORE} - 0.5 AS x, us, transaction_id FROM tx),
+e AS (SELECT payer_id, pow(x - avg(x) OVER (PARTITION BY payer_id), 2) AS e, var_pop(x) OVER (PARTITION BY payer_id) AS v, count(*) OVER (PARTITION BY payer_id) AS n,
+  row_number() OVER (PARTITION BY payer_id ORDER BY us, transaction_id) AS i FROM q)""",
+    """walk AS (SELECT payer_id, i, e, v AS s, v, n FROM e WHERE i = 1 AND n >= 30 AND v > 0
+  UNION ALL SELECT w.payer_id, w.i + 1, e.e, w.v * 0.1 + 0.1 * w.e + 0.8 * w.s, w.v, w.n FROM walk w JOIN e ON e.payer_id = w.payer_id AND e.i = w.i + 1)""",
+    f"""SELECT payer_id, n, {r("any_value(v) * 0.1", "omega", 5)}, 0.1::DOUBLE AS alpha, 0.8::DOUBLE AS beta, {r("-0.5 * sum(ln(2 * pi()) + ln(s) + e / s)", "log_likelihood", 5)},
+  {r("sqrt(arg_max(s, i))", "last_volatility", 5)}, CAST(1 AS BIGINT) AS settled FROM walk GROUP BY payer_id, n""")

@@ -11,6 +11,7 @@ from riskflow.functions import scalars as sc
 from riskflow.models import anomaly as an
 from riskflow.models import fusion as fu
 from riskflow.models import supervised as sv
+from riskflow.models import volatility as vo
 from riskflow.operators import causal as ca
 from riskflow.operators import community as cm
 from riskflow.operators import drift as dr
@@ -878,6 +879,18 @@ def likely_path(spark, d):
     return sq.likely_path(t, model, "payer_id", ["us", "transaction_id"], "band", "transaction_id")
 
 
+@query
+def garch_targeted(spark, d):
+    s = scored(spark, d).withColumn("ret", F.col("p1") - 0.5)
+    return tidy(vo.garch_fit(s, "payer_id", ["us", "transaction_id"], "ret", given=(0.1, 0.8)), 5)
+
+
+@query
+def garch_fit(spark, d):
+    s = scored(spark, d).withColumn("ret", F.col("p1") - 0.5)
+    return tidy(vo.garch_fit(s, "payer_id", ["us", "transaction_id"], "ret"), 5)
+
+
 @query
 def elliptic(spark, d):
     s = scored(spark, d)
