@@ -69,16 +69,16 @@ def _strengths(uedges: DataFrame) -> DataFrame:
 
 def _local_moves(uedges: DataFrame, rounds: int, seed: int, step: float) -> tuple[DataFrame, float, bool]:
     """Move nodes to the neighbouring community with the best gain, until all that nodes would gain adds up to less than ``step``.
-    A hash gives each node its turn in one of two rounds.
 
-    If all that want to move in a round don't raise modularity together, those move whose gain is the best of both communities they
-    touch: such moves don't affect each other's gains, so modularity rises by their sum.
+    Each round a hash picks a share of the nodes that want to move, at first half of them. The share doubles after moves that raise modularity
+    together, and falls to a quarter after moves that don't, which are taken back. When it comes to less than one node, those move whose
+    gain is the best of both communities they touch: such moves don't affect each other's gains, so modularity rises by their sum.
     """
     links = cut(both_ways(uedges.filter("a <> b")))
     nodes = cut(_strengths(uedges))
     m = nodes.agg(F.sum("k")).first()[0] / 2
     state = cut(nodes.withColumn("label", F.col("id")))
-    score, moved = modularity(uedges, state.select("id", "label")), False
+    score, moved, share = modularity(uedges, state.select("id", "label")), False, 0.5
     for r in range(rounds):
         sizes = state.groupBy("label").agg(F.sum("k").alias("tot"))
         toward = links.join(state.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(
@@ -92,24 +92,29 @@ def _local_moves(uedges: DataFrame, rounds: int, seed: int, step: float) -> tupl
             F.min(F.struct((-F.col("gain")).alias("g"), "to")).alias("b"),
             F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("stay"))
         wants = -F.col("b.g") > F.col("stay") + 1e-12
-        turn = F.pmod(F.xxhash64("id", F.lit(seed + r // 2)), F.lit(2)) == r % 2
-        fresh = cut(state.join(best, "id").select("id", "k", F.col("label").alias("old"), F.col("b.to").alias("to"), wants.alias("wants"), turn.alias("turn"),
+        draw = F.pmod(F.xxhash64("id", F.lit(seed + r)), F.lit(1 << 30)) / float(1 << 30)
+        fresh = cut(state.join(best, "id").select("id", "k", F.col("label").alias("old"), F.col("b.to").alias("to"), wants.alias("wants"), draw.alias("draw"),
                                                   (-F.col("b.g") - F.col("stay")).alias("rise")))
-        hope, ready = fresh.filter("wants").agg(F.sum("rise"), F.count_if("turn")).first()
+        hope, wanting = fresh.filter("wants").agg(F.sum("rise"), F.count(F.lit(1))).first()
         if hope is None or hope < step:
             return state.select("id", "label"), score, moved
         to = lambda go: F.when(go, F.col("to")).otherwise(F.col("old")).alias("label")
-        trial = fresh.select("id", "k", to(F.col("wants") & F.col("turn")))
-        reached = modularity(uedges, trial.select("id", "label")) if ready else score
-        if ready and reached <= score:
-            key = F.struct((-F.col("rise")).alias("g"), "id")
-            offers = fresh.filter("wants").select(F.explode(F.array("old", "to")).alias("c"), key.alias("key"))
-            free = offers.groupBy("c").agg(F.min("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
-            trial = cut(fresh.join(free.select(F.col("key.id").alias("id"), F.lit(True).alias("go")), "id", "left").select(
-                "id", "k", to(F.coalesce("go", F.lit(False)))))
+        while True:
+            if single := share * wanting < 1:
+                key = F.struct((-F.col("rise")).alias("g"), "id")
+                offers = fresh.filter("wants").select(F.explode(F.array("old", "to")).alias("c"), key.alias("key"))
+                free = offers.groupBy("c").agg(F.min("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+                trial = cut(fresh.join(free.select(F.col("key.id").alias("id"), F.lit(True).alias("go")), "id", "left").select(
+                    "id", "k", to(F.coalesce("go", F.lit(False)))))
+            else:
+                trial = fresh.select("id", "k", to(F.col("wants") & (F.col("draw") < share)))
             reached = modularity(uedges, trial.select("id", "label"))
-        if reached > score:
-            score, moved, state = reached, True, trial
+            if reached > score:
+                share, score, moved, state = min(0.5, 2 * max(share, 1 / wanting)), reached, True, trial
+                break
+            if single:
+                break
+            share /= 4
     raise RuntimeError(f"nodes still gain by moving after {rounds} rounds")
 
 

@@ -47,6 +47,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage.
+
+    A checkpoint keeps the size that the plan was estimated to have and the constraints it implies. Joins multiply estimates, so over the rounds of an
+    iteration they become numbers of millions of digits and planning takes longer than the work; the frame returned knows neither.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
