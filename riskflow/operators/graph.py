@@ -88,8 +88,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iters: int = 100, tol: float
     return state.select("id", F.col("x").alias("pagerank"))
 
 
-def propagate_risk(edges: DataFrame, seeds: DataFrame, damp: float = 0.85, iters: int = 20, tol: float | None = None) -> DataFrame:
-    """Risk spreading from seed nodes (id, weight) along edges, damped at every hop."""
+def propagate_risk(edges: DataFrame, seeds: DataFrame, damp: float = 0.85, iters: int = 1000, tol: float | None = 1e-6) -> DataFrame:
+    """Risk spreading from seed nodes (id, weight) along edges, damped at every hop, until it changes by less than ``tol``; an error if it does not in time."""
     return pagerank(edges, damp, iters, tol, seeds).withColumnRenamed("pagerank", "risk")
 
 
