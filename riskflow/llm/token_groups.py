@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from riskflow.operators.graph import components
 from riskflow.session import cut
 
-CENTRE, PAIRED, LEVELS = 32, 1024, 60
+CENTRE, LEVELS = 32, 60
+PAIRED, WIDER = 1024, 8  # pairs of a token that are compared as pairs, and how many times more on each further level
 MEET = 1 / 6  # of what two similar sets share at least, the part that they have to share in stored tokens
 NEAR = 1e-6
 VECTOR = "_node binary, _tokens binary, _weights binary"
@@ -183,7 +184,7 @@ def similar_components(rows: DataFrame, vectors, threshold: float, on: str = "_n
     first = rows.select(F.lit(0).cast("long").alias("_scope"), "_token", "_node", F.col("_need").cast("double").alias("_need"), F.lit(1.0).alias("_w"), F.lit(True).alias("_lead"))
     members = cut(placed(matched(first, "_node")))
     vectors = vectors(members)
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
         several = members.join(sizes.filter("_n > 1") if on == "_node" else sizes, "_group")
         found = cut(differences(several, vectors, on, t))
@@ -194,7 +195,7 @@ def similar_components(rows: DataFrame, vectors, threshold: float, on: str = "_n
         apart = parted.groupBy("_group").agg(F.min("_component").alias("_a"), F.max("_component").alias("_b"), F.min("_e").alias("_low"))
         sets = matched(_stored(parted.join(apart.filter("_a <> _b").select("_group", "_low"), "_group"), t), "_component")
         # what a pair shares lies half in tokens of few sets or half in those of many
-        few, many = (sets.withColumn("_own", F.filter("_own", _in_few(few))).withColumn("_need", F.col("_need") / 2)
+        few, many = (sets.withColumn("_own", F.filter("_own", _in_few(few, PAIRED * WIDER**min(level, 6)))).withColumn("_need", F.col("_need") / 2)
                      .filter((F.size("_own") > 0) & (_weighs("_own") >= F.col("_need"))) for few in (True, False))
         new = cut(_linked(_paired(few, found), t))
         found_more = not new.isEmpty()
@@ -206,8 +207,8 @@ def similar_components(rows: DataFrame, vectors, threshold: float, on: str = "_n
     raise RuntimeError(f"groups of sets that differ alike in {LEVELS} levels")
 
 
-def _in_few(wanted: bool):
-    return lambda x: (x["_n"] * x["_l"] <= PAIRED) == F.lit(wanted)
+def _in_few(wanted: bool, most: int):
+    return lambda x: (x["_n"] * x["_l"] <= most) == F.lit(wanted)
 
 
 def _led(found: DataFrame) -> DataFrame:
