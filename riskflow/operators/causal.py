@@ -26,6 +26,8 @@ Z95 = 1.959963984540054
 def propensity(df: DataFrame, xs: Sequence[str], t: str, method: str = "logistic", seed: int = 42) -> DataFrame:
     """Add ``propensity``, the clipped chance of treatment given the covariates."""
     n, treated = df.agg(F.count(F.lit(1)), F.sum(F.col(t).cast("double"))).first()
+    if not treated or treated == n:
+        raise ValueError("propensities need rows of both arms")
     weight = F.when(F.col(t) == 1, n / (2 * treated)).otherwise(n / (2 * (n - treated)))
     base = df.withColumns({"_label": F.col(t).cast("double"), "_weight": weight})
     steps = [VectorAssembler(inputCols=list(xs), outputCol="_raw"),
@@ -46,12 +48,21 @@ def _effect(ate, se):
     return {"ate": ate, "se": se, "ci_low": ate - Z95 * se, "ci_high": ate + Z95 * se}
 
 
+def _over(value, share, chance):
+    """value / chance where the row has a share in the arm."""
+    return F.when(share != 0, F.try_divide(value, chance)).otherwise(F.when(value.isNotNull(), 0.0))
+
+
 def ate_ipw(df: DataFrame, t: str, y: str, e: str) -> DataFrame:
-    """Inverse-propensity-weighted average effect with its standard error and interval."""
+    """Inverse-propensity-weighted average effect with its standard error and interval. All are null if a row has an arm of no
+    propensity, whose weight would be infinite, or if an arm has no rows."""
     tt, yy, ee = F.col(t).cast("double"), F.col(y).cast("double"), F.col(e)
-    one, zero = tt * yy / ee, (1 - tt) * yy / (1 - ee)
-    got = df.agg((F.avg(one) - F.avg(zero)).alias("ate"),
-                 F.sqrt(F.var_pop(one) / F.sum(tt) + F.var_pop(zero) / F.sum(1 - tt)).alias("se"))
+    one, zero = _over(tt * yy, tt, ee), _over((1 - tt) * yy, 1 - tt, 1 - ee)
+    sure = F.coalesce(F.count_if((tt > 0) & (ee == 0) | (tt < 1) & (ee == 1)) == 0, F.lit(True))
+    got = df.agg(F.when(sure, F.avg(one) - F.avg(zero)).alias("ate"),
+                 F.when(sure, F.sqrt(F.try_divide(F.var_pop(one), F.sum(tt)) + F.try_divide(F.var_pop(zero), F.sum(1 - tt)))).alias("se"))
+    both = F.col("ate").isNotNull() & F.col("se").isNotNull()
+    got = got.select(F.when(both, F.col("ate")).alias("ate"), "se")
     return got.select("ate", "se", (F.col("ate") - Z95 * F.col("se")).alias("ci_low"), (F.col("ate") + Z95 * F.col("se")).alias("ci_high"))
 
 

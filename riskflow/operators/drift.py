@@ -83,12 +83,16 @@ def psi_interval(expected: DataFrame, actual: DataFrame, col: str, bins: int = 1
 
 
 def ks_2samp(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance over distinct values, asymptotic p, pooled effect size."""
+    """Two-sample Kolmogorov-Smirnov distance over distinct values, asymptotic p, pooled effect size. Nulls and NaN are no values; without
+    values in either sample nothing is concluded."""
     both = tagged_union(a.select(F.col(col).cast("double").alias("x")), b.select(F.col(col).cast("double").alias("x")))
-    both = both.filter(F.col("x").isNotNull())
+    both = both.filter(F.col("x").isNotNull() & ~F.isnan("x"))
     steps = od.ranked_totals(both, "x", {"na": (F.col("grp") == 0).cast("long"), "nb": (F.col("grp") == 1).cast("long")})
     tot = both.groupBy("grp").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).collect()
-    (n, ma, va), (m, mb, vb) = [(r["n"], r["m"], r["v"]) for r in sorted(tot, key=lambda r: r["grp"])]
+    sides = {r["grp"]: (r["n"], r["m"], r["v"]) for r in tot}
+    (n, ma, va), (m, mb, vb) = (sides.get(g, (0, None, None)) for g in (0, 1))
+    if not n or not m:
+        return result(a.sparkSession, "ks_2samp", None, None, None, None, n=n, m=m)
     d = steps.agg(F.max(F.abs(F.col("na_cum") / F.lit(n) - F.col("nb_cum") / F.lit(m)))).first()[0]
     p = sp.kolmogorov_sf(d * math.sqrt(n * m / (n + m)))
     pooled = math.sqrt((va + vb) / 2)
@@ -263,13 +267,17 @@ def importance_stability(long: DataFrame) -> DataFrame:
 
 
 def hosmer_lemeshow(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
+    """Observed against expected positives by bin. A bin sure of its outcome adds nothing if right, and makes the statistic infinite if not; no
+    rows give no statistic."""
     base = df.select(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("y"))
     edges = od.quantiles(base, "p", [i / bins for i in range(1, bins)])
     marks = F.array(*[F.lit(e) for e in edges])
     groups = base.groupBy(F.size(F.filter(marks, lambda e: e <= F.col("p"))).alias("bin")).agg(
         F.sum("y").alias("o"), F.sum("p").alias("e"), F.count(F.lit(1)).alias("n"))
-    stat, used = groups.agg(F.sum(F.pow(F.col("o") - F.col("e"), 2.0) / (F.col("e") * (1 - F.col("e") / F.col("n")))), F.count(F.lit(1))).first()
-    pv = sp.chi2_sf(stat, used - 2) if used > 2 else None
+    off, spread = F.pow(F.col("o") - F.col("e"), 2.0), F.col("e") * (1 - F.col("e") / F.col("n"))
+    part = F.when(spread > 0, F.try_divide(off, spread)).when(off > 0, F.lit(float("inf"))).otherwise(0.0)
+    stat, used = groups.agg(F.sum(part), F.count(F.lit(1))).first()
+    pv = (0.0 if math.isinf(stat) else sp.chi2_sf(stat, used - 2)) if used > 2 else None
     return result(df.sparkSession, "hosmer_lemeshow", stat, pv, "CALIBRATED" if pv is None or pv >= 0.05 else "MISCALIBRATED", bins=used)
 
 
@@ -277,7 +285,9 @@ def _auc_parts(df: DataFrame, y: str, p: str):
     """AUC, class sizes, and the placement variances of DeLong's estimate."""
     t = en.score_totals(df, y, p)
     tot = t.agg(F.sum("pos").alias("n1"), F.sum("n").alias("n")).first()
-    n1, n0 = tot["n1"], tot["n"] - tot["n1"]
+    n1, n0 = tot["n1"] or 0, (tot["n"] or 0) - (tot["n1"] or 0)
+    if not n1 or not n0:
+        return None, n1, n0, None, None
     neg = F.col("n") - F.col("pos")
     neg_below = F.col("n_cum") - F.col("pos_cum") - neg
     v10 = (neg_below + neg / 2) / F.lit(n0)                       # share of negatives below a positive
@@ -287,7 +297,10 @@ def _auc_parts(df: DataFrame, y: str, p: str):
 
 
 def auc(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Area under the curve with its interval; without rows of both classes there is none."""
     value, n1, n0, v1, v0 = _auc_parts(df, y, p)
+    if value is None:
+        return result(df.sparkSession, "auc", None, None, None, n1=n1, n0=n0)
     se = math.sqrt(v1 / n1 + v0 / n0)
     return result(df.sparkSession, "auc", value, None, None, ci=(value - 1.959963985 * se, value + 1.959963985 * se), n1=n1, n0=n0, se=se)
 
@@ -296,6 +309,8 @@ def auc_compare(df: DataFrame, y: str, p1: str, p2: str) -> DataFrame:
     """Difference of two AUCs with the simple standard error, and with DeLong's paired one."""
     a1, n1, n0, v1, w1 = _auc_parts(df, y, p1)
     a2, _, _, v2, w2 = _auc_parts(df, y, p2)
+    if a1 is None:
+        return result(df.sparkSession, "auc_compare", None, None, None)
     se = math.sqrt(a1 * (1 - a1) / n1 + a2 * (1 - a2) / n0)
     z = (a1 - a2) / se if se > 0 else 0.0
     # paired: variance of the difference of placements, from both scores' placements per row
