@@ -23,7 +23,7 @@ def both(spark, folder, name, values, gap=60):
     return sorted(map(tuple, got.collect())), sorted(want)
 
 
-@pytest.mark.parametrize("name", ["pit_behaviour"])
+@pytest.mark.parametrize("name", ["pit_behaviour", "online_features"])
 @pytest.mark.parametrize("gap", [60, 0])
 def test_amounts_exactly_as_far_apart_as_the_limit(spark, tmp_path, name, gap):
     # on two sides of 64, such doubles are a little more or less than 20 apart
