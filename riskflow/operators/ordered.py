@@ -56,9 +56,14 @@ def segment_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.riskflow.segmentRows", str(SEGMENT_ROWS)))
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], budget: int | None = None) -> Hot:
-    """Keys holding more than ``max(budget, rows / MAX_HOT)`` rows: at most ``MAX_HOT`` of them."""
+def find_hot(df: DataFrame, keys: Sequence[str], budget: int | None = None, within: Hot | None = None) -> Hot:
+    """Keys holding more than ``max(budget, rows / MAX_HOT)`` rows: at most ``MAX_HOT`` of them.
+
+    ``within``: what was found for some of these keys in the same rows. If none is hot, no finer key is, and nothing is counted.
+    """
     keys = list(keys)
+    if within is not None and not within and set(within.keys) <= set(keys):
+        return Hot(keys, [], within.budget, T.StructType([df.schema[k] for k in keys]), df)
     budget = budget or segment_rows(df)
     slot = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), budget)
     if slot not in _memo:
@@ -72,6 +77,13 @@ def find_hot(df: DataFrame, keys: Sequence[str], budget: int | None = None) -> H
     return _memo[slot]
 
 
+def gathered(df: DataFrame, hot: Hot) -> DataFrame:
+    """The rows dealt by key once, if none is hot: windows over these keys, with or without further ones, then need no other shuffle."""
+    if hot:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *hot.keys)
+
+
 def _only(df: DataFrame, hot: Hot) -> DataFrame:
     return df.join(F.broadcast(hot.frame(df)), hot.keys, "left_semi").select(*df.columns)
 

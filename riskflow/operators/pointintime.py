@@ -25,9 +25,10 @@ def _seen_until(following: str, width: int):
 def pit_24h(tx: DataFrame, hot: od.Hot | None = None, hot_pair: od.Hot | None = None) -> DataFrame:
     """Count, sum, distinct payees, mean and deviation of the payer's previous 24 hours."""
     hot = od.find_hot(tx, ["payer_id"]) if hot is None else hot
+    hot_pair = od.find_hot(tx, ["payer_id", "payee_id"], within=hot) if hot_pair is None else hot_pair
     last = F.col("us") + DAY_US
     one = F.lit(1).cast("long")
-    out = od.trailing(_with_next(tx, ["payer_id", "payee_id"], "_next", hot_pair), ["payer_id"], "us", {
+    out = od.trailing(_with_next(od.gathered(tx, hot), ["payer_id", "payee_id"], "_next", hot_pair), ["payer_id"], "us", {
         "tx_count_24h": (one, last), "total_amount_24h": (F.col("amount"), last),
         "_sxx": (sc.squared("amount"), last),
         "unique_payees_24h": (one, _seen_until("_next", DAY_US)),
