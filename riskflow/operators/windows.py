@@ -31,15 +31,15 @@ def velocity(tx: DataFrame, windows: dict[str, int] | None = None, key: str = "p
     """Trailing counts per window, 24h sum and 24h distinct counts, current second included, and the 24h/7d ratio."""
     windows = windows or WINDOWS
     names = {"payee_id": "unique_payees_24h", "channel": "unique_channels_24h"}
-    ready = tx
+    hot = od.find_hot(tx, [key])
+    ready = od.gathered(tx, hot)
     for item in distinct:
-        ready = with_next(ready, [key], item, "s", od.find_hot(tx, [key, item]))
+        ready = with_next(ready, [key], item, "s", od.find_hot(tx, [key, item], within=hot))
     one = F.lit(1).cast("long")
     measures = {f"tx_count_{n}": (one, F.col("s") + w) for n, w in windows.items()}
     measures["total_amount_24h"] = (F.col("amount"), F.col("s") + DAY)
     for item in distinct:
         measures[names.get(item, f"unique_{item}_24h")] = (one, until_next(item, "s", DAY))
-    hot = od.find_hot(tx, [key])
     out = od.trailing(ready, [key], "s", measures, hot).drop(*[f"_next_{i}" for i in distinct])
     if {"24h", "7d"} <= set(windows):
         out = out.withColumn("velocity_ratio_24h_7d", F.try_divide("tx_count_24h", "tx_count_7d"))
