@@ -25,11 +25,13 @@ def fuse_fit(df: DataFrame, ps: Sequence[str], y: str, rounds: int = 500, alpha:
     k = len(ps)
     clip = lambda p: F.greatest(F.least(F.col(p).cast("double"), F.lit(1 - 1e-6)), F.lit(1e-6))
     like = {p: F.when(F.col(y) == 1, clip(p)).otherwise(1 - clip(p)) for p in ps}
-    base = df.select(*[e.alias(f"l{i}") for i, e in enumerate(like.values())])
+    columns = [f"l{i}" for i in range(k)]
+    # equal rows add up alike: they are counted once, so that a round reads no more than the different ones
+    base = cut(df.select(*[e.alias(c) for c, e in zip(columns, like.values())]).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")))
     weights = [1.0 / k] * k
     for _ in range(rounds):
         total = sum((F.col(f"l{i}") * w for i, w in enumerate(weights)), F.lit(0.0))
-        got = base.agg(F.count(F.lit(1)), *[F.sum(F.col(f"l{i}") * weights[i] / total) for i in range(k)]).first()
+        got = base.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f"l{i}") * weights[i] / total) for i in range(k)]).first()
         fresh = [(got[i + 1] + alpha - 1) / (got[0] + k * alpha - k) for i in range(k)]
         # under a flat prior, this is how far the likelihood per row can be from its best
         gap = max(got[i + 1] / (got[0] * w) for i, w in enumerate(weights) if w > 0) - 1 if alpha == 1 else math.inf
@@ -135,6 +137,7 @@ class RiskSystem:
     MEMBERS = ("scorecard", "tabular", "anomaly")
 
     def fit(self, df: DataFrame) -> RiskSystem:
+        df = cut(df.select(*dict.fromkeys([self.ident, self.label, *self.columns])))  # every part reads it many times
         self.scorecard = Scorecard(self.columns, self.label, min_iv=0.0).fit(df)
         self.tabular = TabularModel(self.columns, self.label, self.ident, rounds=self.rounds).fit(df)
         self.forest = an.fit_isolation_forest(df, self.columns, self.ident)
