@@ -11,6 +11,8 @@ two aggregates give what the segments do and the sums of likelihood, gradient an
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from copy import copy
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ from riskflow.operators import ordered as od
 from riskflow.session import cut
 
 PIECE, ROUNDS, GAIN, MOST, BOUND = 512, 500, 1e-8, 0.9999, 16.0
+GATHER = 1 << 18  # rows of whole keys that are fitted together
 LOG_2PI = float(np.log(2 * np.pi))
 
 
@@ -79,6 +82,16 @@ class Series:
         self.length = np.minimum(PIECE, size[self.owner] - self.nth * PIECE)
         self.var = np.add.reduceat(e2, begins) / size if len(size) else np.empty(0)
 
+    def some(self, keys: np.ndarray) -> Series:
+        """The series of some keys, in order, over the same rows."""
+        out, chosen = copy(self), np.zeros(len(self.size), bool)
+        chosen[keys] = True
+        mine = chosen[self.owner]
+        out.size, out.var = self.size[chosen], self.var[chosen]
+        out.owner = (np.cumsum(chosen) - 1)[self.owner[mine]]
+        out.nth, out.begin, out.length = self.nth[mine], self.begin[mine], self.length[mine]
+        return out
+
     def evaluate(self, par: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By key: (log-likelihood, gradient, information) as ten columns, and the state after the last row."""
         own, first, var = par[self.owner], self.nth == 0, self.var[self.owner]
@@ -105,8 +118,10 @@ def _parameters(theta: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.stack([om, p * b, p * (1 - b)], axis=1), jac
 
 
-def climb(var: np.ndarray, evaluate: Callable[[np.ndarray], np.ndarray], starts=((0.9, 0.1), (0.5, 0.3))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(parameters, log-likelihood, settled) of each key, of the best of the starts (persistence, alpha's share). ``evaluate``: ten sums by key."""
+def climb(var: np.ndarray, evaluate: Callable[[np.ndarray, np.ndarray], np.ndarray], starts=((0.9, 0.1), (0.5, 0.3))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parameters, log-likelihood, settled) of each key, of the best of the starts (persistence, alpha's share).
+
+    ``evaluate(parameters of all keys, places of some)``: ten sums of each of these. A key that has settled costs nothing more."""
     best = None
     index = np.array([[0, 1, 2], [1, 3, 4], [2, 4, 5]])
     for persistence, share in starts:
@@ -114,36 +129,45 @@ def climb(var: np.ndarray, evaluate: Callable[[np.ndarray], np.ndarray], starts=
         theta = np.column_stack([np.full(len(var), np.log(1 - persistence)), np.full(len(var), logit(persistence / MOST)), np.full(len(var), logit(share))])
         damp, done = np.full(len(var), 1e-3), np.zeros(len(var), bool)
         par, jac = _parameters(theta, var)
-        now = evaluate(par)
+        now = evaluate(par, np.arange(len(var)))
         for _ in range(ROUNDS):
-            g = np.einsum("kij,ki->kj", jac, now[:, 1:4])
-            h = np.einsum("kai,kab,kbj->kij", jac, now[:, 4:][:, index], jac)
+            live = np.flatnonzero(~done)
+            if not len(live):
+                break
+            at, own = theta[live], jac[live]
+            g = np.einsum("kij,ki->kj", own, now[live, 1:4])
+            h = np.einsum("kai,kab,kbj->kij", own, now[live, 4:][:, index], own)
             # a coordinate at its bound that would go beyond stays there
-            free = ~(((theta >= BOUND) & (g > 0)) | ((theta <= -BOUND) & (g < 0)))
+            free = ~(((at >= BOUND) & (g > 0)) | ((at <= -BOUND) & (g < 0)))
             g, h = g * free, h * free[:, :, None] * free[:, None, :] + ~free[:, :, None] * np.eye(3)
             size = np.einsum("kii->ki", h)[:, :, None] * np.eye(3)
             solve = lambda extra, g=g, h=h, size=size: np.linalg.solve(h + size * extra[:, None, None] + 1e-14 * np.eye(3), g[:, :, None])[:, :, 0]
             left = (g * solve(np.full(len(g), 1e-10))).sum(axis=1)  # what a whole step promises
-            done |= (left <= GAIN) | (damp > 1e12)
-            if done.all():
+            settled = (left <= GAIN) | (damp[live] > 1e12)
+            done[live] = settled
+            step = np.clip(solve(damp[live]), -3, 3)[~settled]
+            live = live[~settled]
+            if not len(live):
                 break
-            step = np.where(done[:, None], 0, np.clip(solve(damp), -3, 3))
-            trial = np.clip(theta + step, -BOUND, BOUND)
-            new_par, new_jac = _parameters(trial, var)
-            new = evaluate(new_par)
-            better = ~done & (new[:, 0] >= now[:, 0])
-            theta, par, jac, now = (np.where(better.reshape((-1,) + (1,) * (x.ndim - 1)), y, x) for x, y in ((theta, trial), (par, new_par), (jac, new_jac), (now, new)))
-            damp = np.where(done, damp, np.where(better, np.maximum(damp / 5, 1e-9), damp * 5))
+            trial = np.clip(theta[live] + step, -BOUND, BOUND)
+            new_par, new_jac = _parameters(trial, var[live])
+            tried = par.copy()
+            tried[live] = new_par
+            new = evaluate(tried, live)
+            better = new[:, 0] >= now[live, 0]
+            for x, y in ((theta, trial), (par, new_par), (jac, new_jac), (now, new)):
+                x[live[better]] = y[better]
+            damp[live] = np.where(better, np.maximum(damp[live] / 5, 1e-9), damp[live] * 5)
         found = par, now[:, 0], done
         best = found if best is None else tuple(np.where((now[:, 0] > best[1]).reshape((-1,) + (1,) * (x.ndim - 1)), x, y) for x, y in zip(found, best))
     return best
 
 
-def _chosen(given: tuple[float, float] | None, var: np.ndarray, evaluate: Callable[[np.ndarray], np.ndarray]):
+def _chosen(given: tuple[float, float] | None, var: np.ndarray, evaluate: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     if given is None:
         return climb(var, evaluate)
     par = np.column_stack([var * (1 - sum(given)), *(np.full(len(var), x) for x in given)])
-    return par, evaluate(par)[:, 0], np.ones(len(var), bool)
+    return par, evaluate(par, np.arange(len(var)))[:, 0], np.ones(len(var), bool)
 
 
 def _returns(df: DataFrame, key: str, order: list[str], col: str, minimum: int) -> DataFrame:
@@ -170,14 +194,21 @@ def garch_fit(df: DataFrame, key: str, order: Sequence[str], col: str, minimum:
 
     def fitted(part: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
         series = Series(part["_e"].to_numpy(), begins)
-        par, value, settled = _chosen(given, series.var, lambda p: series.evaluate(p)[0])
+        par, value, settled = _chosen(given, series.var, lambda p, at: series.some(at).evaluate(p[at])[0])
         return pd.DataFrame({key: part[key].to_numpy()[begins], "n": series.size, "omega": par[:, 0], "alpha": par[:, 1], "beta": par[:, 2], "log_likelihood": value,
                              "last_volatility": np.sqrt(series.evaluate(par)[1][:, 0]), "settled": settled})
 
     def stream(batches):
-        held = None
-        for batch in batches:
-            part = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        held, waiting = None, []
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                waiting.append(batch)
+                if sum(map(len, waiting)) < GATHER:  # a step of the recursion costs the same for one key as for many
+                    continue
+            elif not waiting:
+                break
+            part = pd.concat(waiting if held is None else [held, *waiting], ignore_index=True)
+            waiting = []
             k = part[key].to_numpy()
             begins = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
             if len(begins) > 1:
@@ -186,7 +217,9 @@ def garch_fit(df: DataFrame, key: str, order: Sequence[str], col: str, minimum:
         if held is not None and len(held):
             yield fitted(held, np.zeros(1, np.int64))
 
-    plain = (od._without(rows, hot) if hot else rows).repartition(key).sortWithinPartitions(key, *order).select(key, "_e").mapInPandas(stream, kind)
+    # a fixed number of partitions: by their size alone they would be merged, but the work lies in the climb
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = (od._without(rows, hot) if hot else rows).repartition(tasks, key).sortWithinPartitions(key, *order).select(key, "_e").mapInPandas(stream, kind)
     return plain.unionByName(_fit_hot(cut(od.segment(od._only(rows, hot), hot, order[0])), key, order, kind, given)) if hot else plain
 
 
@@ -240,6 +273,6 @@ def _fit_hot(rows: DataFrame, key: str, order: list[str], kind: T.StructType, gi
         total = {r[key]: r for r in pieces(placed.join(F.broadcast(begun), [key, "_seg"]), True).groupBy(key).agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(10)]).collect()}
         return np.array([[total[k][f"_s{i}"] for i in range(10)] for k in names]), np.array([state[k][0] for k in names])
 
-    par, value, settled = _chosen(given, np.array([keys[k][0] for k in names]), lambda p: evaluate(p)[0])
+    par, value, settled = _chosen(given, np.array([keys[k][0] for k in names]), lambda p, at: evaluate(p)[0][at])
     last = np.sqrt(evaluate(par)[1][:, 0])
     return spark.createDataFrame([(k, int(keys[k][1]), *map(float, par[i]), float(value[i]), float(last[i]), bool(settled[i])) for i, k in enumerate(names)], kind)
