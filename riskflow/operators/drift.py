@@ -16,6 +16,7 @@ from riskflow.functions.linalg import gram
 from riskflow.operators import encoding as en
 from riskflow.operators import ordered as od
 from riskflow.operators.profiles import tagged_union
+from riskflow.session import cut
 
 RESULT = ("test string, statistic double, p_value double, conclusion string, effect_size double, ci_low double, "
           "ci_high double, info map<string,double>")
@@ -209,7 +210,9 @@ def gpd_tail(y, xi, sigma):
 
 def gpd_score(df: DataFrame, fit: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """Tail probability of each row beyond its key's threshold (1 below it)."""
-    joined = df.join(fit.select(*keys, "threshold", "xi", "sigma"), list(keys), "left")
+    fit = cut(fit.select(*keys, "threshold", "xi", "sigma"))
+    # few keys hold many rows each, which a shuffled join would deal to as few tasks
+    joined = df.join(F.broadcast(fit) if fit.count() <= od.MAX_HOT else fit, list(keys), "left")
     y = F.col(col).cast("double") - F.col("threshold")
     return joined.withColumn("tail_probability", F.when(y > 0, gpd_tail(y, F.col("xi"), F.col("sigma"))).otherwise(1.0)).drop("threshold", "xi", "sigma")
 
