@@ -139,7 +139,8 @@ def mahalanobis(cols: Sequence[str], mean: np.ndarray, precision: np.ndarray):
 
 def fit_elliptic(df: DataFrame, cols: Sequence[str], support: float = 0.8, rounds: int = 100) -> dict:
     """Robust centre and scatter: keep the closest share of the rows, refit, until that changes nothing; an error if it always does."""
-    cols, part, last = list(cols), df, None
+    cols, last = list(cols), None
+    part = base = cut(df.select(*cols))  # read three times a round
     for _ in range(rounds):
         g = gram(part, cols)
         s = g.block(["1"], cols)[0]
@@ -148,7 +149,7 @@ def fit_elliptic(df: DataFrame, cols: Sequence[str], support: float = 0.8, round
         if last is not None and abs(np.linalg.det(cov) - last) <= 1e-9 * abs(last):
             break
         last = np.linalg.det(cov)
-        far = df.select(*cols, mahalanobis(cols, mean, precision).alias("_d"))
+        far = base.select(*cols, mahalanobis(cols, mean, precision).alias("_d"))
         bound = od.quantiles(far, "_d", [support])[0]
         part = far.filter(F.col("_d") <= bound)
     else:
