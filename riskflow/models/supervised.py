@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from riskflow.operators import encoding as en
 from riskflow.operators import ordered as od
 from riskflow.operators.profiles import top_reasons
-from riskflow.session import checkpoint_dir
+from riskflow.session import checkpoint_dir, cut
 
 
 def class_weight(df: DataFrame, label: str):
@@ -131,6 +131,7 @@ class TabularModel:
     def fit(self, df: DataFrame, calibrate_folds: int = 3) -> TabularModel:
         weight, _ = class_weight(df, self.label)
         base = self._assemble(df).withColumns({"_y": F.col(self.label).cast("double"), "_w": weight}).select(self.ident, "_x", "_y", "_w")
+        base = cut(base)  # each of the fits reads it
         self.model = self._gbt(base)
         if self.gamma:
             # focal emphasis: rows the first fit already gets right count less in the second
