@@ -125,10 +125,11 @@ def lof_score(df: DataFrame, model: dict, ident: str, name: str = "lof") -> Data
     table counts among its own neighbours. One row for each without missing features."""
     rows = cut(_scaled(df, model["cols"], model["mean"], model["std"]).select(F.col(ident).alias("_id"), "_q", "_x"))
     points = model["points"]
-    near = nb.nearest(rows.select("_q", "_x"), points.select("_p", "_x"), model["k"])
+    places = cut(rows.groupBy("_x").agg(F.min("_q").alias("_q")))  # rows in one place have the same neighbours
+    near = nb.nearest(places.select("_q", "_x"), points.select("_p", "_x"), model["k"])
     reach = F.greatest(F.avg(F.greatest("_d", "kdist")), F.lit(1e-10))
     factor = near.join(points.select("_p", "kdist", "lrd"), "_p").groupBy("_q").agg((F.avg("lrd") * reach).alias(name))
-    return rows.select("_q", F.col("_id").alias(ident)).join(factor, "_q").drop("_q")
+    return rows.select("_x", F.col("_id").alias(ident)).join(places.join(factor, "_q"), "_x").select(ident, name)
 
 
 def mahalanobis(cols: Sequence[str], mean: np.ndarray, precision: np.ndarray):

@@ -50,3 +50,11 @@ def test_factors_leave_out_missing_features_and_keep_repeated_rows(spark):
     assert len(got) == 102 and {r["id"] for r in got} == set(range(101))
     assert max(got, key=lambda r: r["lof"])["id"] == 100
     assert an.lof_score(df.limit(0), an.fit_lof(df, ["a", "b"], 5), "id").count() == 0
+
+
+def test_a_place_is_searched_once_for_all_its_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 5)) for i in range(400)], "id long, a double, b double")
+    model, asked, plain = an.fit_lof(df, ["a", "b"], 5), [], an.nb.nearest
+    monkeypatch.setattr(an.nb, "nearest", lambda rows, *rest, **more: asked.append(rows.count()) or plain(rows, *rest, **more))
+    out = an.lof_score(df, model, "id").collect()
+    assert asked == [10] and sorted(r["id"] for r in out) == list(range(400))
