@@ -118,10 +118,13 @@ def _parameters(theta: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.stack([om, p * b, p * (1 - b)], axis=1), jac
 
 
-def climb(var: np.ndarray, evaluate: Callable[[np.ndarray, np.ndarray], np.ndarray], starts=((0.9, 0.1), (0.5, 0.3))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def climb(var: np.ndarray, evaluate: Callable[[np.ndarray], np.ndarray], starts=((0.9, 0.1), (0.5, 0.3)),
+          some: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(parameters, log-likelihood, settled) of each key, of the best of the starts (persistence, alpha's share).
 
-    ``evaluate(parameters of all keys, places of some)``: ten sums of each of these. A key that has settled costs nothing more."""
+    ``evaluate``: ten sums by key. ``some(parameters of all keys, places)`` gives those of some keys only; with it, a key that has settled
+    costs nothing more."""
+    some = some or (lambda p, at: evaluate(p)[at])
     best = None
     index = np.array([[0, 1, 2], [1, 3, 4], [2, 4, 5]])
     for persistence, share in starts:
@@ -129,7 +132,7 @@ def climb(var: np.ndarray, evaluate: Callable[[np.ndarray, np.ndarray], np.ndarr
         theta = np.column_stack([np.full(len(var), np.log(1 - persistence)), np.full(len(var), logit(persistence / MOST)), np.full(len(var), logit(share))])
         damp, done = np.full(len(var), 1e-3), np.zeros(len(var), bool)
         par, jac = _parameters(theta, var)
-        now = evaluate(par, np.arange(len(var)))
+        now = evaluate(par)
         for _ in range(ROUNDS):
             live = np.flatnonzero(~done)
             if not len(live):
@@ -153,7 +156,7 @@ def climb(var: np.ndarray, evaluate: Callable[[np.ndarray, np.ndarray], np.ndarr
             new_par, new_jac = _parameters(trial, var[live])
             tried = par.copy()
             tried[live] = new_par
-            new = evaluate(tried, live)
+            new = some(tried, live)
             better = new[:, 0] >= now[live, 0]
             for x, y in ((theta, trial), (par, new_par), (jac, new_jac), (now, new)):
                 x[live[better]] = y[better]
@@ -163,11 +166,11 @@ def climb(var: np.ndarray, evaluate: Callable[[np.ndarray, np.ndarray], np.ndarr
     return best
 
 
-def _chosen(given: tuple[float, float] | None, var: np.ndarray, evaluate: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+def _chosen(given: tuple[float, float] | None, var: np.ndarray, evaluate: Callable[[np.ndarray], np.ndarray], some=None):
     if given is None:
-        return climb(var, evaluate)
+        return climb(var, evaluate, some=some)
     par = np.column_stack([var * (1 - sum(given)), *(np.full(len(var), x) for x in given)])
-    return par, evaluate(par, np.arange(len(var)))[:, 0], np.ones(len(var), bool)
+    return par, evaluate(par)[:, 0], np.ones(len(var), bool)
 
 
 def _returns(df: DataFrame, key: str, order: list[str], col: str, minimum: int) -> DataFrame:
@@ -194,7 +197,7 @@ def garch_fit(df: DataFrame, key: str, order: Sequence[str], col: str, minimum:
 
     def fitted(part: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
         series = Series(part["_e"].to_numpy(), begins)
-        par, value, settled = _chosen(given, series.var, lambda p, at: series.some(at).evaluate(p[at])[0])
+        par, value, settled = _chosen(given, series.var, lambda p: series.evaluate(p)[0], lambda p, at: series.some(at).evaluate(p[at])[0])
         return pd.DataFrame({key: part[key].to_numpy()[begins], "n": series.size, "omega": par[:, 0], "alpha": par[:, 1], "beta": par[:, 2], "log_likelihood": value,
                              "last_volatility": np.sqrt(series.evaluate(par)[1][:, 0]), "settled": settled})
 
@@ -273,6 +276,6 @@ def _fit_hot(rows: DataFrame, key: str, order: list[str], kind: T.StructType, gi
         total = {r[key]: r for r in pieces(placed.join(F.broadcast(begun), [key, "_seg"]), True).groupBy(key).agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(10)]).collect()}
         return np.array([[total[k][f"_s{i}"] for i in range(10)] for k in names]), np.array([state[k][0] for k in names])
 
-    par, value, settled = _chosen(given, np.array([keys[k][0] for k in names]), lambda p, at: evaluate(p)[0][at])
+    par, value, settled = _chosen(given, np.array([keys[k][0] for k in names]), lambda p: evaluate(p)[0])
     last = np.sqrt(evaluate(par)[1][:, 0])
     return spark.createDataFrame([(k, int(keys[k][1]), *map(float, par[i]), float(value[i]), float(last[i]), bool(settled[i])) for i, k in enumerate(names)], kind)
