@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskflow.operators import community as cm
 from riskflow.operators import edges as eg
 from riskflow.operators import graph as gr
+from riskflow.operators import tiles as tl
 
 
 def ued(spark, pairs):
@@ -40,6 +41,41 @@ def test_closeness(spark):
     assert two[1] == round(1 / 3, 6)
 
 
+def test_paths_over_edges_of_no_length_end(spark):
+    """Between the ends of such an edge paths could go to and fro without end."""
+    u = spark.createDataFrame([(1, 2, 0.0), (2, 3, 1.0), (3, 4, 0.0), (4, 5, 2.0)], "a long, b long, w double")
+    assert values(gr.betweenness(u, None, "weight", max_rounds=20), "betweenness") == {1: 0, 2: 0.5, 3: round(4 / 6, 6), 4: 0.5, 5: 0}
+
+
+def test_centralities_of_more_nodes_and_sources_than_a_tile_holds(spark):
+    n, rng = 1100, np.random.default_rng(1)
+    assert n > tl.NODES and n > tl.SOURCES
+    pairs = sorted({(int(h), i) for i in range(20, n) for h in rng.integers(0, 20, 3)})  # payees and payers
+    a, b = np.array(pairs).T
+    w = rng.integers(1, 9, len(a)).astype(float)
+    d = np.full((n, n), np.inf)
+    d[a, b] = d[b, a] = w
+    np.fill_diagonal(d, 0)
+    edge = np.where(d > 0, d, np.inf)
+    for k in range(n):
+        np.minimum(d, d[:, k, None] + d[None, k], out=d)
+    u = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), w.tolist())), "a long, b long, w double")
+    k, share = tl.SOURCES + 12, np.zeros(n)
+    for s in (r["source"] for r in gr.pivots(u, k).collect()):
+        far, sigma, below = np.argsort(d[s], kind="stable"), np.zeros(n), np.zeros(n)
+        sigma[s] = 1
+        on = d[s][:, None] + edge == d[s][None]
+        for v in far[1:]:
+            sigma[v] = sigma[on[:, v]].sum()
+        for v in far[::-1]:
+            below[v] = 1 / sigma[v] + below[on[v]].sum()
+        share += np.where(np.arange(n) == s, 0, below * sigma - 1)
+    got = {r["id"]: r["betweenness"] for r in gr.betweenness(u, k, "weight").collect()}
+    assert [got[i] for i in range(n)] == pytest.approx(share * n / k / (n - 1) / (n - 2))
+    got = {r["id"]: r["closeness"] for r in gr.closeness(u).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx((n - 1) / d.sum(axis=0))
+
+
 def test_components_and_pagerank(spark):
     e = directed(spark, PATH + [(10, 11), (11, 12), (20, 20)])
     got = {r["id"]: r["component"] for r in gr.components(e).collect()}
