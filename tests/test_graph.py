@@ -1,5 +1,7 @@
 """Graph measures on graphs with known answers."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,9 @@ from riskflow.operators import community as cm
 from riskflow.operators import edges as eg
 from riskflow.operators import graph as gr
 from riskflow.operators import tiles as tl
+from riskflow.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def ued(spark, pairs):
@@ -157,3 +162,25 @@ def test_eigenvector_of_a_few_heavy_nodes_among_many_settles(spark):
         x = 2 * x + np.bincount(a, w * x[b], len(x)) + np.bincount(b, w * x[a], len(x))
         x /= np.linalg.norm(x)
     assert max(abs(got[i] - x[j]) for i, j in spot.items()) < 1e-5
+
+
+def test_sources_pass_in_parts_and_leave_no_files_of_earlier_rounds(spark, monkeypatch):
+    from riskflow.session import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    monkeypatch.setattr(tl, "ENTRIES", 1)  # a part is one tile of sources
+    before, n = size(), 2 * tl.SOURCES + 10
+    got = {r["id"]: r["closeness"] for r in gr.closeness(ued(spark, [(0, i) for i in range(1, n)])).collect()}
+    assert got == {i: pytest.approx(1.0 if i == 0 else (n - 1) / (1 + 2 * (n - 2))) for i in range(n)}
+    assert size() - before < 1 << 20  # a tile has 1 MB
+
+
+def test_queries_start_from_all_nodes(spark, monkeypatch):
+    def sources(uedges, k=None):
+        raise InterruptedError(k)
+
+    monkeypatch.setattr(gr, "pivots", sources)
+    for name in ("betweenness", "betweenness_weighted", "closeness"):
+        with pytest.raises(InterruptedError, match="None"):
+            QUERIES[name](spark, SF)
