@@ -25,6 +25,7 @@ from riskflow.operators import sequences as sq
 from riskflow.operators import windows as wn
 from riskflow.plans import features as ft
 from riskflow.plans.common import tidy
+from riskflow.session import cut
 from riskflow.sources import quality as ql
 from riskflow.sources import transactions as sx
 from riskflow.streaming import streams as st
@@ -415,8 +416,11 @@ def components(spark, d):
 def order_components(spark, d):
     """Parts and orders linked by order lines."""
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
-    links = lines.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("dst"))
-    return tidy(gr.components(links))
+    links = cut(gr.contracted(lines.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst"))))
+    name = F.concat(F.when(F.col("id").bitwiseAND(F.lit(1)) == 1, "o").otherwise("p"), F.shiftright("id", 1))
+    named = cut(gr.components(links).select(name.alias("id"), F.col("component").alias("_c")))
+    least = named.groupBy("_c").agg(F.min("id").alias("component"))
+    return tidy(named.join(least, named["_c"].eqNullSafe(least["_c"])).select("id", "component"))
 
 
 @query

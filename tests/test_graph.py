@@ -184,3 +184,20 @@ def test_queries_start_from_all_nodes(spark, monkeypatch):
     for name in ("betweenness", "betweenness_weighted", "closeness"):
         with pytest.raises(InterruptedError, match="None"):
             QUERIES[name](spark, SF)
+
+
+def test_contracted_edges_keep_components_and_rounds_leave_no_files(spark, monkeypatch):
+    from riskflow.session import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (2000, 2))] + [(9000 + i, 9001 + i) for i in range(200)] + [(9900, 9900)]
+    edges = directed(spark, pairs).select("src", "dst").unionByName(spark.createDataFrame([(7, None)], "src long, dst long"))
+    monkeypatch.setattr(gr, "CHUNK", 300)
+    less = gr.contracted(edges.coalesce(2))
+    whole, got = ({(r["id"], r["component"]) for r in gr.components(e).collect()} for e in (edges, less))
+    assert got == whole and {c for i, c in got if i and i >= 9000} == {9000, 9900}
+    before = set(os.listdir(folder))
+    gr.components(edges).collect()
+    left = [d for d in set(os.listdir(folder)) - before if os.path.isdir(os.path.join(folder, d))]
+    assert len(left) == 1  # the last round's
