@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riskflow.llm import katz
@@ -82,3 +83,59 @@ def test_hot_histories(spark, monkeypatch):
 def test_discounts_fall_back():
     assert np.allclose(katz.discounts([0, 0, 0, 0, 0, 0, 0]), [1, 0.5])
     assert all(0 < x <= 1 for x in katz.discounts([0, 100, 40, 20, 12, 8, 6]))
+
+
+class Longer(Plain):
+    """The model of any order by dictionaries, one recursion per word."""
+
+    def __init__(self, texts, order):
+        super().__init__(texts)
+        self.grams = {n: Counter(tuple(([END] + t)[i : i + n]) for t in texts for i in range(len(t) + 2 - n)) for n in range(2, order + 1)}
+        self.cut = {n: katz.discounts([0.0] + [float(sum(v == r for v in c.values())) for r in range(1, katz.KATZ + 2)]) for n, c in self.grams.items()}
+        self.following = defaultdict(dict)
+        for c in self.grams.values():
+            for g, times in c.items():
+                self.following[g[:-1]][g[-1]] = times
+
+    def after_history(self, w, h):
+        own = self.following.get(h)
+        if not h:
+            return self.alone(w)
+        if not own:
+            return self.after_history(w, h[1:])
+        d = lambda n: self.cut[len(h) + 1][n] if n < len(self.cut[len(h) + 1]) else 1.0
+        total, factor = sum(own.values()), 1.0
+        share = sum(d(n) * n for n in own.values()) / total
+        if share > 1 - 1e-12:
+            factor = share = total / (total + 1)
+        if w in own:
+            return factor * d(own[w]) * own[w] / total
+        return (1 - share) / (1 - sum(self.after_history(x, h[1:]) for x in own)) * self.after_history(w, h[1:])
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_histories_back_off_word_by_word(spark, monkeypatch, order):
+    monkeypatch.setattr(katz, "CHUNK", 300)  # many chunks
+    monkeypatch.setattr(katz, "HOT", 0.01)  # some histories of two words are dealt by n-gram
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["the", "cat"] * int(rng.integers(0, 3)) + [f"w{int(x)}" for x in rng.geometric(0.15, int(rng.integers(0, 25)))])) for i in range(150)]
+    docs = spark.createDataFrame(rows + [(150, None)], "doc_id long, text string")
+    texts = {i: words(t) for i, t in rows + [(150, None)]}
+    model = Longer([t for i, t in texts.items() if i % 5 != 1], order)
+    got = {r.doc_id: r.score for r in katz.score(docs, F.col("doc_id") % 5 != 1, order=order).collect()}
+    for i, t in texts.items():
+        full = [END] + t
+        want = sum(math.log10(model.after_history(w, tuple(full[max(0, j + 2 - order) : j + 1]))) for j, w in enumerate(t))
+        assert abs(got[i] - want) < 1e-6, i
+    for h in ((END, b"the"), (b"the", b"cat"), (b"w1", b"w2")):
+        assert abs(sum(model.after_history(w, h) for w in model.c) + model.after_history(b"unseen!", h) - 1) < 1e-9
+
+
+def test_query_uses_more_than_one_word_of_history(spark, monkeypatch):
+    from riskflow.llm import queries
+
+    seen = {}
+    monkeypatch.setattr(katz, "score", lambda docs, learn, **more: seen.update(more) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        queries.op5_katz(spark, "/root/testdata/sf0.001")
+    assert seen["order"] >= 3
