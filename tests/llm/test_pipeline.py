@@ -39,6 +39,15 @@ def test_stages_on_odd_documents(spark, odd, none, name, stage):
     assert stage(spark, none, SF).count() == 0
 
 
+def test_run_keeps_the_rows_of_one_stage(spark, monkeypatch):
+    held = []
+    step = lambda spark, docs, folder: held.append(docs.inputFiles()) or docs.limit(len(held) + 1)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{i}", step) for i in range(4)])
+    assert corpus_pipeline.run(spark, SF).count() == 2
+    there = [[os.path.exists(f.removeprefix("file://")) for f in files] for files in held]
+    assert all(there[0]) and not any(x for files in there[1:] for x in files)
+
+
 def test_registered_queries():
     import __spark_entry__
 
