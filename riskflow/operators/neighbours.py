@@ -1,8 +1,9 @@
 """Exact k nearest neighbours by pivots: a row is compared only with cells that can hold a neighbour.
 
 Pivots are a bounded number of points chosen by hash, so dense regions get more of them. Every point belongs to the cell of its nearest
-pivot. From the k least distances to its pivot in each cell follows how far the k-th neighbour of any row can be, by the triangle inequality; a row goes
-to the cells whose ball and whose side of the bisecting plane reach into that distance. Cells of many points, and of many rows, are
+pivot. A row is compared with the points of its own cell first: the k nearest of them bound how far its k-th neighbour can be. Where the cell has too few,
+the k least distances to the pivot in each cell do, by the triangle inequality. Then the row goes to the other
+cells whose ball and whose side of the bisecting plane reach into that distance, which are few. Cells of many points, and of many rows, are
 cut into blocks, so a task compares at most ``BLOCK`` rows with as many points, and the k nearest of all blocks are merged.
 
 Of points in exactly the same place only those of the k least ids can be anyone's neighbours; the others are left out beforehand.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from riskflow.session import cut
 
-PIVOTS, BLOCK = 1024, 4096
+PIVOTS, BLOCK = 4096, 4096
 SLACK = 1e-9
 
 
@@ -28,11 +29,10 @@ def _matrix(column) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    step = max(1, (1 << 22) // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i : i + step] = np.sqrt(((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return out
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T):
+        out += (x[:, None] - y[None, :]) ** 2
+    return np.sqrt(out, out=out)
 
 
 def distinct_points(points: DataFrame, k: int) -> DataFrame:
@@ -65,34 +65,36 @@ def nearest(rows: DataFrame, points: DataFrame, k: int, others: bool = False, pi
     near = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_cell").orderBy("_r"))).filter(F.col("_i") <= need)
     inner = {r["_cell"]: sorted(r["_rs"]) for r in near.groupBy("_cell").agg(F.collect_list("_r").alias("_rs")).collect()}
     sizes = {r["_cell"]: (r["_n"], r["_far"]) for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_r").alias("_far")).collect()}
-    gap = _distances(centre, centre)
     full = np.array(sorted(sizes))
     far = np.array([sizes[j][1] for j in full])
     reach = np.full(len(centre), np.inf)  # how far beyond its own pivot's distance the k-th neighbour of a row can be
     if total >= need:
+        close = np.full((len(full), need), np.inf)
+        for i, j in enumerate(full):
+            close[i, : len(inner[j])] = inner[j]
         for i in range(len(centre)):
-            bound = np.concatenate([gap[i, j] + np.array(inner[j]) for j in full])
-            reach[i] = np.partition(bound, need - 1)[need - 1]
+            reach[i] = np.partition((_distances(centre[full], centre[i : i + 1]) + close).ravel(), need - 1)[need - 1]
     blocks = {int(j): -(-sizes[j][0] // BLOCK) for j in full}
 
+    def home(batches):
+        for part in batches:
+            for i in range(0, len(part), 1024):
+                some = part.iloc[i : i + 1024]
+                yield some.assign(_cell=_distances(_matrix(some["_x"]), centre).argmin(axis=1).astype(np.int32))
+
     def route(batches):
         for part in batches:
-            if not len(part):
-                continue
             for i in range(0, len(part), 1024):
                 some = part.iloc[i : i + 1024]
-                d = _distances(_matrix(some["_x"]), centre)
-                own = d.argmin(axis=1)
+                d, own = _distances(_matrix(some["_x"]), centre), some["_cell"].to_numpy()
                 least = d[np.arange(len(d)), own][:, None]
-                limit = (least + reach[own][:, None]) * (1 + SLACK) + SLACK
+                limit = np.fmin(least[:, 0] + reach[own], some["_far"].to_numpy(float))[:, None] * (1 + SLACK) + SLACK
+                apart = _distances(centre[own], centre[full])
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(gap[own][:, full] > 0, (d[:, full] ** 2 - least**2) / (2 * gap[own][:, full]), 0)
-                at, to = np.nonzero(np.maximum(d[:, full] - far, plane) <= limit)
+                    plane = np.where(apart > 0, (d[:, full] ** 2 - least**2) / (2 * apart), 0)
+                at, to = np.nonzero((np.maximum(d[:, full] - far, plane) <= limit) & (full[None, :] != own[:, None]))
                 yield pd.DataFrame({"_q": some["_q"].to_numpy()[at], "_x": some["_x"].to_numpy()[at], "_cell": full[to].astype(np.int32)})
 
-    routed = cut(rows.select("_q", "_x").mapInPandas(route, "_q long, _x array<double>, _cell int"))
-    asked = {r["_cell"]: -(-r["_n"] // BLOCK) for r in routed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).collect()}
-
     def dealt(df: DataFrame, name: str, own: dict, over: dict) -> DataFrame:
         """The rows with their own block of the cell, for each block of the other side."""
         table = df.sparkSession.createDataFrame([(int(j), int(own.get(j, 1)), int(n)) for j, n in over.items()], "_cell int, _own int, _over int")
@@ -110,14 +112,28 @@ def nearest(rows: DataFrame, points: DataFrame, k: int, others: bool = False, pi
             d = _distances(here[i : i + 512], there)
             if others:
                 d[q[i : i + 512, None] == ids[None, :]] = np.inf
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found = pd.DataFrame({"_q": np.repeat(q[i : i + 512], at.shape[1]), "_p": ids[at].ravel(), "_d": np.take_along_axis(d, at, axis=1).ravel()})
-            out.append(found[np.isfinite(found["_d"])])
+            most = np.partition(d, k - 1, axis=1)[:, k - 1, None] if k < d.shape[1] else np.inf
+            row, at = np.nonzero((d <= most) & np.isfinite(d))  # ids ascend in a row, and sorting leaves equal distances so
+            order = np.lexsort((d[row, at], row))
+            row, at = row[order], at[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, at = row[nth < k], at[nth < k]
+            out.append(pd.DataFrame({"_q": q[i + row], "_p": ids[at], "_d": d[row, at]}))
         return pd.concat(out)
 
     keys = ["_cell", "_mine", "_other"]
-    left = dealt(routed, "_q", asked, {j: blocks[j] for j in asked})
-    right = dealt(placed, "_p", blocks, asked)
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, kind)
-    best = F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_p"))
-    return found.withColumn("_i", best).filter(F.col("_i") <= k).drop("_i")
+
+    def searched(routed: DataFrame) -> DataFrame:
+        asked = {r["_cell"]: -(-r["_n"] // BLOCK) for r in routed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).collect()}
+        left = dealt(routed, "_q", asked, {j: blocks[j] for j in asked})
+        right = dealt(placed, "_p", blocks, asked)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, kind)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("_i", F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_p"))).filter(F.col("_i") <= k).drop("_i")
+
+    at_home = cut(rows.select("_q", "_x").mapInPandas(home, "_q long, _x array<double>, _cell int"))
+    first = cut(best(searched(at_home)))
+    bound = first.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_far")).filter(F.col("_n") == k).drop("_n")
+    away = cut(at_home.join(bound, "_q", "left").mapInPandas(route, "_q long, _x array<double>, _cell int"))
+    return best(first.unionByName(searched(away)))

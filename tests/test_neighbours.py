@@ -58,3 +58,12 @@ def test_a_place_is_searched_once_for_all_its_rows(spark, monkeypatch):
     monkeypatch.setattr(an.nb, "nearest", lambda rows, *rest, **more: asked.append(rows.count()) or plain(rows, *rest, **more))
     out = an.lof_score(df, model, "id").collect()
     assert asked == [10] and sorted(r["id"] for r in out) == list(range(400))
+
+
+def test_a_row_visits_few_cells(spark, monkeypatch):
+    x = np.random.default_rng(4).uniform(size=(3000, 3)).tolist()
+    made, plain = [], nb.cut
+    monkeypatch.setattr(nb, "cut", lambda df: made.append(plain(df)) or made[-1])
+    rows, points = (spark.createDataFrame(list(enumerate(x)), f"{i} long, _x array<double>") for i in ("_q", "_p"))
+    assert nb.nearest(rows, points, 5, pivots=50).count() == 5 * len(x)
+    assert sum(df.count() for df in made if {"_q", "_cell"} <= set(df.columns)) < 8 * len(x)
